@@ -69,10 +69,13 @@ def match_files(grid: DataFrame, catalogue: DataFrame,
                      F.col(name_col).alias("_c_name"), F.col(path_col).alias("_c_path"))
     cond = ((F.col("extractor") == F.col("_c_ext"))
             & keyword_hit(F.col("_c_name"), F.col("attack")))
-    pairs = F.broadcast(grid).join(cat, cond, "left")
-    first = first_per_group(pairs, ["attack", "extractor"],
-                            [F.col("_c_path").asc_nulls_last()])
-    return first.select(*grid.columns, F.col("_c_path").alias("match_path"))
+    # Inner join: the catalogue streams, the constant grid is the broadcast
+    # build side (an outer join could only broadcast the catalogue).
+    hits = cat.join(F.broadcast(grid.select("attack", "extractor")), cond, "inner")
+    first = first_per_group(hits, ["attack", "extractor"], [F.col("_c_path").asc()])
+    first = first.select("attack", "extractor", F.col("_c_path").alias("match_path"))
+    return grid.join(F.broadcast(first), ["attack", "extractor"], "left").select(
+        *grid.columns, "match_path")
 
 
 def pair_train_test(grid: DataFrame, catalogue: DataFrame,

@@ -18,12 +18,16 @@ def write_labelled(df: DataFrame, path: str,
                    partition_cols: Sequence[str] = ("extractor", "day", "attack"),
                    fmt: str = "parquet", mode: str = "overwrite") -> None:
     """K1: labelled flows, one directory per (extractor, day, attack).
-    Rows are clustered by the partition keys first so that each task writes
-    few files; only the partitions present are replaced."""
+
+    No shuffle before the write: every task writes the partitions its rows
+    belong to (flow files map to one partition each, so tasks open few
+    files), and a hot attack is written by as many tasks as read it instead
+    of being funnelled into one.  Only the partitions present are replaced.
+    """
     spark = df.sparkSession
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     cols = [c for c in partition_cols if c in df.columns]
-    writer = df.repartition(*cols).write.mode(mode) if cols else df.write.mode(mode)
+    writer = df.write.mode(mode)
     if cols:
         writer = writer.partitionBy(*cols)
     if fmt == "csv":
