@@ -31,21 +31,38 @@ def sample_summary(samples: DataFrame, key: str = "monitor_file",
         F.count(F.lit(1)).alias("n_samples"))
 
 
+_HALF = 20  # bits of the low half of a fixed-point unit count
+
+
 def _exact_moments(x: Column, decimals: int, name: str) -> list[Column]:
     """Partial sums of a fixed-point column in integer units of
-    ``10^-decimals``: count, sum and sum of squares, exact in decimal(38,0)
-    and therefore independent of partitioning and merge order."""
-    units = F.round(x * F.lit(10.0 ** decimals)).cast("decimal(38,0)")
+    ``10^-decimals``: count, sum and sum of squares -- exact, hence
+    independent of partitioning and merge order.
+
+    Per row everything is 64-bit integer arithmetic (codegen fast path): a
+    unit count u < 2^40 is split as u = hi * 2^20 + lo and the three partial
+    products hi^2, hi*lo, lo^2 (each < 2^40) are summed as longs, which
+    cannot overflow below 2^23 samples per group.  The square sum is
+    recombined in decimal once per group.
+    """
+    units = F.round(x * F.lit(10.0 ** decimals)).cast("bigint")
+    hi = F.shiftright(units, _HALF)
+    lo = units - F.shiftleft(hi, _HALF)
     return [F.count(units).alias(f"_{name}_n"), F.sum(units).alias(f"_{name}_s1"),
-            F.sum(units * units).alias(f"_{name}_s2")]
+            F.sum(hi * hi).alias(f"_{name}_hh"), F.sum(hi * lo).alias(f"_{name}_hl"),
+            F.sum(lo * lo).alias(f"_{name}_ll")]
 
 
 def _exact_mean_var(name: str, decimals: int) -> tuple[Column, Column]:
     n = F.col(f"_{name}_n")
-    s1, s2 = F.col(f"_{name}_s1"), F.col(f"_{name}_s2")
+    s1 = F.col(f"_{name}_s1").cast("decimal(38,0)")
+    d = "decimal(38,0)"
+    s2 = (F.col(f"_{name}_hh").cast(d) * F.lit(1 << (2 * _HALF)).cast(d)
+          + F.col(f"_{name}_hl").cast(d) * F.lit(1 << (_HALF + 1)).cast(d)
+          + F.col(f"_{name}_ll").cast(d))
     scale = 10.0 ** decimals
     mean = F.when(n > 0, s1.cast("double") / (n.cast("double") * F.lit(scale)))
-    num = n.cast("decimal(38,0)") * s2 - s1 * s1
+    num = n.cast(d) * s2 - s1 * s1
     var = F.when(n > 1, num.cast("double") / (n * (n - 1)).cast("double")
                  / F.lit(scale * scale))
     return mean, var

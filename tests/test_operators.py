@@ -179,3 +179,24 @@ def test_union_fragments(spark):
         raise AssertionError("strict union should refuse different columns")
     except ValueError:
         pass
+
+
+def test_exact_moments_against_fractions(spark):
+    from fractions import Fraction
+    rnd = random.Random(11)
+    rows = []
+    for g in range(6):
+        for _ in range(rnd.randint(2, 40)):
+            big = rnd.choice([1, 1000, 1_500_000])
+            rows.append((f"g{g}", round(rnd.uniform(-1, 1) * 100, 2),
+                         round(rnd.uniform(0, big), 2)))
+    df = spark.createDataFrame(rows, "monitor_file string, cpu_percent double, ram_mb double")
+    got = {r.monitor_file: r for r in stats.sample_stats(df).collect()}
+    for g in {r[0] for r in rows}:
+        xs = [Fraction(str(r[2])) for r in rows if r[0] == g]
+        n = len(xs)
+        mean = sum(xs) / n
+        var = sum((x - mean) ** 2 for x in xs) / (n - 1)
+        assert math.isclose(got[g].var_ram, float(var), rel_tol=1e-12)
+        cs = [Fraction(str(r[1])) for r in rows if r[0] == g]
+        assert math.isclose(got[g].avg_cpu, float(sum(cs) / n), rel_tol=1e-12, abs_tol=1e-12)
