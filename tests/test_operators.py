@@ -20,11 +20,15 @@ def _rows(n=700, groups=("a", "b", "c"), seed=7, skew=True):
 
 def test_exact_row_number_matches_window(spark):
     df = spark.createDataFrame(_rows(), "id long, g string, k int, v double")
-    got = ranking.exact_row_number(df, ["k", "id"], ["g"], out="rn", num_partitions=5)
+    got = ranking.exact_row_number(df, ["k", "id"], ["g"], out="rn", num_partitions=5,
+                                   small_rows=None)
+    small = ranking.exact_row_number(df, ["k", "id"], ["g"], out="rn")
     w = Window.partitionBy("g").orderBy("k", "id")
     ref = df.withColumn("rn", F.row_number().over(w))
     assert sorted(got.select("id", "rn").collect()) == sorted(ref.select("id", "rn").collect())
-    glob = ranking.exact_row_number(df, ["v", "id"], out="rn", num_partitions=3)
+    assert sorted(small.select("id", "rn").collect()) == sorted(ref.select("id", "rn").collect())
+    glob = ranking.exact_row_number(df, ["v", "id"], out="rn", num_partitions=3,
+                                    small_rows=None)
     ref2 = df.withColumn("rn", F.row_number().over(Window.orderBy("v", "id")))
     assert sorted(glob.select("id", "rn").collect()) == sorted(ref2.select("id", "rn").collect())
 
