@@ -128,8 +128,9 @@ def capture_directories(catalogue: DataFrame, dir_col: str = "parent_dir") -> Da
 
 
 def dns_directories(catalogue: DataFrame, path_col: str = "path",
-                    dir_col: str = "parent_dir") -> DataFrame:
-    """directories with a capture whose path contains ``DNS``
-    (case-sensitive); every capture of such a directory is then selected."""
-    dirs = catalogue.filter(F.col(path_col).contains("DNS")).select(dir_col).distinct()
+                    dir_col: str = "parent_dir", needle: str = "DNS") -> DataFrame:
+    """directories holding a capture whose path contains ``needle``
+    (case-sensitive); every capture of such a directory is then selected.
+    The directory list is distinct (one row per directory) and semi-joined."""
+    dirs = catalogue.filter(F.col(path_col).contains(needle)).select(dir_col).distinct()
     return catalogue.join(dirs, dir_col, "left_semi")

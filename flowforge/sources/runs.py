@@ -15,19 +15,21 @@ from ..session import qualify
 
 
 def read_runs(spark: SparkSession, root: str, base_dir: str | None = None,
-              multi_line: bool = True) -> DataFrame:
+              multi_line: bool = True, glob: str = "benchmark_*.json") -> DataFrame:
     """S5 + P12 + P13: every ``benchmark_*.json`` under ``root``.
 
     Missing keys are null, then defaulted: tool from the log path, attack
     from the log's file name.  ``monitor_key`` is the sample file's
     qualified path; relative ``monitor_file`` values are resolved against
     ``base_dir`` (default: the current directory, as the logs were written).
+    ``multi_line`` reads one pretty-printed object per file; ``False`` reads
+    JSON lines (as the run-log sink writes them).
     """
     base = qualify(spark, base_dir or ".")
     logs = (spark.read.schema(RUN_LOG_SCHEMA)
             .option("multiLine", "true" if multi_line else "false")
             .option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", "benchmark_*.json")
+            .option("pathGlobFilter", glob)
             .json(root))
     logs = logs.select("*", F.col("_metadata.file_path").alias("log_path"))
     mf = F.col("monitor_file")
