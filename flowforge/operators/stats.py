@@ -34,10 +34,23 @@ def sample_summary(samples: DataFrame, key: str = "monitor_file",
 _HALF = 20  # bits of the low half of a fixed-point unit count
 
 
-def _exact_moments(x: Column, decimals: int, name: str) -> list[Column]:
-    """Partial sums of a fixed-point column in integer units of
-    ``10^-decimals``: count, sum and sum of squares -- exact, hence
-    independent of partitioning and merge order.
+def _units(x: Column, decimals: int) -> Column:
+    """Fixed-point value in integer units of ``10^-decimals`` (nearest;
+    plain double arithmetic, no per-value decimal object)."""
+    return F.floor(x * F.lit(10.0 ** decimals) + F.lit(0.5)).cast("bigint")
+
+
+def _unit_parts(u: Column, name: str) -> list[Column]:
+    """u, and its split u = hi * 2^20 + lo, as projected columns."""
+    hi = F.shiftright(u, _HALF)
+    return [u.alias(f"_{name}_u"), hi.alias(f"_{name}_hi"),
+            (u - F.shiftleft(hi, _HALF)).alias(f"_{name}_lo")]
+
+
+def _exact_moments(name: str) -> list[Column]:
+    """Partial sums of a fixed-point column in integer units: count, sum and
+    sum of squares -- exact, hence independent of partitioning and merge
+    order.
 
     Per row everything is 64-bit integer arithmetic (codegen fast path): a
     unit count u < 2^40 is split as u = hi * 2^20 + lo and the three partial
@@ -45,10 +58,8 @@ def _exact_moments(x: Column, decimals: int, name: str) -> list[Column]:
     cannot overflow below 2^23 samples per group.  The square sum is
     recombined in decimal once per group.
     """
-    units = F.round(x * F.lit(10.0 ** decimals)).cast("bigint")
-    hi = F.shiftright(units, _HALF)
-    lo = units - F.shiftleft(hi, _HALF)
-    return [F.count(units).alias(f"_{name}_n"), F.sum(units).alias(f"_{name}_s1"),
+    u, hi, lo = (F.col(f"_{name}_{p}") for p in ("u", "hi", "lo"))
+    return [F.count(u).alias(f"_{name}_n"), F.sum(u).alias(f"_{name}_s1"),
             F.sum(hi * hi).alias(f"_{name}_hh"), F.sum(hi * lo).alias(f"_{name}_hl"),
             F.sum(lo * lo).alias(f"_{name}_ll")]
 
@@ -87,9 +98,11 @@ def sample_stats(samples: DataFrame, key: str = "monitor_file",
             F.stddev_samp(c).alias("std_cpu"), F.var_samp(c).alias("var_cpu"),
             F.stddev_samp(r).alias("std_ram"), F.var_samp(r).alias("var_ram"),
             F.count(F.lit(1)).alias("n_samples"))
-    agg = samples.groupBy(key).agg(
-        F.max(r).alias("max_ram"), F.count(F.lit(1)).alias("n_samples"),
-        *_exact_moments(c, decimals, "c"), *_exact_moments(r, decimals, "r"))
+    pre = samples.select(key, r.alias("_ram"), *_unit_parts(_units(c, decimals), "c"),
+                         *_unit_parts(_units(r, decimals), "r"))
+    agg = pre.groupBy(key).agg(
+        F.max("_ram").alias("max_ram"), F.count(F.lit(1)).alias("n_samples"),
+        *_exact_moments("c"), *_exact_moments("r"))
     c_mean, c_var = _exact_mean_var("c", decimals)
     _, r_var = _exact_mean_var("r", decimals)
     return agg.select(key, "max_ram", c_mean.alias("avg_cpu"),
