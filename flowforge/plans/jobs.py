@@ -210,13 +210,18 @@ def extractor_benchmark(spark: SparkSession, processed_root: str,
     cat = catalogue(spark, processed_root, exclude_prefixes=("monitor_", "benchmark_"),
                     exclude_contains=("semlabel",))
     grid = matching.scenario_grid(spark, attacks, extractors)
-    pairs = matching.pair_train_test(grid, cat).orderBy("a_ord", "e_ord").collect()
-    sizes = {r["path"]: r["length"] for r in cat.select("path", "length").collect()}
+    lengths = cat.select("path", "length")
+    pairs = (matching.pair_train_test(grid, cat)
+             .join(lengths.select(F.col("path").alias("train_path"),
+                                  F.col("length").alias("train_len")), "train_path", "left")
+             .join(lengths.select(F.col("path").alias("test_path"),
+                                  F.col("length").alias("test_len")), "test_path", "left")
+             .orderBy("a_ord", "e_ord").collect())          # <= 36 scenario rows
     metrics, rankings, skipped = [], [], []
     for p in pairs:
         scen = (p["extractor"], p["attack"])
         train_raw = _read_one(spark, p["train_path"])
-        prep = prepare_training_set(train_raw, sizes.get(p["train_path"])) if train_raw else None
+        prep = prepare_training_set(train_raw, p["train_len"]) if train_raw else None
         if prep is None or not sampling.has_two_classes(prep.data, "target"):
             skipped.append((*scen, "invalid training data or fewer than 2 classes"))
             continue
@@ -224,7 +229,7 @@ def extractor_benchmark(spark: SparkSession, processed_root: str,
             train = sampling.class_weights(prep.data, "target")
             forest = model.fit_forest(model.assemble(train, prep.features))
             test_raw = _read_one(spark, p["test_path"])
-            tprep = prepare_training_set(test_raw, sizes.get(p["test_path"]),
+            tprep = prepare_training_set(test_raw, p["test_len"],
                                          dictionary=prep.dictionary) if test_raw else None
             if tprep is None:
                 skipped.append((*scen, "invalid test data"))

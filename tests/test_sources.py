@@ -8,7 +8,7 @@ from flowforge.functions.schema import MASTER_HEADER
 from flowforge.sources import pcap
 from flowforge.sources.catalogue import catalogue
 from flowforge.sources.flows import (attach_path_meta, header_groups, read_header_flows,
-                                     read_positional_flows)
+                                     read_positional_flows, rejected_rows)
 from flowforge.sources.runs import read_runs, read_samples
 from flowforge.session import qualify
 
@@ -46,6 +46,9 @@ def test_header_scan_tolerance(spark, tmp):
     assert by["7"].label is None and by["7"]["flow_bytes/s"] is None
     assert by["3"].dst_ip == "10.0.0.1,9"
     assert by["4"].src_ip is None
+    rej = [(os.path.basename(r.source_file), r.rejected)
+           for r in rejected_rows(spark, catalogue(spark, tmp)).collect()]
+    assert rej == [("Syn.csv", 1)]
 
 
 def test_header_drift_is_bound_by_name(spark, tmp):
