@@ -22,13 +22,24 @@ def _no_nan(c: Column) -> Column:
 
 
 def sample_summary(samples: DataFrame, key: str = "monitor_file",
-                   cpu: str = "cpu_percent", ram: str = "ram_mb") -> DataFrame:
-    """A1: max and mean CPU and RAM per run; a run without samples has no row."""
+                   cpu: str = "cpu_percent", ram: str = "ram_mb",
+                   decimals: int = 2) -> DataFrame:
+    """A1: max and mean CPU and RAM per run (means printed at 2 dp); a run
+    without samples has no row.  Means are exact over the samples' fixed
+    point (see ``sample_stats``), so the 2-dp rounding never depends on the
+    summation order."""
     c, r = _no_nan(F.col(cpu)), _no_nan(F.col(ram))
-    return samples.groupBy(key).agg(
-        F.max(c).alias("max_cpu"), F.round(F.avg(c), 2).alias("avg_cpu"),
-        F.max(r).alias("max_ram"), F.round(F.avg(r), 2).alias("avg_ram"),
+    pre = samples.select(key, c.alias("_c"), r.alias("_r"),
+                         _units(c, decimals).alias("_cu"), _units(r, decimals).alias("_ru"))
+    scale = F.lit(10.0 ** decimals)
+    agg = pre.groupBy(key).agg(
+        F.max("_c").alias("max_cpu"), F.sum("_cu").alias("_cs"), F.count("_cu").alias("_cn"),
+        F.max("_r").alias("max_ram"), F.sum("_ru").alias("_rs"), F.count("_ru").alias("_rn"),
         F.count(F.lit(1)).alias("n_samples"))
+    mean = lambda s_, n_: F.when(F.col(n_) > 0, F.col(s_).cast("double")
+                                 / (F.col(n_).cast("double") * scale))
+    return agg.select(key, "max_cpu", F.round(mean("_cs", "_cn"), 2).alias("avg_cpu"),
+                      "max_ram", F.round(mean("_rs", "_rn"), 2).alias("avg_ram"), "n_samples")
 
 
 _HALF = 20  # bits of the low half of a fixed-point unit count
@@ -142,7 +153,15 @@ def run_detail(runs: DataFrame, stats: DataFrame, run_key: str = "monitor_file",
 def extractor_rollup(detail: DataFrame, weighted: bool = False) -> DataFrame:
     """A3 + A4: per extractor, summed packets and time, mean of the per-run
     means/std/var (unweighted unless ``weighted``), max of max RAM, and
-    throughput as total packets over total time (null when time is 0)."""
+    throughput as total packets over total time (null when time is 0).
+
+    The inputs are 4-dp report values, so sums and means are taken over
+    exact integer units of 10^-4 (a float sum of many large values moves the
+    4th decimal with the summation order)."""
+    def exact_sum(c):
+        # report values carry 4 decimals: sum them as integers of 10^-4
+        return F.sum(_units(F.col(c), 4).cast("decimal(38,0)")).cast("double") / F.lit(1e4)
+
     if weighted:
         w = F.col("n_samples").cast("double")
 
@@ -150,10 +169,12 @@ def extractor_rollup(detail: DataFrame, weighted: bool = False) -> DataFrame:
             return F.try_divide(F.sum(F.col(c) * w), F.sum(w))
     else:
         def mean(c):
-            return F.avg(c)
+            return F.try_divide(
+                F.sum(_units(F.col(c), 4).cast("decimal(38,0)")).cast("double"),
+                F.count(c).cast("double") * F.lit(1e4))
     agg = detail.groupBy("extractor").agg(
         F.sum("packets").cast("bigint").alias("total_packets"),
-        F.sum("time_s").alias("_time"),
+        exact_sum("time_s").alias("_time"),
         mean("avg_cpu").alias("avg_cpu"), mean("std_cpu").alias("std_cpu"),
         mean("var_cpu").alias("var_cpu"), F.max("max_ram").alias("max_ram"),
         mean("std_ram").alias("std_ram"), mean("var_ram").alias("var_ram"))

@@ -134,15 +134,29 @@ def q_extractor_rollup(spark, sf):
     return stats.extractor_rollup(detail_frame(spark, sf))
 
 
+def _units_sum(col: str, scale: str = "10000.0") -> str:
+    """Exact sum of a fixed-point column in integer units, as a double."""
+    return f"CAST(sum(CAST(round({col} * {scale}::DOUBLE) AS HUGEINT)) AS DOUBLE)"
+
+
+def _units_mean(col: str) -> str:
+    return f"{_units_sum(col)} / (count({col})::DOUBLE * 10000.0::DOUBLE)"
+
+
 _ROLLUP_SQL = f"""
-WITH d AS ({_DETAIL_SQL})
-SELECT extractor, CAST(sum(packets) AS BIGINT) AS total_packets,
-       {R('sum(time_s)')} AS time_s,
-       {R('sum(packets) / nullif(sum(time_s), 0)')} AS pps,
-       {R('avg(avg_cpu)')} AS avg_cpu, {R('avg(std_cpu)')} AS std_cpu,
-       {R('avg(var_cpu)')} AS var_cpu, {R('max(max_ram)')} AS max_ram,
-       {R('avg(std_ram)')} AS std_ram, {R('avg(var_ram)')} AS var_ram
-FROM d GROUP BY extractor"""
+WITH d AS ({_DETAIL_SQL}),
+g AS (
+  SELECT extractor, CAST(sum(packets) AS BIGINT) AS total_packets,
+         {_units_sum('time_s')} / 10000.0::DOUBLE AS t,
+         {_units_mean('avg_cpu')} AS avg_cpu, {_units_mean('std_cpu')} AS std_cpu,
+         {_units_mean('var_cpu')} AS var_cpu, max(max_ram) AS max_ram,
+         {_units_mean('std_ram')} AS std_ram, {_units_mean('var_ram')} AS var_ram
+  FROM d GROUP BY extractor)
+SELECT extractor, total_packets, {R('t')} AS time_s,
+       {R('total_packets::DOUBLE / nullif(t, 0)')} AS pps,
+       {R('avg_cpu')} AS avg_cpu, {R('std_cpu')} AS std_cpu, {R('var_cpu')} AS var_cpu,
+       {R('max_ram')} AS max_ram, {R('std_ram')} AS std_ram, {R('var_ram')} AS var_ram
+FROM g"""
 
 
 def q_extractor_throughput(spark, sf):
@@ -178,8 +192,12 @@ def q_sample_summary(spark, sf):
 
 _SUMMARY_SQL = f"""
 SELECT l_orderkey AS monitor_file, max(l_quantity) AS max_cpu,
-       {R('avg(l_quantity)', 2)} AS avg_cpu, max(l_extendedprice) AS max_ram,
-       {R('avg(l_extendedprice)', 2)} AS avg_ram, count(*) AS n_samples
+       {R(_units_sum('l_quantity', '100.0') + ' / (count(l_quantity)::DOUBLE * 100.0::DOUBLE)', 2)}
+         AS avg_cpu,
+       max(l_extendedprice) AS max_ram,
+       {R(_units_sum('l_extendedprice', '100.0')
+          + ' / (count(l_extendedprice)::DOUBLE * 100.0::DOUBLE)', 2)} AS avg_ram,
+       count(*) AS n_samples
 FROM lineitem GROUP BY l_orderkey"""
 
 
