@@ -2,7 +2,6 @@
 
 import math
 
-import pytest
 from pyspark.sql import functions as F
 
 from flowforge.functions import clean

@@ -3,7 +3,6 @@
 import os
 import random
 
-from pyspark.sql import functions as F
 
 from flowforge.functions.schema import MASTER_HEADER
 from flowforge.plans import jobs

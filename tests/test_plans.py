@@ -1,0 +1,88 @@
+"""Physical-plan shape: the scale properties the operators rely on."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from flowforge.operators import matching, ranking, stats
+from flowforge.plans import standins
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_top_k_limits_rows_before_the_shuffle(spark):
+    df = spark.range(5000).select((F.col("id") % 3).alias("g"), F.col("id").alias("v"))
+    p = plan(ranking.top_k_per_group(df, ["g"], [F.col("v").desc()], 10))
+    partial = p.index("WindowGroupLimit")
+    exchange = p.index("Exchange hashpartitioning")
+    # the last (innermost) WindowGroupLimit is the map-side partial one
+    assert "Partial" in p and p.rindex("Partial") > exchange > partial
+
+
+def subtrees(plan_text: str, operator: str) -> list[str]:
+    """Text of every subtree rooted at a node whose line contains ``operator``."""
+    lines = plan_text.split("\n")
+    depth = [len(l) - len(l.lstrip(" :+-")) for l in lines]
+    out = []
+    for i, line in enumerate(lines):
+        if operator in line:
+            j = i + 1
+            while j < len(lines) and depth[j] > depth[i]:
+                j += 1
+            out.append("\n".join(lines[i:j]))
+    return out
+
+
+def test_keyword_match_broadcasts_the_grid_not_the_catalogue(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        grid = matching.scenario_grid(spark, ["Syn", "DNS"], ["CIC"])
+        cat = spark.range(100000).select(
+            F.concat(F.lit("/r/CIC/01-12/Syn/f"), F.col("id").cast("string"), F.lit(".csv"))
+            .alias("path"), F.lit("f.csv").alias("file_name"), F.lit("CIC").alias("extractor"))
+        p = plan(matching.match_files(grid, cat))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # the theta join streams the catalogue and broadcasts the constant grid
+    (nlj,) = subtrees(p, "BroadcastNestedLoopJoin")
+    (build,) = subtrees(nlj, "BroadcastExchange")
+    assert "Range (0, 100000" in nlj and "Range (0, 100000" not in build
+    assert "Generate explode" in build
+    # the only other broadcast carries the first match per scenario (<= grid)
+    outer = [b for b in subtrees(p, "BroadcastExchange") if "BroadcastNestedLoopJoin" in b]
+    head = "\n".join(outer[0].split("\n")[:6])
+    assert len(outer) == 1 and "Final" in head and "WindowGroupLimit" in head
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables missing")
+def test_scans_read_only_used_columns_and_push_filters(spark):
+    p = plan(standins.q_subset_contains(spark, SF))
+    assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double,l_extendedprice:double>" in p
+    assert "DataFilters: [coalesce(Contains(lower(o_orderpriority" in p
+    # samples are aggregated (partial + final) below the run join
+    assert p.index("Join") < p.index("HashAggregate")
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables missing")
+def test_sample_moments_stay_on_the_long_path(spark):
+    p = plan(stats.sample_stats(standins.samples_frame(spark, SF)))
+    partial = p[p.rindex("HashAggregate"):]
+    assert "decimal" not in partial.split("Results")[0]
+
+
+def test_labelled_sink_writes_without_a_shuffle(spark, tmp):
+    from flowforge.sinks.writers import write_labelled
+    df = spark.range(1000).select(F.lit("CIC").alias("extractor"), F.lit("01-12").alias("day"),
+                                  (F.col("id") % 2).cast("string").alias("attack"), "id")
+    write_labelled(df, f"{tmp}/out")
+    back = spark.read.parquet(f"{tmp}/out")
+    assert back.count() == 1000
+    assert sorted(str(r.attack) for r in back.select("attack").distinct().collect()) == ["0", "1"]
+    # the sink writes the frame as it is: no repartition is added before it
+    import inspect
+    assert ".repartition(" not in inspect.getsource(write_labelled)
