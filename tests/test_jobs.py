@@ -6,7 +6,7 @@ import random
 
 from flowforge.functions.schema import MASTER_HEADER
 from flowforge.plans import jobs
-from flowforge.sources.runs import read_detail, read_metrics
+from flowforge.sources.runs import read_detail, read_metrics, read_runs
 
 from .fixtures import capture, run_log, samples, write
 
@@ -158,3 +158,41 @@ def test_run_quality(spark, tmp):
     assert [r.run for r in q["passing_runs"].collect()] == ["r1"]
     sev = sorted((os.path.basename(r.file), r.severity) for r in q["log_triage"].collect())
     assert sev == [("jvm_stderr_a.pcap.log", "alert"), ("jvm_stderr_b.pcap.log", "warning")]
+
+
+def test_sample_file_edge_cases(spark, tmp):
+    interim = f"{tmp}/interim"
+    write(f"{interim}/CIC_RAW/d/a/monitor_a.csv", "timestamp,cpu_percent,ram_mb\n")   # header only
+    samples(f"{interim}/CIC_RAW/d/b/monitor_b.csv", [(1.0, 50.0, 512.0)])             # one row
+    for name in ("a", "b", "c"):                                                      # c: no file
+        run_log(f"{interim}/CIC_RAW/d/{name}/benchmark_{name}.json", attack=name,
+                tool="CICFlowMeter", total_packets=10, time_seconds=1.0, pps=10.0,
+                monitor_file=f"{interim}/CIC_RAW/d/{name}/monitor_{name}.csv")
+    d = {r.attack: r for r in jobs.run_report(spark, interim)["benchmark_detailed"].collect()}
+    for name in ("a", "c"):
+        assert (d[name].avg_cpu, d[name].max_ram, d[name].std_ram, d[name].var_cpu) == (0, 0, 0, 0)
+    assert (d["b"].avg_cpu, d["b"].max_ram, d["b"].std_cpu, d["b"].var_ram) == (50.0, 512.0, 0, 0)
+
+
+def test_run_log_keys_missing_in_turn(spark, tmp):
+    full = dict(attack="x", tool="CICFlowMeter", total_packets=7, time_seconds=2.0, pps=3.5,
+                monitor_file="/none.csv")
+    for k in full:
+        fields = {kk: v for kk, v in full.items() if kk != k}
+        run_log(f"{tmp}/CIC_RAW/no_{k}/benchmark_no_{k}.json", **fields)
+    d = {r.log_path.rsplit("/", 2)[-2]: r for r in read_runs(spark, tmp).collect()}
+    assert d["no_attack"].attack == "no_attack"                 # from the file name
+    assert d["no_tool"].extractor == "CICFlowMeter"              # from the path (CIC_RAW)
+    assert d["no_total_packets"].total_packets is None
+    rows = jobs.run_report(spark, tmp)["benchmark_detailed"].collect()
+    assert {r.packets for r in rows} == {0, 7} and {r.time_s for r in rows} == {0.0, 2.0}
+
+
+def test_f1_view_cases(spark):
+    rows = [("CIC", "UDPLag", 0.5), ("NTL", "UDP", 0.6), ("CIC", "Syn", 0.9), ("AL", "Syn", 0.7),
+            ("AL", "udp", 0.4), ("CIC", None, 1.0), ("NTL", "LDAP", 0.8), ("NTL", "DNS", 0.3)]
+    m = spark.createDataFrame(rows, "Extractor string, Attack string, `F1-Score` double")
+    got = {(r.Scenario, r.Extractor): round(r.mean_f1, 6) for r in jobs.f1_view(m).collect()}
+    assert got == {("UDP (Stateless)", "NTL"): 0.6, ("Syn (Estado Fechado)", "CIC"): 0.9,
+                   ("Syn (Estado Fechado)", "AL"): 0.7, ("udp", "AL"): 0.4,
+                   ("LDAP (Stateless)", "NTL"): 0.8}
