@@ -30,7 +30,7 @@ def sample_summary(samples: DataFrame, key: str = "monitor_file",
     summation order."""
     c, r = _no_nan(F.col(cpu)), _no_nan(F.col(ram))
     pre = samples.select(key, c.alias("_c"), r.alias("_r"),
-                         _units(c, decimals).alias("_cu"), _units(r, decimals).alias("_ru"))
+                         fixed_units(c, decimals).alias("_cu"), fixed_units(r, decimals).alias("_ru"))
     scale = F.lit(10.0 ** decimals)
     agg = pre.groupBy(key).agg(
         F.max("_c").alias("max_cpu"), F.sum("_cu").alias("_cs"), F.count("_cu").alias("_cn"),
@@ -45,7 +45,7 @@ def sample_summary(samples: DataFrame, key: str = "monitor_file",
 _HALF = 20  # bits of the low half of a fixed-point unit count
 
 
-def _units(x: Column, decimals: int) -> Column:
+def fixed_units(x: Column, decimals: int) -> Column:
     """Fixed-point value in integer units of ``10^-decimals`` (nearest;
     plain double arithmetic, no per-value decimal object)."""
     return F.floor(x * F.lit(10.0 ** decimals) + F.lit(0.5)).cast("bigint")
@@ -109,8 +109,8 @@ def sample_stats(samples: DataFrame, key: str = "monitor_file",
             F.stddev_samp(c).alias("std_cpu"), F.var_samp(c).alias("var_cpu"),
             F.stddev_samp(r).alias("std_ram"), F.var_samp(r).alias("var_ram"),
             F.count(F.lit(1)).alias("n_samples"))
-    pre = samples.select(key, r.alias("_ram"), *_unit_parts(_units(c, decimals), "c"),
-                         *_unit_parts(_units(r, decimals), "r"))
+    pre = samples.select(key, r.alias("_ram"), *_unit_parts(fixed_units(c, decimals), "c"),
+                         *_unit_parts(fixed_units(r, decimals), "r"))
     agg = pre.groupBy(key).agg(
         F.max("_ram").alias("max_ram"), F.count(F.lit(1)).alias("n_samples"),
         *_exact_moments("c"), *_exact_moments("r"))
@@ -160,7 +160,7 @@ def extractor_rollup(detail: DataFrame, weighted: bool = False) -> DataFrame:
     4th decimal with the summation order)."""
     def exact_sum(c):
         # report values carry 4 decimals: sum them as integers of 10^-4
-        return F.sum(_units(F.col(c), 4).cast("decimal(38,0)")).cast("double") / F.lit(1e4)
+        return F.sum(fixed_units(F.col(c), 4).cast("decimal(38,0)")).cast("double") / F.lit(1e4)
 
     if weighted:
         w = F.col("n_samples").cast("double")
@@ -170,7 +170,7 @@ def extractor_rollup(detail: DataFrame, weighted: bool = False) -> DataFrame:
     else:
         def mean(c):
             return F.try_divide(
-                F.sum(_units(F.col(c), 4).cast("decimal(38,0)")).cast("double"),
+                F.sum(fixed_units(F.col(c), 4).cast("decimal(38,0)")).cast("double"),
                 F.count(c).cast("double") * F.lit(1e4))
     agg = detail.groupBy("extractor").agg(
         F.sum("packets").cast("bigint").alias("total_packets"),
