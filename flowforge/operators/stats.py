@@ -240,6 +240,11 @@ def success_gate(status: DataFrame, key: str, ok: str,
     return agg.filter(F.col("ok_chunks") >= F.lit(ratio) * F.col("chunks"))
 
 
+# A line that is not only whitespace (space, tab, line breaks, form feed,
+# vertical tab), as a stripped log is non-empty.
+NON_BLANK = "[^ \\t\\n\\r\\f\\x0B]"
+
+
 def log_triage(lines: DataFrame, key: str = "file", text: str = "value",
                phrases: Sequence[str] = LOG_ALERT_PHRASES) -> DataFrame:
     """per log file, ``alert`` when any line holds a truncation phrase,
@@ -250,7 +255,7 @@ def log_triage(lines: DataFrame, key: str = "file", text: str = "value",
         alert = hit if alert is None else (alert | hit)
     agg = lines.groupBy(key).agg(
         F.max(F.coalesce(alert, F.lit(False)).cast("int")).alias("_alert"),
-        F.max((F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) > 0).cast("int"))
+        F.max(F.coalesce(F.col(text), F.lit("")).rlike(NON_BLANK).cast("int"))
         .alias("_nonempty"))
     return agg.select(
         key,

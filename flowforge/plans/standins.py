@@ -659,7 +659,8 @@ WITH l AS (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS value F
 SELECT file,
        CASE WHEN max(CASE WHEN contains(value, 'OutOfMemoryError') OR contains(value, 'GC overhead')
                           OR contains(value, 'heap space') THEN 1 ELSE 0 END) = 1 THEN 'alert'
-            WHEN max(CASE WHEN length(trim(coalesce(value, ''))) > 0 THEN 1 ELSE 0 END) = 1
+            WHEN max(CASE WHEN regexp_matches(coalesce(value, ''), '[^ \t\n\r\f\x0B]')
+                          THEN 1 ELSE 0 END) = 1
               THEN 'warning'
             ELSE 'clean' END AS severity
 FROM l GROUP BY file"""

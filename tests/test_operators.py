@@ -204,3 +204,10 @@ def test_exact_moments_against_fractions(spark):
         assert math.isclose(got[g].var_ram, float(var), rel_tol=1e-12)
         cs = [Fraction(str(r[1])) for r in rows if r[0] == g]
         assert math.isclose(got[g].avg_cpu, float(sum(cs) / n), rel_tol=1e-12, abs_tol=1e-12)
+
+
+def test_log_triage_whitespace_only_is_clean(spark):
+    lines = spark.createDataFrame([("f1", "\t"), ("f1", "  "), ("f2", "\t x")],
+                                  "file string, value string")
+    sev = {r.file: r.severity for r in stats.log_triage(lines).collect()}
+    assert sev == {"f1": "clean", "f2": "warning"}
