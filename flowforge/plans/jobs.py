@@ -21,7 +21,7 @@ from ..functions.schema import (ATTACK_KEYWORDS, B_SOURCE_POSITION, C_META_COLUM
                                 DEFAULT_ATTACKER, EXTRACTORS, F1_VIEW_TARGETS,
                                 HEAD_TO_HEAD, MASTER_HEADER, NA_TOKENS, TOOL_NAMES)
 from ..operators import encoding, matching, model, sampling, scoring, stats
-from ..session import qualify
+from ..session import cut_lineage, qualify
 from ..sinks import writers
 from ..sources import pcap
 from ..sources.catalogue import catalogue, parse_header, read_first_line
@@ -152,14 +152,22 @@ class Prepared:
     features: list[str]
     categorical: list[str]
     dictionary: DataFrame | None
+    kinds: dict[str, str]
 
 
 def prepare_training_set(flows: DataFrame, length_bytes: int | None = None,
                          exclude: Sequence[str] = ROW_META, seed: str = "",
                          dictionary: DataFrame | None = None,
-                         float32: bool = True) -> Prepared | None:
+                         kinds: dict[str, str] | None = None,
+                         float32: bool = True, materialize: bool = True) -> Prepared | None:
     """P9 label, P8 pruning, T4, T2 kinds, T7 codes, T6, T5, P10 target;
-    M1 sampling by the source file's size.  None when no label column."""
+    M1 sampling by the source file's size.  None when no label column.
+
+    A test set passes the training set's ``kinds`` and ``dictionary`` so
+    that both are typed and encoded alike (columns unseen in training are
+    numeric).  With ``materialize`` the prepared rows are checkpointed to the
+    shared folder once: the class gate, the weights and the fit then read
+    doubles instead of re-parsing and re-scrubbing the CSV."""
     cols = [c for c in flows.columns if c not in set(exclude)]
     target_col = label_column(cols)
     if target_col is None:
@@ -171,7 +179,10 @@ def prepare_training_set(flows: DataFrame, length_bytes: int | None = None,
     rate = sampling.sampling_rate(length_bytes)
     df = sampling.hash_sample(df, rate, [F.col("_rowkey")], seed)
     df = clean.null_tokens(df, NA_TOKENS, feats)
-    kinds = clean.column_kinds(df, feats)
+    if kinds is None:
+        kinds = clean.column_kinds(df, feats)
+    else:
+        kinds = {c: kinds.get(c, "numeric") for c in feats}
     numeric = [c for c in feats if kinds[c] == "numeric"]
     categorical = [c for c in feats if kinds[c] == "categorical"]
     df = clean.cast_numeric(df, numeric)
@@ -187,7 +198,9 @@ def prepare_training_set(flows: DataFrame, length_bytes: int | None = None,
         exprs.append(f"{clean.finite_or_zero_sql(v)} AS {q(c)}")
     df = df.selectExpr(*exprs, "_label", "_rowkey")
     df = df.withColumn("target", binary_target(F.col("_label"))).drop("_label")
-    return Prepared(df, feats, categorical, dictionary)
+    if materialize:
+        df = cut_lineage(df)
+    return Prepared(df, feats, categorical, dictionary, kinds)
 
 
 # --- B7 extractor benchmark ------------------------------------------------------------
@@ -229,8 +242,8 @@ def extractor_benchmark(spark: SparkSession, processed_root: str,
             train = sampling.class_weights(prep.data, "target")
             forest = model.fit_forest(model.assemble(train, prep.features))
             test_raw = _read_one(spark, p["test_path"])
-            tprep = prepare_training_set(test_raw, p["test_len"],
-                                         dictionary=prep.dictionary) if test_raw else None
+            tprep = prepare_training_set(test_raw, p["test_len"], dictionary=prep.dictionary,
+                                         kinds=prep.kinds) if test_raw else None
             if tprep is None:
                 skipped.append((*scen, "invalid test data"))
                 continue

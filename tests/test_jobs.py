@@ -196,3 +196,17 @@ def test_f1_view_cases(spark):
     assert got == {("UDP (Stateless)", "NTL"): 0.6, ("Syn (Estado Fechado)", "CIC"): 0.9,
                    ("Syn (Estado Fechado)", "AL"): 0.7, ("udp", "AL"): 0.4,
                    ("LDAP (Stateless)", "NTL"): 0.8}
+
+
+def test_test_set_uses_training_kinds_and_codes(spark):
+    train = spark.createDataFrame([("udp", "1.5", "BENIGN"), ("tcp", "2.5", "Syn")],
+                                  "proto_name string, rate string, label string")
+    test = spark.createDataFrame([("6", "3.5", "Syn"), ("udp", "x", "BENIGN")],
+                                 "proto_name string, rate string, label string")
+    tr = jobs.prepare_training_set(train, exclude=())
+    assert tr.kinds == {"proto_name": "categorical", "rate": "numeric"}
+    te = jobs.prepare_training_set(test, exclude=(), dictionary=tr.dictionary, kinds=tr.kinds)
+    got = sorted((r.proto_name, r.rate, r.target) for r in te.data.collect())
+    # '6' was never seen in training: extra code 2; 'udp' keeps its code 1;
+    # 'x' in a numeric column becomes 0
+    assert got == [(1.0, 0.0, 0), (2.0, 3.5, 1)]
