@@ -71,7 +71,7 @@ def test_hash_sample_and_cap(spark):
     cap = sampling.cap_rows(df, 50, ["id"], ["g"])
     assert sorted(r["count"] for r in cap.groupBy("g").count().collect()) == [50, 50, 50]
     assert sampling.sampling_rate(100) == 1.0
-    assert sampling.sampling_rate(None) == 0.5
+    assert sampling.sampling_rate(None) == 1.0
     assert math.isclose(sampling.sampling_rate(2 * 1024 ** 3), 0.625)
 
 
