@@ -500,10 +500,10 @@ def q_class_weights(spark, sf):
 
 
 _WEIGHTS_SQL = """
-WITH c AS (SELECT quality, count(*) AS n FROM labels GROUP BY quality),
-t AS (SELECT sum(n) AS n, count(*) AS k FROM c)
-SELECT l.doc_id, l.quality, t.n::DOUBLE / (t.k::DOUBLE * c.n) AS weight
-FROM labels l JOIN c USING (quality), t"""
+WITH c AS (SELECT quality, count(*) AS n FROM labels GROUP BY quality)
+SELECT l.doc_id, l.quality,
+       (SELECT sum(n) FROM c)::DOUBLE / ((SELECT count(*) FROM c)::DOUBLE * c.n) AS weight
+FROM labels l JOIN c USING (quality)"""
 
 
 def _predictions(spark, sf):

@@ -65,25 +65,32 @@ _SHIPPED: set[int] = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``flowforge`` importable in Python workers (mapInPandas, the
-    capture data source) by adding a zip of the package with ``addPyFile``.
-    Done once per context; a no-op when workers already have the package."""
+    capture data source): a zip of the package is written to the shared
+    checkpoint folder (any Hadoop file system) and added with ``addPyFile``.
+    Done once per context."""
     sc = spark.sparkContext
     key = id(sc._jsc)
     if key in _SHIPPED:
         return
+    import io
     import zipfile
     pkg = os.path.dirname(os.path.abspath(__file__))
-    base = ensure_checkpoint_dir(spark)
-    local = base[5:] if base.startswith("file:") else (base if base.startswith("/") else None)
-    folder = os.path.join(local, "pyfiles") if local else tempfile.mkdtemp(prefix="flowforge-py-")
-    os.makedirs(folder, exist_ok=True)
-    target = os.path.join(folder, f"flowforge-{uuid.uuid4().hex[:8]}.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _, files in os.walk(pkg):
             for f in files:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    target = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pyfiles/flowforge-{uuid.uuid4().hex[:8]}.zip"
+    jvm = sc._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(target)
+    fs = hpath.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(hpath, True)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
     sc.addPyFile(target)
     _SHIPPED.add(key)
 
