@@ -205,8 +205,19 @@ def prepare_training_set(flows: DataFrame, length_bytes: int | None = None,
 
 # --- B7 extractor benchmark ------------------------------------------------------------
 
-def _read_one(spark: SparkSession, path: str) -> DataFrame | None:
-    """One labelled CSV, read with its own header (one line peeked)."""
+def _read_one(spark: SparkSession, path: str, fmt: str = "csv",
+              is_dir: bool = False) -> DataFrame | None:
+    """One scenario's labelled flows: a CSV file read with its own header,
+    or a whole partition directory (CSV header groups, or Parquet)."""
+    if fmt == "parquet":
+        return spark.read.parquet(path)
+    if is_dir:
+        cat = catalogue(spark, path, exclude_prefixes=("monitor_", "benchmark_"))
+        out = None
+        for raw, paths in header_groups(cat):
+            df = read_header_csv(spark, paths, list(raw))
+            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+        return out
     raw = parse_header(read_first_line(path))
     return read_header_csv(spark, [path], raw) if raw else None
 
@@ -214,14 +225,26 @@ def _read_one(spark: SparkSession, path: str) -> DataFrame | None:
 def extractor_benchmark(spark: SparkSession, processed_root: str,
                         attacks: Sequence[str] = ATTACK_KEYWORDS,
                         extractors: Sequence[str] = EXTRACTORS,
-                        out: str | None = None) -> tuple[DataFrame, DataFrame, list]:
+                        out: str | None = None, fmt: str = "csv",
+                        match_on: str = "file_name") -> tuple[DataFrame, DataFrame, list]:
     """For every (attack, extractor) with a training file: prepare,
     gate (>= 2 classes), fit the forest, score on the other day (Real) or on
     a stratified 30 % split (Split), rank importances.
 
+    ``match_on="file_name"`` matches keywords against file names (one file
+    per scenario, as the processed tree is laid out); ``"attack"`` matches
+    them against attack directories and takes the whole directory -- the
+    layout the labelled-flow sink writes (``extractor=/day=/attack=/part-*``).
+
     Returns (metrics, feature rankings, skipped scenarios)."""
-    cat = catalogue(spark, processed_root, exclude_prefixes=("monitor_", "benchmark_"),
-                    exclude_contains=("semlabel",))
+    cat = catalogue(spark, processed_root, glob="*.parquet" if fmt == "parquet" else "*.csv",
+                    exclude_prefixes=("monitor_", "benchmark_"), exclude_contains=("semlabel",))
+    by_dir = match_on == "attack"
+    if by_dir:
+        cat = (cat.groupBy("extractor", "day", "attack", "parent_dir")
+               .agg(F.sum("length").alias("length"))
+               .select(F.col("parent_dir").alias("path"), F.col("attack").alias("file_name"),
+                       "extractor", "day", "length"))
     grid = matching.scenario_grid(spark, attacks, extractors)
     lengths = cat.select("path", "length")
     pairs = (matching.pair_train_test(grid, cat)
@@ -233,15 +256,16 @@ def extractor_benchmark(spark: SparkSession, processed_root: str,
     metrics, rankings, skipped = [], [], []
     for p in pairs:
         scen = (p["extractor"], p["attack"])
-        train_raw = _read_one(spark, p["train_path"])
+        train_raw = _read_one(spark, p["train_path"], fmt, by_dir)
         prep = prepare_training_set(train_raw, p["train_len"]) if train_raw else None
-        if prep is None or not sampling.has_two_classes(prep.data, "target"):
+        counts = sampling.class_count_map(prep.data, "target") if prep else {}
+        if len(counts) < 2:
             skipped.append((*scen, "invalid training data or fewer than 2 classes"))
             continue
         if p["strategy"] == "Real":
-            train = sampling.class_weights(prep.data, "target")
+            train = sampling.class_weights(prep.data, "target", counts=counts)
             forest = model.fit_forest(model.assemble(train, prep.features))
-            test_raw = _read_one(spark, p["test_path"])
+            test_raw = _read_one(spark, p["test_path"], fmt, by_dir)
             tprep = prepare_training_set(test_raw, p["test_len"], dictionary=prep.dictionary,
                                          kinds=prep.kinds) if test_raw else None
             if tprep is None:
