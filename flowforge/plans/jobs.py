@@ -266,8 +266,9 @@ def extractor_benchmark(spark: SparkSession, processed_root: str,
             train = sampling.class_weights(prep.data, "target", counts=counts)
             forest = model.fit_forest(model.assemble(train, prep.features))
             test_raw = _read_one(spark, p["test_path"], fmt, by_dir)
+            # the test set is read once (predict + score): no materialisation
             tprep = prepare_training_set(test_raw, p["test_len"], dictionary=prep.dictionary,
-                                         kinds=prep.kinds) if test_raw else None
+                                         kinds=prep.kinds, materialize=False) if test_raw else None
             if tprep is None:
                 skipped.append((*scen, "invalid test data"))
                 continue
