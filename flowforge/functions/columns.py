@@ -179,9 +179,30 @@ def attack_from_log_name(attack: Column, path: Column) -> Column:
 
 # --- P14 report rounding ----------------------------------------------------------
 
+def round_half_up(c: Column, digits: int) -> Column:
+    """``F.round(c, digits)`` computed without a decimal object per value.
+
+    ``floor(x * 10^d + 0.5) / 10^d`` is the same double as Spark's half-up
+    rounding of the decimal text whenever ``x * 10^d`` is an exact-integer
+    range double that is clearly away from a half-way point (the integer and
+    the division are both correctly rounded).  "Clearly" allows for the
+    product's own rounding error, which grows with its magnitude: values
+    within ``1e-6 + |y| * 1e-14`` (about 45 ulps) of a half-way point, or of
+    huge magnitude, take ``F.round`` itself.
+    """
+    scale = F.lit(10.0 ** digits)
+    y = c * scale
+    frac = y - F.floor(y)
+    near_tie = F.abs(frac - F.lit(0.5)) < F.lit(1e-6) + F.abs(y) * F.lit(1e-14)
+    too_big = F.abs(y) >= F.lit(float(2 ** 51))
+    fast = F.floor(y + F.lit(0.5)) / scale
+    return F.when(c.isNull(), F.lit(None).cast("double")) \
+        .when(near_tie | too_big | F.isnan(c), F.round(c, digits)).otherwise(fast)
+
+
 def zero_round(c: Column, digits: int = 4) -> Column:
-    """Missing or NaN -> 0, then rounded."""
-    return F.round(F.coalesce(F.nanvl(c, F.lit(None).cast("double")), F.lit(0.0)), digits)
+    """Missing or NaN -> 0, then rounded (half up, as ``F.round``)."""
+    return round_half_up(F.coalesce(F.nanvl(c, F.lit(None).cast("double")), F.lit(0.0)), digits)
 
 
 # --- P15 scenario mapping -----------------------------------------------------------

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import to_millions, mb_to_gb, zero_round
+from ..functions.columns import mb_to_gb, round_half_up, to_millions, zero_round
 from ..functions.schema import LOG_ALERT_PHRASES, SUCCESS_RATIO
 
 
@@ -38,8 +38,9 @@ def sample_summary(samples: DataFrame, key: str = "monitor_file",
         F.count(F.lit(1)).alias("n_samples"))
     mean = lambda s_, n_: F.when(F.col(n_) > 0, F.col(s_).cast("double")
                                  / (F.col(n_).cast("double") * scale))
-    return agg.select(key, "max_cpu", F.round(mean("_cs", "_cn"), 2).alias("avg_cpu"),
-                      "max_ram", F.round(mean("_rs", "_rn"), 2).alias("avg_ram"), "n_samples")
+    return agg.select(key, "max_cpu", round_half_up(mean("_cs", "_cn"), 2).alias("avg_cpu"),
+                      "max_ram", round_half_up(mean("_rs", "_rn"), 2).alias("avg_ram"),
+                      "n_samples")
 
 
 _HALF = 20  # bits of the low half of a fixed-point unit count
