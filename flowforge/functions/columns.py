@@ -38,7 +38,7 @@ def normalise_names(raw: Sequence[str]) -> list[str]:
     normalisation makes two names equal (``label`` vs ``Label``) the *last*
     keeps the name -- the one later steps pick -- and earlier ones are
     renamed: a dummy ``label`` becomes ``_extractor_label``, anything else
-    ``<name>_dup<k>``.
+    ``<name>_dup``; further repeats and clashes get ``_2``, ``_3`` ...
     """
     seen: dict[str, int] = {}
     mangled = []
@@ -47,18 +47,19 @@ def normalise_names(raw: Sequence[str]) -> list[str]:
         mangled.append(r if k == 0 else f"{r}.{k}")
         seen[r] = k + 1
     names = [normalise_name(m) for m in mangled]
+    last = {n.lower(): i for i, n in enumerate(names)}
+    taken = {names[i].lower() for i in last.values()}
     out = list(names)
-    last = {}
     for i, n in enumerate(names):
-        last[n.lower()] = i
-    counters: dict[str, int] = {}
-    for i, n in enumerate(names):
-        if last[n.lower()] != i:
-            if n.lower() == "label":
-                out[i] = "_extractor_label"
-            else:
-                counters[n] = counters.get(n, 0) + 1
-                out[i] = f"{n}_dup{counters[n]}"
+        if last[n.lower()] == i:
+            continue
+        base = "_extractor_label" if n.lower() == "label" else f"{n}_dup"
+        cand, k = base, 1
+        while cand.lower() in taken:
+            k += 1
+            cand = f"{base}_{k}"
+        taken.add(cand.lower())
+        out[i] = cand
     return out
 
 

@@ -274,6 +274,10 @@ def extractor_benchmark(spark: SparkSession, processed_root: str,
                 continue
             test = align(tprep.data, prep.features + ["target"])
         else:
+            if min(counts.values()) < 2:
+                # a stratified split cannot place a one-member class on both sides
+                skipped.append((*scen, "a class has a single member"))
+                continue
             split = sampling.stratified_split(prep.data, "target", "_rowkey")
             train = sampling.class_weights(split.filter(~F.col("is_test")), "target")
             test = split.filter(F.col("is_test"))

@@ -34,7 +34,9 @@ def test_normalise_names_rules():
     assert normalise_names(["label", "x", "Label"]) == ["_extractor_label", "x", "label"]
     # exact raw repeats are suffixed like the pandas reader does
     assert normalise_names(["a", "a", "b"]) == ["a", "a.1", "b"]
-    assert normalise_names(["A b", "a_b"]) == ["a_b_dup1", "a_b"]
+    assert normalise_names(["A b", "a_b"]) == ["a_b_dup", "a_b"]
+    assert normalise_names([" label", "label", "Label"]) == \
+        ["_extractor_label", "_extractor_label_2", "label"]
 
 
 def test_source_and_label_resolution():
@@ -176,3 +178,25 @@ def test_round_half_up_equals_spark_round(spark):
         bad = both.filter(~round_half_up(F.col("x"), d).eqNullSafe(F.round(F.col("x"), d))
                           & ~(F.isnan(F.col("x"))))
         assert bad.count() == 0, bad.limit(5).collect()
+
+
+def test_normalise_names_properties():
+    from hypothesis import given, settings, strategies as st
+    alphabet = st.sampled_from(["a", "A", "b", " ", "_", "l", "L", "label", "Label"])
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.lists(alphabet, min_size=1, max_size=4).map("".join),
+                    min_size=1, max_size=8))
+    def check(raw):
+        out = normalise_names(raw)
+        assert len(out) == len(raw)
+        assert len({o.lower() for o in out}) == len(out)          # unique, case-insensitively
+        assert all(" " not in o for o in out)
+        # the last raw name of each normalised family keeps the normalised name
+        norm = [r.strip().lower().replace(" ", "_") for r in raw]
+        for n in set(norm):
+            idx = max(i for i, m in enumerate(norm) if m == n)
+            if raw.index(raw[idx]) == idx:                        # not an exact raw repeat
+                assert out[idx] == n
+
+    check()

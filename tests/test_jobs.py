@@ -4,6 +4,8 @@ import os
 import random
 
 
+from pyspark.sql import functions as F
+
 from flowforge.functions.schema import MASTER_HEADER
 from flowforge.plans import jobs
 from flowforge.sources.runs import read_detail, read_metrics, read_runs
@@ -28,6 +30,8 @@ def test_label_extractor_a(spark, tmp):
                    ("Syn", "7", "BENIGN")]
     back = spark.read.parquet(out)
     assert back.count() == 4 and {"extractor", "day", "attack"} <= set(back.columns)
+    # the label is total: every flow gets one
+    assert res.flows.filter(F.col("label").isNull()).count() == 0
 
 
 def test_label_extractor_b(spark, tmp):
@@ -210,3 +214,14 @@ def test_test_set_uses_training_kinds_and_codes(spark):
     # '6' was never seen in training: extra code 2; 'udp' keeps its code 1;
     # 'x' in a numeric column becomes 0
     assert got == [(1.0, 0.0, 0), (2.0, 3.5, 1)]
+
+
+def test_split_scenario_with_single_member_class_is_skipped(spark, tmp):
+    root = f"{tmp}/processed"
+    rows = ["src_ip,flow_duration,label", f"{ATT},1.0,Syn"] + \
+        [f"10.0.0.{i},{i}.5,BENIGN" for i in range(2, 40)]
+    write(f"{root}/AL/01-12/DNS/DrDoS_DNS.csv", "\n".join(rows) + "\n")
+    metrics, _, skipped = jobs.extractor_benchmark(spark, root, attacks=["DNS"],
+                                                   extractors=["AL"])
+    assert metrics.count() == 0
+    assert skipped == [("AL", "DNS", "a class has a single member")]
