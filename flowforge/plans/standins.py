@@ -283,9 +283,14 @@ def _kind_sql() -> str:
     sel = ", ".join(f"{e.format(t='VARCHAR')} AS {n}" for n, e in _KIND_COLUMNS.items())
     parts = []
     for n in _KIND_COLUMNS:
+        v = f"TRY_CAST({n} AS DOUBLE)"
+        exp = (f"TRY_CAST(regexp_extract({n}, '[eE]([+-]?[0-9]+)', 1) AS BIGINT) "
+               f"- length(regexp_extract({n}, '[.]([0-9]*)', 1))")
         bad = (f"count(*) FILTER (WHERE {n} IS NOT NULL AND "
-               f"(CASE WHEN regexp_matches({n}, '{clean.NUMBER_PATTERN}') "
-               f"THEN TRY_CAST({n} AS DOUBLE) END) IS NULL)")
+               f"(CASE WHEN regexp_matches({n}, '{clean.DECIMAL_PATTERN}') "
+               f"AND (NOT contains(lower({n}), 'e') OR coalesce({exp} <= 308, false)) "
+               f"AND abs({v}) < 'Infinity'::DOUBLE THEN {v} "
+               f"WHEN regexp_matches({n}, '{clean.INFINITY_PATTERN}') THEN {v} END) IS NULL)")
         parts.append(f"SELECT '{n}' AS column_name, {bad} AS bad_cells FROM c")
     return (f"WITH c AS (SELECT {sel} FROM lineitem), b AS ({' UNION ALL '.join(parts)}) "
             "SELECT column_name, bad_cells, CASE WHEN bad_cells > 0 THEN 'categorical' "

@@ -200,3 +200,45 @@ def test_normalise_names_properties():
                 assert out[idx] == n
 
     check()
+
+
+def _random_cells(seed, n, size):
+    import random
+    rnd = random.Random(seed)
+    alpha = list("0123456789") * 3 + list(".eE+- dDfFxinaIN_\t") + \
+        ["inf", "Infinity", "nan", "NaN", " ", "e308", "e309", "e-400"]
+    return sorted({"".join(rnd.choice(alpha) for _ in range(rnd.randint(1, size)))
+                   for _ in range(n)})
+
+
+def test_coercion_matches_pandas_to_numeric(spark):
+    """T3 equals pandas to_numeric(errors='coerce').fillna(0), then T5."""
+    import pandas as pd
+    cells = _random_cells(3, 6000, 6)
+    exp = pd.to_numeric(pd.Series(cells, dtype=object), errors="coerce").fillna(0)
+    exp = [0.0 if not math.isfinite(v) else float(v) for v in exp]
+    df = spark.createDataFrame(list(enumerate(cells)), "i int, v string")
+    got = {r.i: r.v for r in clean.zero_nonfinite(clean.coerce_numeric(df, keep=["i"]), ["v"])
+           .collect()}
+    bad = [(cells[i], e, got[i]) for i, e in enumerate(exp)
+           if not math.isclose(e, got[i], rel_tol=1e-12, abs_tol=0.0) and e != got[i]]
+    assert bad == []
+
+
+def test_column_kind_matches_pandas_csv_typing(spark):
+    """T2 types a column as a CSV reader does (cells next to a number)."""
+    import io
+    import pandas as pd
+    cells = [c for c in _random_cells(5, 1500, 5) if "," not in c]
+    exp = []
+    for c in cells:
+        d = pd.read_csv(io.StringIO(f"x,y\n1,a\n{c},b\n"), keep_default_na=False,
+                        na_values=[])
+        exp.append("categorical" if d["x"].dtype == object else "numeric")
+    src = spark.createDataFrame([(i, v) for i in range(len(cells)) for v in ("1", cells[i])],
+                                "id int, x string")
+    bad_cells = src.groupBy("id").agg(
+        F.expr(f"count_if(x IS NOT NULL AND {clean.csv_numeric_sql('x')} IS NULL)").alias("b"))
+    got = {r.id: ("categorical" if r.b > 0 else "numeric") for r in bad_cells.collect()}
+    diff = [(cells[i], exp[i], got[i]) for i in range(len(cells)) if exp[i] != got[i]]
+    assert diff == []
