@@ -24,7 +24,7 @@ from ..functions.columns import canonical_dns, normalise_names, source_ip_column
 from ..functions.schema import C_META_COLUMNS, DEFAULT_ATTACKER, NA_TOKENS
 from ..session import qualify, scratch_path
 from ..sources.catalogue import path_meta
-from ..sources.flows import CSV_OPTIONS, _string_schema
+from ..sources.flows import CSV_OPTIONS, _string_schema, too_long
 
 
 def flow_stream(spark: SparkSession, input_dir: str, raw_header: Sequence[str],
@@ -40,7 +40,7 @@ def flow_stream(spark: SparkSession, input_dir: str, raw_header: Sequence[str],
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     df = reader.csv(input_dir)
     df = df.select("*", F.col("_metadata.file_path").alias("source_file"))
-    df = df.filter(F.col("_overflow").isNull())
+    df = df.filter(~too_long(n))
     return df.select(*[F.col(f"_c{i}").alias(names[i]) for i in range(n)], "source_file")
 
 

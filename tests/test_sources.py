@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from flowforge.functions.schema import MASTER_HEADER
 from flowforge.sources import pcap
 from flowforge.sources.catalogue import catalogue
-from flowforge.sources.flows import (attach_path_meta, header_groups, read_header_flows,
+from flowforge.sources.flows import (attach_path_meta, header_groups, read_header_csv,
+                                     read_header_flows,
                                      read_positional_flows, rejected_rows)
 from flowforge.sources.runs import read_runs, read_samples
 from flowforge.session import qualify
@@ -119,3 +120,40 @@ def test_captures(spark, tmp):
     per = {r.attack: r["count"] for r in pk.groupBy("attack").count().collect()}
     assert per == {"01-12_Syn": 12, "03-11_DNS": 3}
     assert pk.filter("truncated").count() == 1
+
+
+def test_tolerant_scan_matches_pandas_bad_line_skip(spark, tmp):
+    """S2 keeps and drops exactly the rows pandas keeps with
+    on_bad_lines='skip' (ragged rows, quoted commas, escaped quotes, empty
+    extra fields); the first data row is never long (see Q28)."""
+    import random
+    import pandas as pd
+    rnd = random.Random(11)
+    vals = ["1", "x", "", '"a,b"', '""', "2.5", " y ", "NaN", '"q""r"']
+    key = lambda t: tuple("\0" if v is None else v for v in t)
+    for t in range(25):
+        lines = ["h1,h2,h3,h4"]
+        for r in range(rnd.randint(1, 12)):
+            n = rnd.choice([1, 2, 3, 4, 4, 4, 5, 6]) if r > 0 else rnd.choice([2, 3, 4])
+            lines.append(",".join(rnd.choice(vals) for _ in range(n)))
+        path = write(f"{tmp}/r/f{t}.csv", "\n".join(lines) + "\n")
+        p = pd.read_csv(path, on_bad_lines="skip", dtype=str, keep_default_na=False)
+        exp = sorted((tuple(None if v == "" else v for v in row)
+                      for row in p.itertuples(index=False)), key=key)
+        got = sorted((tuple(None if v == "" else v for v in r)[:4] for r in
+                      read_header_csv(spark, [path], ["h1", "h2", "h3", "h4"]).collect()), key=key)
+        assert exp == got, "\n".join(lines)
+
+
+def test_scan_with_only_file_metadata_selected(spark, tmp):
+    write(f"{tmp}/A/01-12/Syn/a.csv", "Src IP,X\n1.1.1.1,5\n2.2.2.2,6,7\n3.3.3.3\n")
+    flows = read_header_flows(spark, catalogue(spark, tmp))
+    assert flows.select("source_file").count() == 2
+    assert rejected_rows(spark, catalogue(spark, tmp)).first().rejected == 1
+
+
+def test_long_rows_dropped_whatever_the_query_selects(spark, tmp):
+    write(f"{tmp}/B/01-12/Syn/n.csv", "a,0.5,x\nb,0.5,y\nc,0.5,z,EXTRA\n")
+    flows = read_positional_flows(spark, catalogue(spark, tmp))
+    assert flows.filter(F.col("timestamp") == "0.5").select("flow_id").count() == 2
+    assert flows.select("source_file").count() == 2
