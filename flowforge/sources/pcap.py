@@ -108,6 +108,8 @@ class _Reader(DataSourceReader):
 
     def read(self, partition):
         import pyarrow as pa
+        if partition is None:          # no capture files: Spark asks once with None
+            return
         path = partition.path
         if self.mode == "files":
             try:

@@ -157,3 +157,13 @@ def test_long_rows_dropped_whatever_the_query_selects(spark, tmp):
     flows = read_positional_flows(spark, catalogue(spark, tmp))
     assert flows.filter(F.col("timestamp") == "0.5").select("flow_id").count() == 2
     assert flows.select("source_file").count() == 2
+
+
+def test_empty_folders(spark, tmp):
+    import os
+    from flowforge.plans import jobs
+    os.makedirs(f"{tmp}/e/sub")
+    assert pcap.read_capture_files(spark, f"{tmp}/e").count() == 0
+    assert pcap.read_packets(spark, f"{tmp}/e").count() == 0
+    assert jobs.run_report(spark, f"{tmp}/e")["benchmark_detailed"].count() == 0
+    assert jobs.label_header_flows(spark, f"{tmp}/e").flows is None
