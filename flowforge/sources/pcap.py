@@ -27,6 +27,7 @@ _MAGIC_BE = bytes.fromhex("a1b2c3d4")
 _GLOBAL_HEADER = 24
 _RECORD_HEADER = 16
 _BATCH = 65536
+_BLOCK_BYTES = 8 << 20
 
 PACKETS_SCHEMA = ("file string, ordinal bigint, ts_sec bigint, ts_frac bigint, "
                   "incl_len bigint, orig_len bigint, truncated boolean")
@@ -72,15 +73,21 @@ def walk_records(path: str):
     fmt = struct.Struct(order + "IIII")
 
     def records():
+        # Sequential reads of _BLOCK bytes; headers are parsed in place and a
+        # new block is read only when the next header is not in the current
+        # one (payloads larger than a block are skipped by seeking).
         try:
             pos = _GLOBAL_HEADER
             ordinal = 0
+            buf, start = b"", pos
             while pos + _RECORD_HEADER <= size:
-                f.seek(pos)
-                hdr = f.read(_RECORD_HEADER)
-                if len(hdr) < _RECORD_HEADER:
-                    break
-                ts_sec, ts_frac, incl, orig = fmt.unpack(hdr)
+                off = pos - start
+                if off + _RECORD_HEADER > len(buf):
+                    f.seek(pos)
+                    buf, start, off = f.read(_BLOCK_BYTES), pos, 0
+                    if len(buf) < _RECORD_HEADER:
+                        break
+                ts_sec, ts_frac, incl, orig = fmt.unpack_from(buf, off)
                 end = pos + _RECORD_HEADER + incl
                 yield ordinal, ts_sec, ts_frac, incl, orig, end > size
                 ordinal += 1

@@ -167,3 +167,17 @@ def test_empty_folders(spark, tmp):
     assert pcap.read_packets(spark, f"{tmp}/e").count() == 0
     assert jobs.run_report(spark, f"{tmp}/e")["benchmark_detailed"].count() == 0
     assert jobs.label_header_flows(spark, f"{tmp}/e").flows is None
+
+
+def test_record_walk_across_block_boundaries(tmp, monkeypatch):
+    """Tiny read blocks: headers and payloads straddle every boundary."""
+    monkeypatch.setattr(pcap, "_BLOCK_BYTES", 32)
+    a = capture(f"{tmp}/c/a.pcap", "<", 9)
+    b = capture(f"{tmp}/c/b.pcap", ">", 4, cut_last=True)
+    order, recs = pcap.walk_records(a)
+    got = list(recs)
+    assert order == "little" and [r[3] for r in got] == [10 + i for i in range(9)]
+    assert [r[1] for r in got] == [1000 + i for i in range(9)] and not any(r[5] for r in got)
+    order, recs = pcap.walk_records(b)
+    got = list(recs)
+    assert order == "big" and len(got) == 4 and got[-1][5] and not got[0][5]
