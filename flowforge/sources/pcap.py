@@ -205,12 +205,13 @@ def read_packets(spark: SparkSession, root: str, suffix: str = ".pcap") -> DataF
     """One row per record header, with the capture's ``directory`` and
     ``attack`` (P5 name)."""
     register(spark)
-    df = spark.read.format("capture_packets").option("suffix", suffix).load(root)
+    # qualified on the driver: the source lists files in a worker process
+    df = spark.read.format("capture_packets").option("suffix", suffix).load(qualify(spark, root))
     return _with_attack(df, spark, root)
 
 
 def read_capture_files(spark: SparkSession, root: str, suffix: str = ".pcap") -> DataFrame:
     """Per-file packet counts and status."""
     register(spark)
-    df = spark.read.format("capture_files").option("suffix", suffix).load(root)
+    df = spark.read.format("capture_files").option("suffix", suffix).load(qualify(spark, root))
     return _with_attack(df, spark, root)

@@ -225,3 +225,42 @@ def test_split_scenario_with_single_member_class_is_skipped(spark, tmp):
                                                    extractors=["AL"])
     assert metrics.count() == 0
     assert skipped == [("AL", "DNS", "a class has a single member")]
+
+
+def test_readme_workflow(spark, tmp):
+    """The four steps exactly as the README shows them, on a fixture tree."""
+    d = f"{tmp}/data"
+    capture(f"{d}/raw/PCAP/01-12/Syn/a.pcap", "<", 5)
+    capture(f"{d}/raw/PCAP/03-11/Syn/b.pcap", ">", 3)
+    for day, seed in (("01-12", 1), ("03-11", 2)):
+        _flow_csv(f"{d}/interim/CIC_RAW/{day}/Syn/part.csv", 120, seed, 0.4)
+        mon = f"{d}/interim/CIC_RAW/{day}/Syn/monitor_{day}_Syn.csv"
+        samples(mon, [(1.0, 10.0, 100.0), (2.0, 20.0, 200.0)])
+        run_log(f"{d}/interim/CIC_RAW/{day}/Syn/benchmark_{day}_Syn.json", attack=f"{day}_Syn",
+                tool="CICFlowMeter", total_packets=8, time_seconds=2.0, pps=4.0,
+                monitor_file=mon)
+    row = lambda fid, src: ",".join([fid, "t", src] + ["1"] * 16 + ["BENIGN"])
+    write(f"{d}/interim/NTL_RAW/01-12/Syn/p.csv", row("a", ATT) + "\n" + row("b", "9.9.9.9") + "\n")
+    write(f"{d}/interim/AL_RAW/01-12/DNS/p.csv",
+          "flow_id,timestamp,src_ip,label,f1\nx,t," + ATT + ",BENIGN,inf\n")
+    # the README's relative paths, rooted at the fixture folder (Spark resolves
+    # relative paths in the JVM's working directory)
+    files, per_attack = jobs.capture_inventory(spark, f"{d}/raw/PCAP")
+    assert {r.attack: r.total_packets for r in per_attack.collect()} == \
+        {"01-12_Syn": 5, "03-11_Syn": 3}
+    jobs.consolidate_fragments(spark, f"{d}/interim/CIC_RAW", out=f"{d}/interim/CIC_merged")
+    jobs.label_header_flows(spark, f"{d}/interim/CIC_RAW", ATT, style="A",
+                            out=f"{d}/processed/CIC")
+    jobs.label_positional_flows(spark, f"{d}/interim/NTL_RAW", ATT, out=f"{d}/processed/NTL")
+    jobs.label_header_flows(spark, f"{d}/interim/AL_RAW", ATT, style="C",
+                            out=f"{d}/processed/AL")
+    metrics, rankings, skipped = jobs.extractor_benchmark(
+        spark, f"{d}/processed", fmt="parquet", match_on="attack",
+        out=f"{tmp}/results/ml_metrics")
+    m = {(r.Extractor, r.Attack): r.Strategy for r in metrics.collect()}
+    assert m[("CIC", "Syn")] == "Real"                  # day 1 -> day 2 from the sink layout
+    views = jobs.run_report(spark, f"{d}/interim", out=f"{tmp}/results/figures")
+    assert views["benchmark_detailed"].count() == 2
+    assert jobs.extractor_report(views["benchmark_detailed"])[
+        "benchmark_table_geral"].first().total_packets == 16
+    assert jobs.f1_view(metrics).count() >= 1
