@@ -211,3 +211,14 @@ def test_log_triage_whitespace_only_is_clean(spark):
                                   "file string, value string")
     sev = {r.file: r.severity for r in stats.log_triage(lines).collect()}
     assert sev == {"f1": "clean", "f2": "warning"}
+
+
+def test_exact_row_number_null_groups_and_skew(spark):
+    rnd = random.Random(21)
+    rows = [(i, None if rnd.random() < 0.3 else rnd.choice(["a", "a", "a", "b"]),
+             rnd.randint(0, 5)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, g string, k int")
+    got = ranking.exact_row_number(df, ["k", "id"], ["g"], out="rn", num_partitions=7,
+                                   small_rows=None)
+    ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("k", "id")))
+    assert sorted(got.select("id", "rn").collect()) == sorted(ref.select("id", "rn").collect())
