@@ -19,7 +19,7 @@ from ..functions.columns import (align, binary_target, canonical_dns, feature_co
                                  topology_label)
 from ..functions.schema import (ATTACK_KEYWORDS, B_SOURCE_POSITION, C_META_COLUMNS,
                                 DEFAULT_ATTACKER, EXTRACTORS, F1_VIEW_TARGETS,
-                                HEAD_TO_HEAD, MASTER_HEADER, NA_TOKENS, TOOL_NAMES)
+                                HEAD_TO_HEAD, MASTER_HEADER, NA_TOKENS)
 from ..operators import encoding, matching, model, sampling, scoring, stats
 from ..session import cut_lineage, qualify
 from ..sinks import writers
@@ -397,6 +397,3 @@ def run_quality(spark: SparkSession, status: DataFrame | None, logs_root: str |
         out["log_triage"] = stats.log_triage(lines)
     return out
 
-
-def tool_name(short: str) -> str:
-    return TOOL_NAMES.get(short, short)

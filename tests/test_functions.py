@@ -242,3 +242,9 @@ def test_column_kind_matches_pandas_csv_typing(spark):
     got = {r.id: ("categorical" if r.b > 0 else "numeric") for r in bad_cells.collect()}
     diff = [(cells[i], exp[i], got[i]) for i in range(len(cells)) if exp[i] != got[i]]
     assert diff == []
+
+
+def test_normalise_headers_on_a_frame(spark):
+    from flowforge.functions.columns import normalise_headers
+    df = spark.createDataFrame([(1, 2, 3)], "`Src IP` int, `label` int, `Label` int")
+    assert normalise_headers(df).columns == ["src_ip", "_extractor_label", "label"]

@@ -264,3 +264,36 @@ def test_readme_workflow(spark, tmp):
     assert jobs.extractor_report(views["benchmark_detailed"])[
         "benchmark_table_geral"].first().total_packets == 16
     assert jobs.f1_view(metrics).count() >= 1
+
+
+def test_collapse_report_and_capture_helpers(spark, tmp):
+    from flowforge.operators import matching, stats
+    from flowforge.sources import pcap
+    from flowforge.sources.catalogue import catalogue
+    capture(f"{tmp}/PCAP/01-12/Syn/a.pcap", "<", 4)
+    capture(f"{tmp}/PCAP/03-11/Syn/b.pcap", "<", 2)
+    capture(f"{tmp}/PCAP/03-11/DNS/c.pcap", "<", 1)
+    pk = pcap.read_packets(spark, f"{tmp}/PCAP")
+    assert {r.attack: r.total_packets for r in stats.packet_totals(pk).collect()} == \
+        {"01-12_Syn": 4, "03-11_Syn": 2, "03-11_DNS": 1}
+    dirs = matching.capture_directories(
+        catalogue(spark, f"{tmp}/PCAP", glob="*.pcap", exclude_prefixes=()))
+    listed = [r.parent_dir.split("PCAP/")[1] for r in dirs.collect()]
+    assert listed == ["01-12/Syn", "03-11/DNS", "03-11/Syn"]         # distinct and sorted
+    # Flows per extractor for the keyword, peak RAM, packets from captures
+    write(f"{tmp}/CIC_RAW/01-12/Syn/Syn.csv", "Src IP,Label\n1.1.1.1,x\n2.2.2.2,y\n")
+    write(f"{tmp}/CIC_RAW/03-11/Syn/Syn.csv", "Src IP,Label\n3.3.3.3,z\n")
+    write(f"{tmp}/NTL_RAW/01-12/Syn/syn_part.csv", "a,t,1.1.1.1,BENIGN\n")
+    detail = spark.createDataFrame(
+        [("CICFlowMeter", "01-12_Syn", 10, 2048.0), ("CICFlowMeter", "03-11_Syn", 5, 1024.0),
+         ("NTLFlowLyzer", "01-12_Syn", 7, 4096.0), ("NTLFlowLyzer", "01-12_DNS", 9, 9999.0)],
+        "extractor string, attack string, packets long, max_ram double")
+    view = jobs.collapse_report(spark, {"CICFlowMeter": f"{tmp}/CIC_RAW",
+                                        "NTLFlowLyzer": f"{tmp}/NTL_RAW"}, detail,
+                                captures_root=f"{tmp}/PCAP", keyword="syn")
+    got = {r.extractor: (r.flows_m, r.peak_ram_gb, r.packets_m) for r in view.collect()}
+    assert got == {"CICFlowMeter": (3e-6, 2.0, 6e-6), "NTLFlowLyzer": (1e-6, 4.0, 6e-6)}
+    # without captures the packet total falls back to the detail table
+    view2 = jobs.collapse_report(spark, {"CICFlowMeter": f"{tmp}/CIC_RAW"}, detail,
+                                 keyword="syn")
+    assert view2.first().packets_m == 22e-6

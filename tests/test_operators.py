@@ -222,3 +222,11 @@ def test_exact_row_number_null_groups_and_skew(spark):
                                    small_rows=None)
     ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("k", "id")))
     assert sorted(got.select("id", "rn").collect()) == sorted(ref.select("id", "rn").collect())
+
+
+def test_sampling_rate_column_matches_rule(spark):
+    sizes = [None, 100, 500 * 1024 * 1024 - 1, 500 * 1024 * 1024, 2 * 1024 ** 3, 40 * 1024 ** 3]
+    df = spark.createDataFrame([(s,) for s in sizes], "length long")
+    got = [r.rate for r in df.select(sampling.sampling_rate_col(F.col("length")).alias("rate"))
+           .collect()]
+    assert all(math.isclose(g, sampling.sampling_rate(s)) for g, s in zip(got, sizes))
