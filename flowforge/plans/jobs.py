@@ -50,7 +50,9 @@ def packet_batches(spark: SparkSession, root: str, batch_rows: int) -> DataFrame
     """W5 on captures: a directory's packets merged in time order
     (ts, file, ordinal) and cut into consecutive batches of ``batch_rows``."""
     from ..operators.ranking import fixed_batches
-    packets = pcap.read_packets(spark, root)
+    # Parse the binary headers once: the numbering reads its input several
+    # times (size check, range bounds, checkpoint).
+    packets = cut_lineage(pcap.read_packets(spark, root))
     return fixed_batches(packets, ["ts_sec", "ts_frac", "file", "ordinal"], batch_rows,
                          group_cols=["directory"])
 
