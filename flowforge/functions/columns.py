@@ -40,12 +40,23 @@ def normalise_names(raw: Sequence[str]) -> list[str]:
     renamed: a dummy ``label`` becomes ``_extractor_label``, anything else
     ``<name>_dup``; further repeats and clashes get ``_2``, ``_3`` ...
     """
-    seen: dict[str, int] = {}
+    # A repeat takes the smallest ``name.k`` that clashes with no raw name
+    # anywhere in the header and no name already given (the CSV reader's rule).
+    taken_raw = set(raw)
+    counter: dict[str, int] = {}
+    used: set[str] = set()
     mangled = []
     for r in raw:
-        k = seen.get(r, 0)
-        mangled.append(r if k == 0 else f"{r}.{k}")
-        seen[r] = k + 1
+        if r not in used:
+            mangled.append(r)
+            used.add(r)
+            continue
+        k = counter.get(r, 1)
+        while f"{r}.{k}" in taken_raw or f"{r}.{k}" in used:
+            k += 1
+        counter[r] = k + 1
+        mangled.append(f"{r}.{k}")
+        used.add(f"{r}.{k}")
     names = [normalise_name(m) for m in mangled]
     last = {n.lower(): i for i, n in enumerate(names)}
     taken = {names[i].lower() for i in last.values()}

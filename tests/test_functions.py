@@ -248,3 +248,19 @@ def test_normalise_headers_on_a_frame(spark):
     from flowforge.functions.columns import normalise_headers
     df = spark.createDataFrame([(1, 2, 3)], "`Src IP` int, `label` int, `Label` int")
     assert normalise_headers(df).columns == ["src_ip", "_extractor_label", "label"]
+
+
+def test_repeated_header_names_match_pandas():
+    """Exact repeats are suffixed as the pandas CSV reader does: the
+    smallest ``.k`` clashing with no name anywhere in the header."""
+    import io
+    import random
+    import pandas as pd
+    rnd = random.Random(2)
+    cases = [["a", "a", "a.1"], ["a", "a.1", "a"], ["a.1", "a.1", "a", "a"]]
+    cases += [[rnd.choice(["a", "a.1", "b", "a.2", "a.1.1", "b.1"])
+               for _ in range(rnd.randint(2, 7))] for _ in range(400)]
+    for raw in cases:
+        text = ",".join(raw) + "\n" + ",".join("1" for _ in raw) + "\n"
+        cols = list(pd.read_csv(io.StringIO(text)).columns)
+        assert normalise_names(raw) == [c.strip().lower().replace(" ", "_") for c in cols], raw
