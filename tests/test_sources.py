@@ -181,3 +181,14 @@ def test_record_walk_across_block_boundaries(tmp, monkeypatch):
     order, recs = pcap.walk_records(b)
     got = list(recs)
     assert order == "big" and len(got) == 4 and got[-1][5] and not got[0][5]
+
+
+def test_header_with_byte_order_mark(spark, tmp):
+    path = f"{tmp}/A/01-12/Syn/bom.csv"
+    import os
+    os.makedirs(os.path.dirname(path))
+    with open(path, "wb") as f:
+        f.write(b"\xef\xbb\xbfSrc IP,Label\n1.1.1.1,x\n")
+    flows = read_header_flows(spark, catalogue(spark, tmp))
+    assert flows.columns[:2] == ["src_ip", "label"]
+    assert [r.src_ip for r in flows.collect()] == ["1.1.1.1"]
