@@ -230,3 +230,16 @@ def test_sampling_rate_column_matches_rule(spark):
     got = [r.rate for r in df.select(sampling.sampling_rate_col(F.col("length")).alias("rate"))
            .collect()]
     assert all(math.isclose(g, sampling.sampling_rate(s)) for g, s in zip(got, sizes))
+
+
+def test_rollup_weighted_option(spark):
+    detail = spark.createDataFrame(
+        [("CIC", 10, 1.0, 10.0, 1.0, 1.0, 100.0, 1.0, 1.0, 1),
+         ("CIC", 20, 3.0, 30.0, 3.0, 3.0, 300.0, 3.0, 3.0, 3)],
+        "extractor string, packets long, time_s double, avg_cpu double, std_cpu double, "
+        "var_cpu double, max_ram double, std_ram double, var_ram double, n_samples long")
+    plain = stats.extractor_rollup(detail).first()
+    weighted = stats.extractor_rollup(detail, weighted=True).first()
+    assert plain.avg_cpu == 20.0                       # mean of the run means
+    assert weighted.avg_cpu == 25.0                    # (10*1 + 30*3) / 4
+    assert plain.pps == weighted.pps == 7.5 and plain.max_ram == 300.0
