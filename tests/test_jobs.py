@@ -297,3 +297,14 @@ def test_collapse_report_and_capture_helpers(spark, tmp):
     view2 = jobs.collapse_report(spark, {"CICFlowMeter": f"{tmp}/CIC_RAW"}, detail,
                                  keyword="syn")
     assert view2.first().packets_m == 22e-6
+
+
+def test_f1_view_bootstrap_interval(spark):
+    rows = [("CIC", "Syn", v) for v in (0.2, 0.4, 0.6, 0.8)] + [("NTL", "Syn", 0.5)]
+    m = spark.createDataFrame(rows, "Extractor string, Attack string, `F1-Score` double")
+    got = {r.Extractor: r for r in jobs.f1_view(m, bootstrap=200, seed=3).collect()}
+    cic, ntl = got["CIC"], got["NTL"]
+    assert abs(cic.mean_f1 - 0.5) < 1e-12 and 0.2 <= cic.ci_low < 0.5 < cic.ci_high <= 0.8
+    assert ntl.ci_low == ntl.ci_high == 0.5          # one value: a degenerate interval
+    again = {r.Extractor: r for r in jobs.f1_view(m, bootstrap=200, seed=3).collect()}
+    assert again["CIC"].ci_low == cic.ci_low          # seeded: reproducible
