@@ -1,8 +1,9 @@
 """Packet-capture header reader (S7, D1) as a Spark Python data source.
 
 One input partition per capture file (classic capture files are not
-splittable).  Each task seeks from record header to record header -- the
-packet bytes are never read -- and emits Arrow batches.  Both byte orders
+splittable).  Each task reads the file in large sequential blocks, parses
+record headers in place (seeking past payloads larger than a block) and
+emits Arrow batches.  Both byte orders
 are accepted; any other magic (pcapng, nanosecond variant, junk) yields no
 packets and a ``bad_magic`` status.  A last record cut short still counts.
 
