@@ -82,7 +82,7 @@ def normal_lines(text: Column) -> Column:
     t = F.regexp_replace(t, r"[^a-z0-9\n]+", " ")
     for old, new in SPELLINGS:
         t = F.replace(t, F.lit(old), F.lit(new))
-    return F.filter(F.transform(F.split(t, "\n"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(t, "\n"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:

@@ -6,8 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowforge.llm import bpe_codec, content_sort, licenses, token_counts, url_templates
+from flowforge.llm import bpe_codec, content_sort, licenses, packing, token_counts, topk, toxicity, url_templates
 from flowforge.llm.common import prepare
 from flowforge.session import table
 
@@ -27,11 +28,26 @@ def tokenizer_path(name: str) -> str:
     return _PATH[0](name)
 
 
+def op1_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return content_sort.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_differencing_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op4_norm_sorted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return topk.top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op5_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
@@ -63,7 +79,10 @@ FROM d
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_compression_toxicity": op1_compression_toxicity,
         "op2_content_sort": op2_content_sort,
+        "op3_differencing_packing": op3_differencing_packing,
+        "op4_norm_sorted_search": op4_norm_sorted_search,
         "op5_whole_token_counts": op5_whole_token_counts,
         "op6_backtracking_bpe": op6_backtracking_bpe,
         "op9_path_templates": op9_path_templates,
@@ -72,4 +91,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_content_sort": OP2_SQL, "op9_path_templates": url_templates.sql(), "op10_license_digests": licenses.sql()}
+    return {"op2_content_sort": OP2_SQL, "op4_norm_sorted_search": topk.SQL, "op9_path_templates": url_templates.sql(), "op10_license_digests": licenses.sql()}
