@@ -32,15 +32,6 @@ from flowforge.llm.common import SPACE_PATTERN, SPACES, utf8, written
 #: Bytes of normalised text at the head of the sort key.
 PREFIX = 24
 
-_BORDER = T.StructType([
-    T.StructField("pid", T.IntegerType()),
-    T.StructField("first_size", T.LongType()), T.StructField("first_keep", T.LongType()),
-    T.StructField("first_sha", T.BinaryType()), T.StructField("last_sha", T.BinaryType()),
-    T.StructField("last_size", T.LongType()), T.StructField("last_keep", T.LongType()),
-    T.StructField("runs", T.LongType()),
-])
-
-
 def _sorted(docs: DataFrame, id_col: str, text_col: str, payload: list[str]) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     norm = F.regexp_replace(text, SPACE_PATTERN, "")
@@ -52,16 +43,13 @@ def _sorted(docs: DataFrame, id_col: str, text_col: str, payload: list[str]) ->
     return keyed.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]):
-    """(row of batch, batch, normalised text, new run?) in sort order."""
-    last = None
-    for batch in batches:
-        texts = batch.column(batch.schema.get_field_index("k5"))
-        for i in range(batch.num_rows):
-            norm = texts[i].as_py().translate(None, SPACES)
-            fresh = last is None or norm != last
-            last = norm
-            yield i, batch, norm, fresh
+def _neighbours(batch: pa.RecordBatch, last: bytes | None) -> Iterator[tuple[int, bytes, bool]]:
+    """(row of batch, normalised text, differs from the text before?) in sort order."""
+    texts = batch.column(batch.schema.get_field_index("k5"))
+    for i in range(batch.num_rows):
+        norm = texts[i].as_py().translate(None, SPACES)
+        yield i, norm, last is None or norm != last
+        last = norm
 
 
 _ROW = pa.schema([("pid", pa.int32()), ("run", pa.int64()), ("doc_id", pa.int64()), ("keep_id", pa.int64()),
@@ -86,14 +74,16 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _ROW.types, strict=True)], schema=_ROW)
 
-    for i, batch, text, fresh in _neighbours(batches):
-        if fresh:
-            if run >= 0:
-                close(False)
-                if len(out) >= 8192:
-                    yield flush()
-            run, ids, norm = run + 1, [], text
-        ids.append(batch.column(batch.schema.get_field_index("k4"))[i].as_py())
+    for batch in batches:
+        keys = batch.column(batch.schema.get_field_index("k4"))
+        for i, text, fresh in _neighbours(batch, norm if run >= 0 else None):
+            if fresh:
+                if run >= 0:
+                    close(False)
+                    if len(out) >= 8192:
+                        yield flush()
+                run, ids, norm = run + 1, [], text
+            ids.append(keys[i].as_py())
     if run >= 0:
         close(True)
         yield flush()
@@ -155,13 +145,13 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = _sorted(docs, id_col, text_col, names)
     schema = T.StructType([T.StructField("pid", T.IntegerType()), T.StructField("first", T.BooleanType()),
                            T.StructField("last", T.BooleanType()), T.StructField("edge_text", T.BinaryType()),
-                           rows.schema["row"]])
+                           T.StructField("row", rows.schema["row"].dataType, True)])
 
     def heads(batches):
         pid, first, tail = TaskContext.get().partitionId(), True, None
         for batch in batches:
             take, firsts, edges = [], [], []
-            for i, _, norm, fresh in _keep_last(batch, tail):
+            for i, norm, fresh in _neighbours(batch, tail):
                 tail = norm
                 if fresh:
                     take.append(i)
@@ -194,11 +184,3 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             .filter("ta = tb").select(F.col("b").alias("pid"), F.lit(True).alias("first")))
     stay = kept.filter(~F.col("last")).join(F.broadcast(same), ["pid", "first"], "left_anti")
     return stay.select(*[F.col(f"row.`{c}`").alias(c) for c in names])
-
-
-def _keep_last(batch: pa.RecordBatch, tail: bytes | None):
-    texts = batch.column(batch.schema.get_field_index("k5"))
-    for i in range(batch.num_rows):
-        norm = texts[i].as_py().translate(None, SPACES)
-        yield i, batch, norm, tail is None or norm != tail
-        tail = norm

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowforge.llm import bpe_codec, content_sort, licenses, packing, token_counts, topk, toxicity, url_templates
+from flowforge.llm import bpe_codec, content_sort, licenses, near_dups, packing, substring_dedup, token_counts, topk, toxicity, url_templates
 from flowforge.llm.common import prepare
 from flowforge.session import table
 
@@ -58,6 +58,16 @@ def op6_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op7_suffix_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return substring_dedup.removal_digests(table(spark, sf_dir, "documents"))
+
+
+def op8_bottom_k_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), words=3, num=85, den=100)
+
+
 def op9_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return url_templates.judge(table(spark, sf_dir, "pages"))
@@ -77,6 +87,34 @@ FROM d
 """
 
 
+OP7_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS p, w FROM w WHERE len(w) >= 50),
+h AS (SELECT doc_id, p, sha256(array_to_string(w[p:p + 49], ' ')) AS h FROM p),
+m AS (SELECT h, min(doc_id) AS m FROM h GROUP BY h HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS k FROM h JOIN m USING (h) WHERE m < doc_id),
+u AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS k FROM w),
+kept AS (SELECT u.doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY u.k) AS t FROM u LEFT JOIN r ON u.doc_id = r.doc_id AND u.k = r.k
+      WHERE r.k IS NULL GROUP BY u.doc_id)
+SELECT w.doc_id, len(w.w) AS n_words, len(w.w) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
+
+OP8_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+c AS (SELECT doc_id, doc_id AS r FROM w UNION SELECT e.b, c.r FROM c JOIN e ON e.a = c.doc_id),
+m AS (SELECT doc_id, min(r) AS component_id FROM c GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id JOIN m ON w.doc_id = m.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_compression_toxicity": op1_compression_toxicity,
@@ -85,10 +123,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_norm_sorted_search": op4_norm_sorted_search,
         "op5_whole_token_counts": op5_whole_token_counts,
         "op6_backtracking_bpe": op6_backtracking_bpe,
+        "op7_suffix_subtrees": op7_suffix_subtrees,
+        "op8_bottom_k_near_dups": op8_bottom_k_near_dups,
         "op9_path_templates": op9_path_templates,
         "op10_license_digests": op10_license_digests,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_content_sort": OP2_SQL, "op4_norm_sorted_search": topk.SQL, "op9_path_templates": url_templates.sql(), "op10_license_digests": licenses.sql()}
+    return {"op2_content_sort": OP2_SQL, "op4_norm_sorted_search": topk.SQL, "op7_suffix_subtrees": OP7_SQL,
+            "op8_bottom_k_near_dups": OP8_SQL, "op9_path_templates": url_templates.sql(), "op10_license_digests": licenses.sql()}
