@@ -178,14 +178,14 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 def _compare(words: int, num: int, den: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        l, r = left.to_pydict(), right.to_pydict()
-        ls, rs = [shingles(t, words) for t in l["text"]], [shingles(t, words) for t in r["text"]]
+        l_text, l_label, a = (left.column("l_" + c).to_pylist() for c in ("text", "label", "rep"))
+        r_text, r_label, b = (right.column("r_" + c).to_pylist() for c in ("text", "label", "rep"))
+        ls, rs = [shingles(t, words) for t in l_text], [shingles(t, words) for t in r_text]
         inter = intersections(ls, rs)
         sizes = np.add.outer(np.array([len(s) for s in ls], np.int64), np.array([len(s) for s in rs], np.int64))
-        differ = np.not_equal.outer(np.array(l["label"], np.int64), np.array(r["label"], np.int64))
-        i, j = np.nonzero(linked(inter, sizes - inter, num, den) & differ) if inter.size else ([], [])
-        a, b = np.array(l["rep"], np.int64), np.array(r["rep"], np.int64)
-        return pa.table({"a": pa.array(a[i] if len(i) else [], pa.int64()), "b": pa.array(b[j] if len(j) else [], pa.int64())})
+        differ = np.not_equal.outer(np.array(l_label, np.int64), np.array(r_label, np.int64))
+        i, j = np.nonzero(linked(inter, sizes - inter, num, den) & differ)
+        return pa.table({"a": pa.array(np.array(a, np.int64)[i]), "b": pa.array(np.array(b, np.int64)[j])})
     return run
 
 
@@ -208,9 +208,11 @@ def _unsettled(long_lists: DataFrame, labels: DataFrame, texts: DataFrame, words
     left = (rows.filter(apart).withColumn("i", F.pmod(spread, F.col("cl")))
             .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cr") - 1))))
     right = rows.withColumn("j", F.pmod(spread, F.col("cr"))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cl") - 1)))
-    left, right = (side.select("center", "i", "j", "rep", "label").join(texts.withColumnRenamed("id", "rep"), "rep") for side in (left, right))
-    key = ["center", "i", "j"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_compare(words, num, den), "a long, b long")
+    names = ["center", "i", "j", "rep", "label", "text"]
+    left, right = (side.join(texts.withColumnRenamed("id", "rep"), "rep").select(*[F.col(c).alias(end + c) for c in names])
+                   for side, end in ((left, "l_"), (right, "r_")))
+    return (left.groupBy("l_center", "l_i", "l_j").cogroup(right.groupBy("r_center", "r_i", "r_j"))
+            .applyInArrow(_compare(words, num, den), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, num: int = 85, den: int = 100,
