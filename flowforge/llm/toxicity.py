@@ -5,16 +5,18 @@ recurs in toxic text only.  A window of words that compresses better with the
 toxic dictionary at hand than without it is closer to toxic text; the difference
 of the two compressed lengths, in bytes, is the window's evidence.  A logistic
 curve over the differences of all windows of a text, calibrated on labelled rows
-that did not train the dictionaries, turns them into a score of 0 to 1.
+that did not train those dictionaries, turns them into a score of 0 to 1.
 
 * Both dictionaries start from the same ordinary content, so that only toxic
   passages make a difference.
 * The toxic dictionary is trained on the words of toxic texts that start with a
   stem (4 bytes or more) much more frequent among toxic than ordinary texts.
-* Rows: ids with crc32(id as text) mod 3 = 0 train dictionaries, 2 calibrate, 1
-  are held out and never read for learning.  At most ``ROWS`` rows of each class
-  and use, by hash of the id, each of at most ``ROW_BYTES``: a bounded sample, the
-  only thing that reaches the driver.  Repeated texts count once.
+* Rows: ids with crc32(id as text) mod 3 = 1 are held out and never read for
+  learning.  The other two thirds take turns: each is measured with dictionaries
+  trained on the other, which calibrates the curve; the final dictionaries are
+  trained on both.  At most ``ROWS`` rows of each class and third, by hash of the
+  id, each of at most ``ROW_BYTES``: a bounded sample, the only thing that reaches
+  the driver.  Copies and near copies in it count once.
 
 Every whole text is scored, all windows of it, in one pass without a shuffle.
 
@@ -28,6 +30,7 @@ document the highest holds.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -48,6 +51,8 @@ ORDINARY, TOXIC = 4096, 1024
 WINDOW, STEP, LEVEL = 12, 10, 5
 #: A stem counts as toxic in at least this share of toxic texts and so many times the ordinary share.
 SHARE, RATIO = 0.01, 8
+#: ... and its count gains so much log-likelihood (9: chance one in thousands).
+GAIN = 9
 THRESHOLD = 0.7
 
 
@@ -64,11 +69,26 @@ def _stems(word: bytes) -> set[bytes]:
     return {word[:n] for n in range(4, len(word) + 1)}
 
 
-def toxic_passages(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
+def stem_counts(texts: list[list[bytes]]) -> Counter:
+    """In how many texts each stem occurs."""
+    return Counter(s for words in texts for s in set().union(*map(_stems, set(words))))
+
+
+def typical_stems(toxic: Counter, n_toxic: int, ordinary: Counter, n_ordinary: int) -> set[bytes]:
+    """Stems far more frequent among toxic texts than chance explains: by the
+    ratio of shares, and by the log-likelihood gain over one common share."""
+    out = set()
+    for stem, n in toxic.items():
+        rest = ordinary[stem]
+        if n >= 4 and n >= SHARE * n_toxic and n * n_ordinary > RATIO * n_toxic * (rest + 1):
+            expected = (n + rest) * n_toxic / (n_toxic + n_ordinary)
+            if n * math.log(n / expected) - (n - expected) >= GAIN:
+                out.add(stem)
+    return out
+
+
+def toxic_passages(toxic: list[list[bytes]], typical: set[bytes]) -> list[bytes]:
     """Per toxic text, its words with a stem that is typical of toxic texts."""
-    seen = [Counter(s for words in texts for s in set().union(*map(_stems, words))) for texts in (ordinary, toxic)]
-    least = max(4, SHARE * len(toxic))
-    typical = {s for s, n in seen[1].items() if n >= least and n * len(ordinary) > RATIO * len(toxic) * (seen[0][s] + 1)}
     runs = ([w for w in words if not typical.isdisjoint(_stems(w))] for words in toxic)
     return [b" " + b" ".join(run) + b" " for run in runs if run]
 
@@ -127,23 +147,48 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def without_copies(texts: list[bytes]) -> list[bytes]:
+    """Texts that share no half of their 16 least word hashes with an earlier one."""
+    seen: dict[int, list[int]] = {}
+    out = []
+    for n, text in enumerate(texts):
+        least = sorted({zlib.crc32(w) for w in text.lower().split()})[:16]
+        shared = Counter(m for h in least for m in seen.get(h, ()))
+        if least and max(shared.values(), default=0) * 2 < len(least):
+            out.append(text)
+            for h in least:
+                seen.setdefault(h, []).append(n)
+    return out
+
+
+def _dictionaries(words: dict[int, list[list[bytes]]], counts: dict[int, Counter]) -> Model:
+    """A model without a curve, from the words and stem counts by label."""
+    ordinary = _dictionary(ORDINARY, [b" " + b" ".join(w[i:i + 40]) for w in words[0] for i in range(0, len(w), 40)])
+    passages = toxic_passages(words[1], typical_stems(counts[1], len(words[1]), counts[0], len(words[0])))
+    passages = passages or [b" " + b" ".join(w) + b" " for w in words[1]]
+    return Model(ordinary, _dictionary(TOXIC, [p for p in passages for _ in range(2)]), [], [], [])
+
+
 def train(rows: list[tuple[int, int, bytes]]) -> Model:
-    """A model from (use: 0 dictionaries or 2 calibration, label, text) rows."""
-    rows = list({(use, text): (use, label, text) for use, label, text in rows}.values())
-    texts = {label: [t.lower().split() for use, y, t in rows if use == 0 and y == label] for label in (0, 1)}
-    held = [(y, t) for use, y, t in rows if use == 2]
-    share = (1 + sum(y for _, y, _ in rows)) / (2 + len(rows))
-    if not all(texts.values()) or len({y for y, _ in held}) < 2:
-        return Model(b"", b"", [], [], [], constant=share)
-    ordinary = _dictionary(ORDINARY, [b" " + b" ".join(w[i:i + 40]) for w in texts[0] for i in range(0, len(w), 40)])
-    passages = toxic_passages(texts[1], texts[0]) or [b" " + b" ".join(w) + b" " for w in texts[1]]
-    model = Model(ordinary, _dictionary(TOXIC, [p for p in passages for _ in range(2)]), [], [], [])
-    model.open()
-    x = np.array([model.evidence(t) for _, t in held])
+    """A model from (third, label, text) rows; there are thirds 0 and 2."""
+    words = {(third, y): [t.lower().split() for t in without_copies([t for u, label, t in rows if (u, label) == (third, y)])]
+             for third in (0, 2) for y in (0, 1)}
+    if not all(words.values()):
+        return Model(b"", b"", [], [], [], constant=(1 + sum(y for _, y, _ in rows)) / (2 + len(rows)))
+    counts = {key: stem_counts(some) for key, some in words.items()}
+    x, y = [], []
+    for third in (0, 2):
+        other = _dictionaries(*({label: part[2 - third, label] for label in (0, 1)} for part in (words, counts)))
+        other.open()
+        # copies stay in the calibration, in the shares that labelled rows have
+        held = [(label, t) for u, label, t in rows if u == third]
+        x += [other.evidence(t) for _, t in held]
+        y += [float(label) for label, _ in held]
+    model = _dictionaries(*({label: part[0, label] + part[2, label] for label in (0, 1)} for part in (words, counts)))
+    x = np.array(x)
     mean, spread = x.mean(0), x.std(0) + 1e-9
-    weights = _logistic((x - mean) / spread, np.array([float(y) for y, _ in held]))
-    model.mean, model.spread, model.weights = mean.tolist(), spread.tolist(), weights.tolist()
-    del model.compressors
+    model.mean, model.spread = mean.tolist(), spread.tolist()
+    model.weights = _logistic((x - mean) / spread, np.array(y)).tolist()
     return model
 
 
