@@ -46,7 +46,7 @@ from flowforge.llm.common import utf8
 #: Bounds of the labelled sample.
 ROWS, ROW_BYTES = 2500, 1 << 16
 #: Bytes of the two dictionaries.
-ORDINARY, TOXIC = 4096, 1024
+ORDINARY, TOXIC = 8192, 1024
 #: Words of a window, words from one to the next, compression level.
 WINDOW, STEP, LEVEL = 12, 10, 5
 #: A stem counts as toxic in at least this share of toxic texts and so many times the ordinary share.
