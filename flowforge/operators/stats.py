@@ -16,34 +16,10 @@ from ..functions.columns import mb_to_gb, round_half_up, to_millions, zero_round
 from ..functions.schema import LOG_ALERT_PHRASES, SUCCESS_RATIO
 
 
-def _no_nan(c: Column) -> Column:
-    """NaN sorts above every number and poisons max/avg: make it null."""
-    return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
-
-
-def sample_summary(samples: DataFrame, key: str = "monitor_file",
-                   cpu: str = "cpu_percent", ram: str = "ram_mb",
-                   decimals: int = 2) -> DataFrame:
-    """A1: max and mean CPU and RAM per run (means printed at 2 dp); a run
-    without samples has no row.  Means are exact over the samples' fixed
-    point (see ``sample_stats``), so the 2-dp rounding never depends on the
-    summation order."""
-    c, r = _no_nan(F.col(cpu)), _no_nan(F.col(ram))
-    pre = samples.select(key, c.alias("_c"), r.alias("_r"),
-                         fixed_units(c, decimals).alias("_cu"), fixed_units(r, decimals).alias("_ru"))
-    scale = F.lit(10.0 ** decimals)
-    agg = pre.groupBy(key).agg(
-        F.max("_c").alias("max_cpu"), F.sum("_cu").alias("_cs"), F.count("_cu").alias("_cn"),
-        F.max("_r").alias("max_ram"), F.sum("_ru").alias("_rs"), F.count("_ru").alias("_rn"),
-        F.count(F.lit(1)).alias("n_samples"))
-    mean = lambda s_, n_: F.when(F.col(n_) > 0, F.col(s_).cast("double")
-                                 / (F.col(n_).cast("double") * scale))
-    return agg.select(key, "max_cpu", round_half_up(mean("_cs", "_cn"), 2).alias("avg_cpu"),
-                      "max_ram", round_half_up(mean("_rs", "_rn"), 2).alias("avg_ram"),
-                      "n_samples")
-
-
-_HALF = 20  # bits of the low half of a fixed-point unit count
+def _finite(c: Column) -> Column:
+    """NaN and infinity poison max and avg: such samples count as missing."""
+    c = c.cast("double")
+    return F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c)
 
 
 def fixed_units(x: Column, decimals: int) -> Column:
@@ -52,71 +28,51 @@ def fixed_units(x: Column, decimals: int) -> Column:
     return F.floor(x * F.lit(10.0 ** decimals) + F.lit(0.5)).cast("bigint")
 
 
-def _unit_parts(u: Column, name: str) -> list[Column]:
-    """u, and its split u = hi * 2^20 + lo, as projected columns."""
-    hi = F.shiftright(u, _HALF)
-    return [u.alias(f"_{name}_u"), hi.alias(f"_{name}_hi"),
-            (u - F.shiftleft(hi, _HALF)).alias(f"_{name}_lo")]
-
-
-def _exact_moments(name: str) -> list[Column]:
-    """Partial sums of a fixed-point column in integer units: count, sum and
-    sum of squares -- exact, hence independent of partitioning and merge
-    order.
-
-    Per row everything is 64-bit integer arithmetic (codegen fast path): a
-    unit count u < 2^40 is split as u = hi * 2^20 + lo and the three partial
-    products hi^2, hi*lo, lo^2 (each < 2^40) are summed as longs, which
-    cannot overflow below 2^23 samples per group.  The square sum is
-    recombined in decimal once per group.
-    """
-    u, hi, lo = (F.col(f"_{name}_{p}") for p in ("u", "hi", "lo"))
-    return [F.count(u).alias(f"_{name}_n"), F.sum(u).alias(f"_{name}_s1"),
-            F.sum(hi * hi).alias(f"_{name}_hh"), F.sum(hi * lo).alias(f"_{name}_hl"),
-            F.sum(lo * lo).alias(f"_{name}_ll")]
-
-
-def _exact_mean_var(name: str, decimals: int) -> tuple[Column, Column]:
-    n = F.col(f"_{name}_n")
-    s1 = F.col(f"_{name}_s1").cast("decimal(38,0)")
-    d = "decimal(38,0)"
-    s2 = (F.col(f"_{name}_hh").cast(d) * F.lit(1 << (2 * _HALF)).cast(d)
-          + F.col(f"_{name}_hl").cast(d) * F.lit(1 << (_HALF + 1)).cast(d)
-          + F.col(f"_{name}_ll").cast(d))
-    scale = 10.0 ** decimals
-    mean = F.when(n > 0, s1.cast("double") / (n.cast("double") * F.lit(scale)))
-    num = n.cast(d) * s2 - s1 * s1
-    var = F.when(n > 1, num.cast("double") / (n * (n - 1)).cast("double")
-                 / F.lit(scale * scale))
-    return mean, var
+def _moment_sums(x: Column, name: str) -> list[Column]:
+    """Aggregates of one metric: count, exact sums of hundredths and of their
+    squares (decimals: no overflow at any number of rows), how many samples
+    are finer than hundredths, and the floating-point moments for those."""
+    u = fixed_units(x, 2)
+    d = u.cast("decimal(19,0)")
+    return [F.count(x).alias(f"_{name}_n"), F.try_sum(d).cast("decimal(38,0)").alias(f"_{name}_s1"),
+            F.try_sum(d * d).cast("decimal(38,0)").alias(f"_{name}_s2"),
+            F.count_if(u.cast("double") / F.lit(100.0) != x).alias(f"_{name}_finer"),
+            F.avg(x).alias(f"_{name}_avg"), F.var_samp(x).alias(f"_{name}_var")]
+
+
+def _mean_var(name: str) -> tuple[Column, Column]:
+    """Mean and sample variance.  Samples written with two decimals, as the
+    sampler does, give exactly rounded results on any partitioning (a float
+    ``var_samp`` changes with the merge order, which moves values that sit on a
+    rounding tie); finer samples use the floating-point aggregates."""
+    n, s1, s2 = (F.col(f"_{name}_{p}") for p in ("n", "s1", "s2"))
+    exact_mean = F.when(n > 0, s1.cast("double") / (n.cast("double") * F.lit(100.0)))
+    spread = F.try_subtract(F.try_multiply(n.cast("decimal(19,0)"), s2), F.try_multiply(s1, s1))
+    exact_var = F.when(n > 1, spread.cast("double") / (n.cast("double") * (n - 1).cast("double")) / F.lit(10000.0))
+    plain = F.col(f"_{name}_finer") == 0
+    mean = F.coalesce(F.when(plain, exact_mean), F.col(f"_{name}_avg"))
+    return mean, F.coalesce(F.when(plain, exact_var), F.col(f"_{name}_var"))
+
+
+def sample_summary(samples: DataFrame, key: str = "monitor_file",
+                   cpu: str = "cpu_percent", ram: str = "ram_mb") -> DataFrame:
+    """A1: max and mean CPU and RAM per run (means printed at 2 dp); a run
+    without samples has no row."""
+    agg = samples.select(key, _finite(F.col(cpu)).alias("_c"), _finite(F.col(ram)).alias("_r")).groupBy(key).agg(
+        F.max("_c").alias("max_cpu"), F.max("_r").alias("max_ram"), F.count(F.lit(1)).alias("n_samples"),
+        *_moment_sums(F.col("_c"), "c"), *_moment_sums(F.col("_r"), "r"))
+    return agg.select(key, "max_cpu", round_half_up(_mean_var("c")[0], 2).alias("avg_cpu"),
+                      "max_ram", round_half_up(_mean_var("r")[0], 2).alias("avg_ram"), "n_samples")
 
 
 def sample_stats(samples: DataFrame, key: str = "monitor_file",
-                 cpu: str = "cpu_percent", ram: str = "ram_mb",
-                 decimals: int | None = 2) -> DataFrame:
+                 cpu: str = "cpu_percent", ram: str = "ram_mb") -> DataFrame:
     """A2: per-run max RAM, mean CPU, sample std/var (ddof 1) of CPU and RAM.
-    One sample gives a null std/var, zeroed later by the report rounding.
-
-    The sampler writes both metrics with ``decimals`` places, so moments are
-    computed exactly from integer sums of those units: the same bits on any
-    partitioning (a float ``var_samp`` changes with the merge order, which
-    moves values that sit on a rounding tie).  ``decimals=None`` uses the
-    floating-point aggregates for arbitrary-precision input.
-    """
-    c, r = _no_nan(F.col(cpu)), _no_nan(F.col(ram))
-    if decimals is None:
-        return samples.groupBy(key).agg(
-            F.max(r).alias("max_ram"), F.avg(c).alias("avg_cpu"),
-            F.stddev_samp(c).alias("std_cpu"), F.var_samp(c).alias("var_cpu"),
-            F.stddev_samp(r).alias("std_ram"), F.var_samp(r).alias("var_ram"),
-            F.count(F.lit(1)).alias("n_samples"))
-    pre = samples.select(key, r.alias("_ram"), *_unit_parts(fixed_units(c, decimals), "c"),
-                         *_unit_parts(fixed_units(r, decimals), "r"))
-    agg = pre.groupBy(key).agg(
-        F.max("_ram").alias("max_ram"), F.count(F.lit(1)).alias("n_samples"),
-        *_exact_moments("c"), *_exact_moments("r"))
-    c_mean, c_var = _exact_mean_var("c", decimals)
-    _, r_var = _exact_mean_var("r", decimals)
+    One sample gives a null std/var, zeroed later by the report rounding."""
+    agg = samples.select(key, _finite(F.col(cpu)).alias("_c"), _finite(F.col(ram)).alias("_r")).groupBy(key).agg(
+        F.max("_r").alias("max_ram"), F.count(F.lit(1)).alias("n_samples"),
+        *_moment_sums(F.col("_c"), "c"), *_moment_sums(F.col("_r"), "r"))
+    (c_mean, c_var), (_, r_var) = _mean_var("c"), _mean_var("r")
     return agg.select(key, "max_ram", c_mean.alias("avg_cpu"),
                       F.sqrt(c_var).alias("std_cpu"), c_var.alias("var_cpu"),
                       F.sqrt(r_var).alias("std_ram"), r_var.alias("var_ram"),
@@ -220,15 +176,17 @@ def collapse_view(flow_counts_df: DataFrame, detail: DataFrame,
            .join(peak, "extractor", "left"))
     # Two scalar totals (one aggregate row each): captures first, detail table
     # as the fallback; no placeholder constants when both are missing.
-    cap = None
+    total = sub.agg(F.sum("packets").alias("_total"))
     if packet_totals_df is not None:
-        cap = packet_totals_df.agg(F.sum("total_packets").alias("t")).first()["t"]
-    total = cap if cap else sub.agg(F.sum("packets").alias("t")).first()["t"]
+        cap = packet_totals_df.agg(F.sum("total_packets").alias("_cap"))
+        total = total.crossJoin(F.broadcast(cap)).select(  # one row each
+            F.coalesce(F.nullif("_cap", F.lit(0)), "_total").alias("_total"))
+    out = out.crossJoin(F.broadcast(total))
     return out.select(
         "extractor",
         to_millions(F.coalesce(F.col("flows"), F.lit(0))).alias("flows_m"),
         F.coalesce(mb_to_gb(F.col("_peak")), F.lit(0.0)).alias("peak_ram_gb"),
-        (F.lit(total).cast("double") / F.lit(1e6)).alias("packets_m"))
+        (F.col("_total").cast("double") / F.lit(1e6)).alias("packets_m"))
 
 
 def success_gate(status: DataFrame, key: str, ok: str,

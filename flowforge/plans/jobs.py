@@ -7,6 +7,7 @@ per distinct header line) and the scenario grid (12 x 3).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ from ..operators import encoding, matching, model, sampling, scoring, stats
 from ..session import cut_lineage, qualify
 from ..sinks import writers
 from ..sources import pcap
-from ..sources.catalogue import catalogue, parse_header, read_first_line
+from ..sources.catalogue import catalogue, file_path, parse_header, read_first_line
 from ..sources.flows import (attach_path_meta, header_groups, read_header_csv,
                              read_positional_flows)
 from ..sources.runs import read_runs, read_samples
@@ -64,6 +65,8 @@ def consolidate_fragments(spark: SparkSession, root: str, out: str | None = None
     """B2: every CSV fragment under ``root`` (side files excluded) as one
     table per attack directory; columns matched by name (U1)."""
     cat = catalogue(spark, root, exclude_prefixes=("monitor_", "benchmark_"))
+    # an earlier result that lies beside its fragments is no fragment
+    cat = cat.filter(F.lower("file_name") != F.lower(F.concat("attack", F.lit(".csv"))))
     frames = [read_header_csv(spark, paths, list(raw)) for raw, paths in header_groups(cat)]
     if not frames:
         return None
@@ -100,7 +103,7 @@ def label_header_flows(spark: SparkSession, root: str,
     """
     att = _attackers(attackers)
     base = qualify(spark, root)
-    cat = catalogue(spark, root, exclude_prefixes=("monitor_", "benchmark_"))
+    cat = catalogue(spark, root)
     out_df, skipped = None, []
     for raw, paths in header_groups(cat):
         df = read_header_csv(spark, paths, list(raw))
@@ -115,7 +118,9 @@ def label_header_flows(spark: SparkSession, root: str,
             df = clean.null_tokens(df, NA_TOKENS, data_cols)
             df = clean.scrub(df, columns=data_cols)
             keep = set(C_META_COLUMNS) | set(ROW_META)
+            numbers = [c for c in df.columns if c not in keep]
             df = clean.coerce_numeric(df, keep=[c for c in df.columns if c in keep])
+            df = clean.downcast(df, numbers)
             if "label" in df.columns:
                 df = df.withColumnRenamed("label", "_extractor_label")
             attack = canonical_dns(attack)
@@ -133,17 +138,17 @@ def label_positional_flows(spark: SparkSession, root: str,
                            out: str | None = None) -> LabelResult:
     """Headerless CSVs bound to the positional header; the source
     address is position 2; the extractor's dummy label is dropped."""
-    cat = catalogue(spark, root, exclude_prefixes=("monitor_", "benchmark_"))
-    flows = read_positional_flows(spark, cat)
+    skipped: list[tuple[str, str]] = []
+    flows = read_positional_flows(spark, catalogue(spark, root), skipped=skipped)
     if flows is None:
-        return LabelResult(None, [])
+        return LabelResult(None, skipped)
     flows = attach_path_meta(flows, qualify(spark, root))
     src = MASTER_HEADER[B_SOURCE_POSITION]
     flows = flows.withColumn("label", topology_label(F.col(src), _attackers(attackers),
                                                      F.col("attack")))
     if out:
         writers.write_labelled(flows.drop("file_name"), out)
-    return LabelResult(flows, [])
+    return LabelResult(flows, skipped)
 
 
 # --- B6 training-set preparation ------------------------------------------------------
@@ -157,13 +162,15 @@ class Prepared:
     kinds: dict[str, str]
 
 
-def prepare_training_set(flows: DataFrame, length_bytes: int | None = None,
+def prepare_training_set(flows: DataFrame, max_train_rows: int | None = None,
                          exclude: Sequence[str] = ROW_META, seed: str = "",
                          dictionary: DataFrame | None = None,
                          kinds: dict[str, str] | None = None,
                          float32: bool = True, materialize: bool = True) -> Prepared | None:
     """P9 label, P8 pruning, T4, T2 kinds, T7 codes, T6, T5, P10 target;
-    M1 sampling by the source file's size.  None when no label column.
+    M1 sampling to ``max_train_rows`` (never for rows that are scored).  None
+    when no label column.  ``_rowkey`` is unique per row, so equal rows are
+    sampled and split like any others.
 
     A test set passes the training set's ``kinds`` and ``dictionary`` so
     that both are typed and encoded alike (columns unseen in training are
@@ -176,10 +183,10 @@ def prepare_training_set(flows: DataFrame, length_bytes: int | None = None,
         return None
     feats = feature_columns(cols)
     df = flows.select(*[F.col(q(c)) for c in feats], F.col(q(target_col)).alias("_label"))
-    df = df.withColumn("_rowkey", sampling.row_hash([F.col(q(c)) for c in feats] +
-                                                    [F.col("_label")], seed))
-    rate = sampling.sampling_rate(length_bytes)
-    df = sampling.hash_sample(df, rate, [F.col("_rowkey")], seed)
+    df = df.withColumn("_rowkey", F.monotonically_increasing_id())
+    if max_train_rows:
+        rate = sampling.training_rate(df.count(), max_train_rows)
+        df = sampling.hash_sample(df, rate, [F.col("_rowkey")], seed)
     df = clean.null_tokens(df, NA_TOKENS, feats)
     if kinds is None:
         kinds = clean.column_kinds(df, feats)
@@ -214,7 +221,7 @@ def _read_one(spark: SparkSession, path: str, fmt: str = "csv",
     if fmt == "parquet":
         return spark.read.parquet(path)
     if is_dir:
-        cat = catalogue(spark, path, exclude_prefixes=("monitor_", "benchmark_"))
+        cat = catalogue(spark, path)
         out = None
         for raw, paths in header_groups(cat):
             df = read_header_csv(spark, paths, list(raw))
@@ -228,7 +235,8 @@ def extractor_benchmark(spark: SparkSession, processed_root: str,
                         attacks: Sequence[str] = ATTACK_KEYWORDS,
                         extractors: Sequence[str] = EXTRACTORS,
                         out: str | None = None, fmt: str = "csv",
-                        match_on: str = "file_name") -> tuple[DataFrame, DataFrame, list]:
+                        match_on: str = "file_name",
+                        max_train_rows: int | None = None) -> tuple[DataFrame, DataFrame, list]:
     """For every (attack, extractor) with a training file: prepare,
     gate (>= 2 classes), fit the forest, score on the other day (Real) or on
     a stratified 30 % split (Split), rank importances.
@@ -238,9 +246,12 @@ def extractor_benchmark(spark: SparkSession, processed_root: str,
     them against attack directories and takes the whole directory -- the
     layout the labelled-flow sink writes (``extractor=/day=/attack=/part-*``).
 
+    ``max_train_rows`` bounds the rows that a forest is fitted on; test rows
+    are all scored.
+
     Returns (metrics, feature rankings, skipped scenarios)."""
     cat = catalogue(spark, processed_root, glob="*.parquet" if fmt == "parquet" else "*.csv",
-                    exclude_prefixes=("monitor_", "benchmark_"), exclude_contains=("semlabel",))
+                    exclude_contains=("semlabel",))
     by_dir = match_on == "attack"
     if by_dir:
         cat = (cat.groupBy("extractor", "day", "attack", "parent_dir")
@@ -248,28 +259,22 @@ def extractor_benchmark(spark: SparkSession, processed_root: str,
                .select(F.col("parent_dir").alias("path"), F.col("attack").alias("file_name"),
                        "extractor", "day", "length"))
     grid = matching.scenario_grid(spark, attacks, extractors)
-    lengths = cat.select("path", "length")
-    pairs = (matching.pair_train_test(grid, cat)
-             .join(lengths.select(F.col("path").alias("train_path"),
-                                  F.col("length").alias("train_len")), "train_path", "left")
-             .join(lengths.select(F.col("path").alias("test_path"),
-                                  F.col("length").alias("test_len")), "test_path", "left")
-             .orderBy("a_ord", "e_ord").collect())          # <= 36 scenario rows
+    pairs = matching.pair_train_test(grid, cat).orderBy("a_ord", "e_ord").collect()  # <= 36 scenario rows
     metrics, rankings, skipped = [], [], []
     for p in pairs:
         scen = (p["extractor"], p["attack"])
         train_raw = _read_one(spark, p["train_path"], fmt, by_dir)
-        prep = prepare_training_set(train_raw, p["train_len"]) if train_raw else None
+        bound = max_train_rows if p["strategy"] == "Real" else None
+        prep = prepare_training_set(train_raw, bound) if train_raw else None
         counts = sampling.class_count_map(prep.data, "target") if prep else {}
         if len(counts) < 2:
             skipped.append((*scen, "invalid training data or fewer than 2 classes"))
             continue
         if p["strategy"] == "Real":
-            train = sampling.class_weights(prep.data, "target", counts=counts)
-            forest = model.fit_forest(model.assemble(train, prep.features))
+            rows = prep.data
             test_raw = _read_one(spark, p["test_path"], fmt, by_dir)
             # the test set is read once (predict + score): no materialisation
-            tprep = prepare_training_set(test_raw, p["test_len"], dictionary=prep.dictionary,
+            tprep = prepare_training_set(test_raw, dictionary=prep.dictionary,
                                          kinds=prep.kinds, materialize=False) if test_raw else None
             if tprep is None:
                 skipped.append((*scen, "invalid test data"))
@@ -281,9 +286,12 @@ def extractor_benchmark(spark: SparkSession, processed_root: str,
                 skipped.append((*scen, "a class has a single member"))
                 continue
             split = sampling.stratified_split(prep.data, "target", "_rowkey")
-            train = sampling.class_weights(split.filter(~F.col("is_test")), "target")
+            rows = split.filter(~F.col("is_test"))
+            rows = sampling.hash_sample(rows, sampling.training_rate(sum(counts.values()), max_train_rows),
+                                        ["_rowkey"], seed="fit")
             test = split.filter(F.col("is_test"))
-            forest = model.fit_forest(model.assemble(train, prep.features))
+        train = model.laid_out(sampling.class_weights(rows, "target"), sum(counts.values()), "_rowkey")
+        forest = model.fit_forest(model.assemble(train, prep.features))
         preds = model.predict(forest, model.assemble(test, prep.features))
         s = scoring.weighted_scores(scoring.confusion(preds)).first()
         metrics.append((p["extractor"], p["attack"], s["f1_score"], s["precision"],
@@ -337,10 +345,10 @@ def collapse_report(spark: SparkSession, raw_roots: dict[str, str], detail: Data
     days), peak RAM and packet totals per extractor, side by side."""
     counts = []
     for tool, root in raw_roots.items():
-        cat = catalogue(spark, root).filter(
+        cat = catalogue(spark, root, exclude_contains=("semlabel",)).filter(
             F.lower(F.col("file_name")).contains(keyword.lower()))
         if tool in positional:
-            flows = read_positional_flows(spark, cat)
+            flows = read_positional_flows(spark, cat)  # an unreadable width is an error
         else:
             flows = None
             for raw, paths in header_groups(cat):
@@ -367,12 +375,20 @@ def f1_view(metrics: DataFrame, bootstrap: int = 0, seed: int = 42) -> DataFrame
                                                   F.count(F.lit(1)).alias("n"))
     if bootstrap <= 0:
         return mean
-    reps = m.select("Scenario", "Extractor", F.col("`F1-Score`").alias("f1"),
+    # a uniform draw that depends on the row and the replicate alone
+    row = F.struct(*[F.col(q(c)) for c in m.columns])
+    reps = m.select("Scenario", "Extractor", F.col("`F1-Score`").alias("f1"), F.xxhash64(F.lit(seed), row).alias("row"),
                     F.explode(F.sequence(F.lit(0), F.lit(bootstrap - 1))).alias("b"))
-    u = F.rand(seed)
-    # Poisson(1) weight by inverse CDF on a uniform draw.
-    w = (F.when(u < 0.36788, 0).when(u < 0.73576, 1).when(u < 0.91970, 2)
-         .when(u < 0.98101, 3).when(u < 0.99634, 4).otherwise(5))
+    u = F.pmod(F.xxhash64("row", "b"), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    # Poisson(1) weight by inverse CDF; the chance of more than 12 is below 1e-10.
+    w, term = F.lit(13), math.exp(-1)
+    levels, total = [], 0.0
+    for k in range(13):
+        total += term
+        levels.append((k, total))
+        term /= k + 1
+    for k, level in reversed(levels):
+        w = F.when(u < level, k).otherwise(w)
     reps = reps.withColumn("w", w)
     rep_means = reps.groupBy("Scenario", "Extractor", "b").agg(
         F.try_divide(F.sum(F.col("f1") * F.col("w")), F.sum("w")).alias("m"))
@@ -397,7 +413,7 @@ def run_quality(spark: SparkSession, status: DataFrame | None, logs_root: str |
     if logs_root:
         lines = (spark.read.option("recursiveFileLookup", "true")
                  .option("pathGlobFilter", log_glob).text(logs_root)
-                 .select(F.col("_metadata.file_path").alias("file"), "value"))
+                 .select(file_path().alias("file"), "value"))
         out["log_triage"] = stats.log_triage(lines)
     return out
 

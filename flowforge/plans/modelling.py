@@ -24,18 +24,10 @@ def _prepared(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.stratified_split(weighted, "target", "vec_id")
 
 
-_FITTED: dict[tuple[int, str], tuple] = {}
-
-
 def _fit(spark, sf):
-    """Fit once per (session, tables): both queries report on one forest."""
-    key = (id(spark.sparkContext._jsc), sf)
-    if key not in _FITTED:
-        data = _prepared(spark, sf)
-        train = data.filter(~F.col("is_test"))
-        test = data.filter(F.col("is_test"))
-        _FITTED[key] = (model.fit_forest(train), test)
-    return _FITTED[key]
+    data = _prepared(spark, sf)
+    train, test = data.filter(~F.col("is_test")), data.filter(F.col("is_test"))
+    return model.fit_forest(model.laid_out(train, train.count(), "vec_id")), test
 
 
 def q_rf_scores(spark, sf):

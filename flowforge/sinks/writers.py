@@ -24,10 +24,8 @@ def write_labelled(df: DataFrame, path: str,
     files), and a hot attack is written by as many tasks as read it instead
     of being funnelled into one.  Only the partitions present are replaced.
     """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     cols = [c for c in partition_cols if c in df.columns]
-    writer = df.write.mode(mode)
+    writer = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
     if cols:
         writer = writer.partitionBy(*cols)
     if fmt == "csv":

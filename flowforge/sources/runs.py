@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import attack_from_log_name, infer_tool
 from ..functions.schema import METRICS_SCHEMA, RUN_LOG_SCHEMA, SAMPLE_SCHEMA
 from ..session import qualify
+from .catalogue import file_path
 
 
 def read_runs(spark: SparkSession, root: str, base_dir: str | None = None,
@@ -31,7 +32,7 @@ def read_runs(spark: SparkSession, root: str, base_dir: str | None = None,
             .option("recursiveFileLookup", "true")
             .option("pathGlobFilter", glob)
             .json(root))
-    logs = logs.select("*", F.col("_metadata.file_path").alias("log_path"))
+    logs = logs.select("*", file_path().alias("log_path"))
     mf = F.col("monitor_file")
     absolute = mf.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:") | mf.startswith("/")
     local_abs = F.concat(F.lit(base.split(":", 1)[0] + ":"), mf)
@@ -55,7 +56,7 @@ def read_samples(spark: SparkSession, root: str) -> DataFrame:
          .option("recursiveFileLookup", "true")
          .option("pathGlobFilter", "monitor_*.csv")
          .csv(root))
-    return s.select("*", F.col("_metadata.file_path").alias("monitor_key"))
+    return s.select("*", file_path().alias("monitor_key"))
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:

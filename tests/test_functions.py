@@ -23,6 +23,7 @@ def test_master_header_rule():
                 "bulk": 14, "_rate": 10, "subflow": 4, "active": 4, "idle": 4}
     for fam, n in families.items():
         assert sum(fam in c for c in MASTER_HEADER) == n, fam
+    assert MASTER_HEADER[7] == "duration" and MASTER_HEADER[-1].startswith("fwd_payload_bytes_delta_len_")
     # none of the 265 features is an identifier or label candidate
     assert feature_columns(MASTER_HEADER) == MASTER_HEADER[7:]
 

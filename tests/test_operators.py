@@ -20,15 +20,13 @@ def _rows(n=700, groups=("a", "b", "c"), seed=7, skew=True):
 
 def test_exact_row_number_matches_window(spark):
     df = spark.createDataFrame(_rows(), "id long, g string, k int, v double")
-    got = ranking.exact_row_number(df, ["k", "id"], ["g"], out="rn", num_partitions=5,
-                                   small_rows=None)
+    got = ranking.exact_row_number(df, ["k", "id"], ["g"], out="rn", num_partitions=5)
     small = ranking.exact_row_number(df, ["k", "id"], ["g"], out="rn")
     w = Window.partitionBy("g").orderBy("k", "id")
     ref = df.withColumn("rn", F.row_number().over(w))
     assert sorted(got.select("id", "rn").collect()) == sorted(ref.select("id", "rn").collect())
     assert sorted(small.select("id", "rn").collect()) == sorted(ref.select("id", "rn").collect())
-    glob = ranking.exact_row_number(df, ["v", "id"], out="rn", num_partitions=3,
-                                    small_rows=None)
+    glob = ranking.exact_row_number(df, ["v", "id"], out="rn", num_partitions=3)
     ref2 = df.withColumn("rn", F.row_number().over(Window.orderBy("v", "id")))
     assert sorted(glob.select("id", "rn").collect()) == sorted(ref2.select("id", "rn").collect())
 
@@ -70,9 +68,49 @@ def test_hash_sample_and_cap(spark):
     assert sampling.hash_sample(df, 1.0, ["id"]).count() == 2000
     cap = sampling.cap_rows(df, 50, ["id"], ["g"])
     assert sorted(r["count"] for r in cap.groupBy("g").count().collect()) == [50, 50, 50]
-    assert sampling.sampling_rate(100) == 1.0
-    assert sampling.sampling_rate(None) == 1.0
-    assert math.isclose(sampling.sampling_rate(2 * 1024 ** 3), 0.625)
+    assert sampling.cap_rows(df, 5000, ["id"], ["g"]).count() == 2000
+    one = sampling.cap_rows(df, 7, ["id"])
+    first = df.orderBy(F.md5(F.col("id").cast("string")), "id").limit(7)
+    assert sorted(one.collect()) == sorted(first.collect())
+
+
+def test_equal_rows_are_sampled_in_proportion(spark):
+    """Rows equal in every column, as floods have them, are kept like others."""
+    from flowforge.plans.jobs import prepare_training_set
+    rows = [("1.5", "2", "Syn")] * 2000 + [("0.5", "7", "BENIGN")] * 2000
+    df = spark.createDataFrame(rows, "f1 string, f2 string, label string")
+    whole = prepare_training_set(df)
+    assert whole.data.count() == 4000
+    some = prepare_training_set(df, max_train_rows=2500).data
+    per = {r.target: r["count"] for r in some.groupBy("target").count().collect()}
+    assert all(1150 < n < 1350 for n in per.values()) and len(per) == 2
+    split = sampling.stratified_split(whole.data, "target", "_rowkey")
+    assert {(r.target, r["count"]) for r in split.filter("is_test").groupBy("target").count().collect()} == {(0, 600), (1, 600)}
+
+
+def test_split_of_null_and_tiny_classes(spark):
+    df = spark.createDataFrame([(i, None if i < 10 else "a" if i < 11 else "b") for i in range(40)], "id long, g string")
+    s = sampling.stratified_split(df, "g", "id")
+    per = {r.g: r.t for r in s.groupBy("g").agg(F.sum(F.col("is_test").cast("int")).alias("t")).collect()}
+    assert per == {None: 3, "a": 1, "b": 9}
+
+
+def test_class_weight_of_nulls_does_not_depend_on_the_number_of_classes(spark):
+    for k in (2, 2000):
+        rows = [(None,)] * 4 + [(f"c{i}",) for i in range(k) for _ in range(4)]
+        df = spark.createDataFrame(rows, "y string")
+        assert {r.weight for r in sampling.class_weights(df, "y").collect()} == {1.0}
+
+
+def test_moments_of_many_and_of_infinite_samples(spark):
+    many = spark.range(20_000_000).select(F.lit("m").alias("monitor_file"), (F.col("id") % 2 * 100.0).alias("cpu_percent"),
+                                          F.lit(64000.25).alias("ram_mb"))
+    r = stats.sample_stats(many).first()
+    assert r.n_samples == 20_000_000 and r.avg_cpu == 50.0 and math.isclose(r.var_cpu, 2500 * 2e7 / (2e7 - 1)) and r.var_ram == 0.0
+    odd = spark.createDataFrame([("m", float("inf"), 1.0), ("m", 0.004, float("nan")), ("m", 0.001, 3.0)],
+                                "monitor_file string, cpu_percent double, ram_mb double")
+    r = stats.sample_stats(odd).first()
+    assert r.avg_cpu == 0.0025 and r.max_ram == 3.0 and math.isclose(r.var_ram, 2.0)
 
 
 def test_class_weights_and_gate(spark):
@@ -80,9 +118,7 @@ def test_class_weights_and_gate(spark):
     w = {r.y: r.weight for r in sampling.class_weights(df, "y").select("y", "weight")
          .distinct().collect()}
     assert math.isclose(w[1], 10 / (2 * 3)) and math.isclose(w[0], 10 / (2 * 7))
-    assert sampling.distinct_classes(df, "y") == 2
-    assert sampling.has_two_classes(df, "y")
-    assert not sampling.has_two_classes(df.filter("y = 0"), "y")
+    assert sampling.class_count_map(df, "y") == {0: 7, 1: 3}
 
 
 def test_encoding_is_a_code_point_bijection(spark):
@@ -135,7 +171,7 @@ def test_report_stats_edge_cases(spark):
     assert roll["CIC"].total_packets == 150 and roll["CIC"].pps == 37.5
     zero = stats.extractor_rollup(d.filter("attack = 'DNS'")).first()
     assert zero.pps is None                      # 0 elapsed: undefined, not infinity
-    fast = stats.sample_stats(samples, decimals=None)
+    fast = stats.sample_stats(samples)
     assert math.isclose({r.monitor_file: r for r in fast.collect()}["r1"].var_cpu, 200.0)
 
 
@@ -218,20 +254,11 @@ def test_exact_row_number_null_groups_and_skew(spark):
     rows = [(i, None if rnd.random() < 0.3 else rnd.choice(["a", "a", "a", "b"]),
              rnd.randint(0, 5)) for i in range(3000)]
     df = spark.createDataFrame(rows, "id long, g string, k int")
-    got = ranking.exact_row_number(df, ["k", "id"], ["g"], out="rn", num_partitions=7,
-                                   small_rows=None)
+    got = ranking.exact_row_number(df, ["k", "id"], ["g"], out="rn", num_partitions=7)
     ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("k", "id")))
     assert sorted(got.select("id", "rn").collect()) == sorted(ref.select("id", "rn").collect())
 
 
-def test_sampling_rate_column_matches_rule(spark):
-    sizes = [None, 100, 500 * 1024 * 1024 - 1, 500 * 1024 * 1024, 2 * 1024 ** 3, 40 * 1024 ** 3]
-    df = spark.createDataFrame([(s,) for s in sizes], "length long")
-    got = [r.rate for r in df.select(sampling.sampling_rate_col(F.col("length")).alias("rate"))
-           .collect()]
-    assert all(math.isclose(g, sampling.sampling_rate(s)) for g, s in zip(got, sizes))
-
-
 def test_rollup_weighted_option(spark):
     detail = spark.createDataFrame(
         [("CIC", 10, 1.0, 10.0, 1.0, 1.0, 100.0, 1.0, 1.0, 1),

@@ -68,13 +68,6 @@ def test_scans_read_only_used_columns_and_push_filters(spark):
     assert p.index("Join") < p.index("HashAggregate")
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables missing")
-def test_sample_moments_stay_on_the_long_path(spark):
-    p = plan(stats.sample_stats(standins.samples_frame(spark, SF)))
-    partial = p[p.rindex("HashAggregate"):]
-    assert "decimal" not in partial.split("Results")[0]
-
-
 def test_labelled_sink_writes_without_a_shuffle(spark, tmp):
     from flowforge.sinks.writers import write_labelled
     df = spark.range(1000).select(F.lit("CIC").alias("extractor"), F.lit("01-12").alias("day"),
