@@ -192,7 +192,7 @@ def top_inner_products(vectors: DataFrame, queries: Column, id_col: str = "vec_i
     q_blocks = written(q_blocks.mapInArrow(bounds, "qn int, qwidth int, qids binary, q binary, bounds binary, need double"), "topk-queries")
     # one row per partition of vectors (as many as shuffle partitions), each with its greatest length
     parts = tops.agg(F.collect_list(F.struct("part", "part_top")).alias("parts"))
-    sent = (q_blocks.join(F.broadcast(parts), F.lit(True)).withColumn("p", F.explode("parts"))
+    sent = (q_blocks.crossJoin(F.broadcast(parts)).withColumn("p", F.explode("parts"))
             .filter(F.col("p.part_top") * (1 + 1e-9) + 1e-6 >= F.col("need")).drop("parts")
             .withColumn("part", F.col("p.part")).drop("p", "need"))
 

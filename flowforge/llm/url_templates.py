@@ -15,7 +15,7 @@ Native: DataFrame functions only, no Python in tasks.
 5. Label states come from the rules of step 1.  A template is rejected when
    its smoothed share of blocked among labelled pages,
    ``(blocked + PSEUDO * p) / (labelled + PSEUDO)`` with the corpus share
-   ``p``, reaches one half.  Counts are compared as whole decimals, so no
+   ``p``, reaches one half; one without labelled pages stays.  Counts are compared as whole decimals, so no
    rounding enters.
 
 Defined results: null urls and urls without ``://`` have an empty host and
@@ -115,8 +115,8 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     template = ["host", *[f"g{k + 1}" for k in range(DEPTH)], "deep"]
     purity = tree.groupBy(*template).agg(F.sum(block).alias("b"), F.sum(known).alias("k"))
     overall = tree.agg(F.coalesce(F.sum(block), F.lit(0)).alias("all_b"), F.coalesce(F.sum(known), F.lit(0)).alias("all_k"))
-    bad = (purity.join(F.broadcast(overall), F.lit(True))  # one row
-           .filter((F.col("all_k") > 0) & (2 * (_big("b") * F.col("all_k") + PSEUDO * _big("all_b")) >= _big(F.col("k") + PSEUDO) * F.col("all_k")))
+    bad = (purity.crossJoin(F.broadcast(overall))  # one row of totals
+           .filter((F.col("k") > 0) & (2 * (_big("b") * F.col("all_k") + PSEUDO * _big("all_b")) >= _big(F.col("k") + PSEUDO) * F.col("all_k")))
            .select(*template))
     rejected = tree.select(*shape, *template[1:-1]).distinct().join(bad, template, "left_semi").select(*shape, F.lit(True).alias("rejected"))
     return (cut.join(rejected, shape, "left")
@@ -166,8 +166,8 @@ like_host AS (SELECT host, g1 FROM apart WHERE g1 <> '' AND gap * 5 <= branch_n
 m AS (SELECT l.host, t1, t2, t3, deep, state, n, CASE WHEN k.host IS NOT NULL THEN '*' ELSE l.g1 END AS g1, g2, g3
       FROM l3 l LEFT JOIN like_host k ON l.host = k.host AND l.g1 = k.g1),
 tot AS (SELECT sum(CASE WHEN state = 'block' THEN n ELSE 0 END) AS all_b, sum(CASE WHEN state <> 'none' THEN n ELSE 0 END) AS all_k FROM m),
-bad AS (SELECT host, g1, g2, g3, deep FROM m, tot WHERE all_k > 0 GROUP BY host, g1, g2, g3, deep, all_b, all_k
-      HAVING 2 * (sum(CASE WHEN state = 'block' THEN n ELSE 0 END) * all_k + 4 * all_b) >= (sum(CASE WHEN state <> 'none' THEN n ELSE 0 END) + 4) * all_k),
+bad AS (SELECT host, g1, g2, g3, deep FROM m, tot GROUP BY host, g1, g2, g3, deep, all_b, all_k
+      HAVING sum(CASE WHEN state <> 'none' THEN n ELSE 0 END) > 0 AND 2 * (sum(CASE WHEN state = 'block' THEN n ELSE 0 END) * all_k + 4 * all_b) >= (sum(CASE WHEN state <> 'none' THEN n ELSE 0 END) + 4) * all_k),
 rej AS (SELECT DISTINCT host, t1, t2, t3, deep FROM m JOIN bad USING (host, g1, g2, g3, deep))
 SELECT page_id, c.host, path, rule, coalesce(ruled, CASE WHEN rej.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM c LEFT JOIN rej ON c.host = rej.host AND c.t1 = rej.t1 AND c.t2 = rej.t2 AND c.t3 = rej.t3 AND c.deep = rej.deep
