@@ -222,7 +222,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeated words, spans that cover them (they may overlap)."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(F.col(text_col)).alias("text")).filter("doc_id is not null")
     rows = base.mapInArrow(_anchor_rows(window, gram), "g long, c long, doc long, loc long")
-    shared = rows.groupBy("g").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("g")
+    # written by itself: a join with an aggregate above its own exchange can't be split at a hot gram
+    shared = written(rows.groupBy("g").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("g"), "repeat-grams")
     rows = written(rows.join(shared, "g"), "repeat-anchors")
 
     contexts = written(rows.groupBy("g", "c").agg(F.min("doc").alias("m"), F.min_by("loc", "doc").alias("at")), "repeat-contexts")
@@ -238,7 +239,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     long_prefixes = copies.filter(F.col("n") > limit)
     if long_prefixes.limit(1).count():
         nodes = written(cut(long_prefixes, True, "g long, c long, m long, at long, h1 long, h2 long"), "repeat-windows")
-        least = nodes.groupBy("h1", "h2").agg(F.min("m").alias("least"))
+        least = written(nodes.groupBy("h1", "h2").agg(F.min("m").alias("least")), "repeat-least")
         runs = runs.union(nodes.join(least, ["h1", "h2"]).filter("least < m").select("g", "c", F.col("at").alias("first"), F.col("at").alias("last")))
 
     known = rows.join(contexts.select("g", "c", "m"), ["g", "c"])
