@@ -11,7 +11,8 @@ from flowforge.llm.common import written
 def _large(edges: DataFrame) -> DataFrame:
     """Every node hands its smallest neighbour to its larger neighbours."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # written by itself, so that the join can be split at a node of many links
+    least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
@@ -33,6 +34,6 @@ def components(links: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
-        edges = written(_small(_large(edges)), "links")
+        edges = written(_small(written(_large(edges), "links")), "links")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

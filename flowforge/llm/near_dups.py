@@ -224,7 +224,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, num: int = 85, den: int = 1
     classes = written(sets.filter("n > 0 and doc_id is not null").groupBy("digest", "n", "sketch").agg(F.min("doc_id").alias("rep")), "near-classes")
 
     postings = classes.select("rep", "n", "sketch").mapInArrow(_keys, "key long, rep long")
-    lists = postings.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("center")).filter("size > 1")
+    # written by itself: a join with an aggregate above its own exchange can't be split at a hot key
+    lists = written(postings.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("center")).filter("size > 1"), "near-list-sizes")
     shared = written(postings.join(lists, "key"), "near-lists")
     long_lists = shared.filter(F.col("size") > LIST)
     short = (shared.filter(F.col("size") <= LIST).groupBy("key").agg(F.array_sort(F.collect_list("rep")).alias("m"))
