@@ -114,7 +114,7 @@ def topology_label(src: Column, attackers: Sequence[str] | str,
     """``attack`` when the source equals an attacker address, else BENIGN.
 
     Exact string match; a null source is BENIGN.  A short attacker list is
-    an IN-list (narrow); long lists should go through a join instead.
+    an IN-list (narrow); for a table of attackers see ``topology_label_join``.
     """
     if isinstance(attackers, str):
         attackers = [attackers]
@@ -123,6 +123,15 @@ def topology_label(src: Column, attackers: Sequence[str] | str,
     return F.when(F.coalesce(hit, F.lit(False)), attack_col).otherwise(F.lit(BENIGN))
 
 
+def topology_label_join(flows: DataFrame, src: str, attackers: DataFrame, address: str,
+                        attack: Column, out: str = "label") -> DataFrame:
+    """P6 for a table of attacker addresses of any size: a left join with the
+    distinct addresses; Spark broadcasts them while they are few."""
+    known = attackers.select(F.col(address).cast("string").alias("_attacker")).filter("_attacker is not null").distinct()
+    joined = flows.join(known, F.col(src).cast("string") == F.col("_attacker"), "left")
+    return joined.withColumn(out, F.when(F.col("_attacker").isNotNull(), attack).otherwise(F.lit(BENIGN))).drop("_attacker")
+
+
 # --- P8 / P9 leakage pruning and label resolution ------------------------------
 
 def label_column(columns: Sequence[str]) -> str | None:

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.schema import ATTACK_KEYWORDS, EXTRACTORS, TEST_DAY, TRAIN_DAY
-from .ranking import first_per_group
 
 
 def exclude_names(catalogue: DataFrame, name_col: str = "file_name",
@@ -65,19 +64,23 @@ def match_files(grid: DataFrame, catalogue: DataFrame,
     broadcast; the nested-loop join streams the catalogue once.
     """
     cat = catalogue if scope is None else catalogue.filter(scope)
-    cat = cat.select(F.col("extractor").alias("_c_ext"),
-                     F.col(name_col).alias("_c_name"), F.col(path_col).alias("_c_path"))
-    cond = ((F.col("extractor") == F.col("_c_ext"))
-            & keyword_hit(F.col("_c_name"), F.col("attack")))
-    # Inner join: the catalogue streams, the constant grid is the broadcast
-    # build side (an outer join could only broadcast the catalogue).
-    hits = cat.join(F.broadcast(grid.select("attack", "extractor")), cond, "inner")
-    first = first_per_group(hits, ["attack", "extractor"], [F.col("_c_path").asc()])
-    first = first.select("attack", "extractor", F.col("_c_path").alias("match_path"))
+    first = _hits(grid, cat, name_col, path_col).groupBy("attack", "extractor").agg(F.min("_c_path").alias("match_path"))
     return grid.join(F.broadcast(first), ["attack", "extractor"], "left").select(
         *grid.columns, "match_path")
 
 
+def _hits(grid: DataFrame, catalogue: DataFrame, name_col: str, path_col: str, *more: str) -> DataFrame:
+    """``attack, extractor, _c_path, *more`` of every file that matches a
+    scenario; the catalogue streams once past the broadcast grid (inner: an
+    outer join could only broadcast the catalogue)."""
+    cat = catalogue.select(F.col("extractor").alias("_c_ext"), F.col(name_col).alias("_c_name"),
+                           F.col(path_col).alias("_c_path"), *more)
+    cond = ((F.col("extractor") == F.col("_c_ext"))
+            & keyword_hit(F.col("_c_name"), F.col("attack")))
+    return cat.join(F.broadcast(grid.select("attack", "extractor")), cond, "inner").select(
+        "attack", "extractor", "_c_path", *more)
+
+
 def pair_train_test(grid: DataFrame, catalogue: DataFrame,
                     day_col: str = "day", name_col: str = "file_name",
                     path_col: str = "path", train_day: str = TRAIN_DAY,
@@ -87,14 +90,12 @@ def pair_train_test(grid: DataFrame, catalogue: DataFrame,
     else (for ``anywhere_test_for`` extractors) any file.  ``strategy`` is
     ``Real`` when both exist and differ, else ``Split``; scenarios without a
     training file are dropped."""
-    day = F.col(day_col)
-    on_train = match_files(grid, catalogue, name_col, path_col, day == train_day)
-    on_any = match_files(grid, catalogue, name_col, path_col)
-    on_test = match_files(grid, catalogue, name_col, path_col, day == test_day)
-    keys = ["attack", "extractor"]
-    j = (grid.join(on_train.select(*keys, F.col("match_path").alias("_tr")), keys)
-         .join(on_any.select(*keys, F.col("match_path").alias("_any")), keys)
-         .join(on_test.select(*keys, F.col("match_path").alias("_te")), keys))
+    path, day = F.col("_c_path"), F.col("_day")
+    best = (_hits(grid, catalogue.withColumn("_day", F.col(day_col)), name_col, path_col, "_day")
+            .groupBy("attack", "extractor")
+            .agg(F.min(F.when(day == train_day, path)).alias("_tr"), F.min(path).alias("_any"),
+                 F.min(F.when(day == test_day, path)).alias("_te")))
+    j = grid.join(F.broadcast(best), ["attack", "extractor"], "left")   # one row per scenario
     train = F.coalesce(F.col("_tr"), F.col("_any"))
     test = F.when(F.col("_te").isNotNull(), F.col("_te")).when(
         F.col("extractor").isin(list(anywhere_test_for)), F.col("_any"))

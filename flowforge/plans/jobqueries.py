@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import topology_label_join
 from ..operators import matching, model, sampling
 from ..session import scratch_path, table
 from ..sources.catalogue import catalogue
@@ -190,11 +191,45 @@ SELECT l_orderkey, l_linenumber, k FROM s, n
 WHERE substr(md5(k), 1, 8) < printf('%08x', CAST(floor((n // 2)::DOUBLE / n::DOUBLE * 4294967296) AS BIGINT))"""
 
 
+def q_attacker_join(spark: SparkSession, sf: str) -> DataFrame:
+    """P6 through a table of attackers: the even suppliers."""
+    li, supplier = table(spark, sf, "lineitem"), table(spark, sf, "supplier")
+    flows = li.select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag")
+    return topology_label_join(flows, "l_suppkey", supplier.filter("s_suppkey % 2 = 0"), "s_suppkey", F.col("l_returnflag"))
+
+
+_ATTACKER_SQL = """
+SELECT l_orderkey, l_linenumber, l_suppkey, l_returnflag,
+       CASE WHEN l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0) THEN l_returnflag ELSE 'BENIGN' END AS label
+FROM lineitem"""
+
+
+def q_run_log_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """K2 and A4: packet totals per status joined to timed runs."""
+    li, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    per_attack = li.groupBy(F.col("l_linestatus").alias("attack")).agg(
+        F.count("*").alias("total_packets"), F.count_if(F.col("l_linenumber") == 7).alias("failed_files"))
+    timings = orders.select(F.col("o_orderstatus").alias("attack"), F.col("o_orderpriority").alias("tool"),
+                            (F.col("o_custkey") % 5).cast("double").alias("time_seconds"), F.col("o_orderkey").cast("string").alias("monitor_file"))
+    return jobs.run_logs(per_attack, timings)
+
+
+_RUN_LOG_SQL = """
+WITH t AS (SELECT l_linestatus AS a, count(*) AS n, count(*) FILTER (WHERE l_linenumber = 7) AS f FROM lineitem GROUP BY 1),
+r AS (SELECT o_orderstatus AS attack, o_orderpriority AS tool, CAST(o_custkey % 5 AS DOUBLE) AS time_seconds,
+             CAST(o_orderkey AS VARCHAR) AS monitor_file FROM orders)
+SELECT attack, tool, CAST(coalesce(n, 0) AS BIGINT) AS total_packets, time_seconds,
+       CASE WHEN time_seconds > 0 THEN coalesce(n, 0) / time_seconds ELSE 0.0::DOUBLE END AS pps, monitor_file,
+       coalesce(f, 0) AS failed_files
+FROM r LEFT JOIN t ON r.attack = t.a"""
+
+
 def queries() -> dict:
     return {"extractor_report": q_extractor_report, "f1_view": q_f1_view, "class_gate": q_class_gate,
             "capture_directories": q_capture_directories, "importance_report": q_importance_report,
             "prepare_training": q_prepare_training, "consolidate_fragments": q_consolidate_fragments,
-            "tolerant_scan": q_tolerant_scan, "rejected_rows": q_rejected_rows, "training_sample": q_training_sample}
+            "tolerant_scan": q_tolerant_scan, "rejected_rows": q_rejected_rows, "training_sample": q_training_sample,
+            "attacker_join": q_attacker_join, "run_log_rows": q_run_log_rows}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -202,4 +237,5 @@ def oracle_sql() -> dict[str, str]:
     return {"extractor_report": _REPORT_SQL, "f1_view": _SCENARIO_SQL, "class_gate": _GATE_SQL,
             "capture_directories": _DIRECTORIES_SQL, "importance_report": _IMPORTANCE_SQL,
             "prepare_training": _PREPARE_SQL, "consolidate_fragments": _FRAGMENTS_SQL,
-            "tolerant_scan": _TOLERANT_SQL, "rejected_rows": _REJECTED_SQL, "training_sample": _SAMPLE_SQL}
+            "tolerant_scan": _TOLERANT_SQL, "rejected_rows": _REJECTED_SQL, "training_sample": _SAMPLE_SQL,
+            "attacker_join": _ATTACKER_SQL, "run_log_rows": _RUN_LOG_SQL}

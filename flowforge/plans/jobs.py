@@ -20,7 +20,7 @@ from ..functions.columns import (align, binary_target, canonical_dns, feature_co
                                  topology_label)
 from ..functions.schema import (ATTACK_KEYWORDS, B_SOURCE_POSITION, C_META_COLUMNS,
                                 DEFAULT_ATTACKER, EXTRACTORS, F1_VIEW_TARGETS,
-                                HEAD_TO_HEAD, MASTER_HEADER, NA_TOKENS)
+                                HEAD_TO_HEAD, MASTER_HEADER, NA_TOKENS, PACKET_BATCH)
 from ..operators import encoding, matching, model, sampling, scoring, stats
 from ..session import cut_lineage, qualify
 from ..sinks import writers
@@ -47,7 +47,19 @@ def capture_inventory(spark: SparkSession, root: str) -> tuple[DataFrame, DataFr
     return files, per_attack
 
 
-def packet_batches(spark: SparkSession, root: str, batch_rows: int) -> DataFrame:
+def run_logs(per_attack: DataFrame, timings: DataFrame) -> DataFrame:
+    """K2's rows: packet totals of the inventory joined to the measured runs
+    (``attack, tool, time_seconds, monitor_file``), throughput by A4; a run
+    without captures has no packets, and failed files are carried along."""
+    totals = per_attack.select(F.col("attack").alias("_attack"), "total_packets", "failed_files")
+    joined = timings.join(totals, F.col("attack") == F.col("_attack"), "left")
+    packets = F.coalesce("total_packets", F.lit(0)).cast("bigint")
+    return joined.select("attack", "tool", packets.alias("total_packets"), "time_seconds",
+                         stats.run_throughput(packets, F.col("time_seconds")).alias("pps"), "monitor_file",
+                         F.coalesce("failed_files", F.lit(0)).alias("failed_files"))
+
+
+def packet_batches(spark: SparkSession, root: str, batch_rows: int = PACKET_BATCH) -> DataFrame:
     """W5 on captures: a directory's packets merged in time order
     (ts, file, ordinal) and cut into consecutive batches of ``batch_rows``."""
     from ..operators.ranking import fixed_batches
@@ -236,7 +248,8 @@ def extractor_benchmark(spark: SparkSession, processed_root: str,
                         extractors: Sequence[str] = EXTRACTORS,
                         out: str | None = None, fmt: str = "csv",
                         match_on: str = "file_name",
-                        max_train_rows: int | None = None) -> tuple[DataFrame, DataFrame, list]:
+                        max_train_rows: int | None = None,
+                        per_dataset: bool = False) -> tuple[DataFrame, DataFrame, list]:
     """For every (attack, extractor) with a training file: prepare,
     gate (>= 2 classes), fit the forest, score on the other day (Real) or on
     a stratified 30 % split (Split), rank importances.
@@ -247,7 +260,8 @@ def extractor_benchmark(spark: SparkSession, processed_root: str,
     layout the labelled-flow sink writes (``extractor=/day=/attack=/part-*``).
 
     ``max_train_rows`` bounds the rows that a forest is fitted on; test rows
-    are all scored.
+    are all scored.  ``per_dataset`` types and encodes the test set by itself,
+    as the original does; by default the training set's dictionary holds.
 
     Returns (metrics, feature rankings, skipped scenarios)."""
     cat = catalogue(spark, processed_root, glob="*.parquet" if fmt == "parquet" else "*.csv",
@@ -274,8 +288,8 @@ def extractor_benchmark(spark: SparkSession, processed_root: str,
             rows = prep.data
             test_raw = _read_one(spark, p["test_path"], fmt, by_dir)
             # the test set is read once (predict + score): no materialisation
-            tprep = prepare_training_set(test_raw, dictionary=prep.dictionary,
-                                         kinds=prep.kinds, materialize=False) if test_raw else None
+            shared = {} if per_dataset else {"dictionary": prep.dictionary, "kinds": prep.kinds}
+            tprep = prepare_training_set(test_raw, materialize=False, **shared) if test_raw else None
             if tprep is None:
                 skipped.append((*scen, "invalid test data"))
                 continue

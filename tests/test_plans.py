@@ -56,7 +56,7 @@ def test_keyword_match_broadcasts_the_grid_not_the_catalogue(spark):
     # the only other broadcast carries the first match per scenario (<= grid)
     outer = [b for b in subtrees(p, "BroadcastExchange") if "BroadcastNestedLoopJoin" in b]
     head = "\n".join(outer[0].split("\n")[:6])
-    assert len(outer) == 1 and "Final" in head and "WindowGroupLimit" in head
+    assert len(outer) == 1 and "min(" in outer[0]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables missing")
