@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from flowforge.llm.common import utf8
 
 #: Bounds of the labelled sample.
-ROWS, ROW_BYTES = 2500, 1 << 16
+ROWS, ROW_BYTES = 2500, 1 << 14
 #: Bytes of the two dictionaries.
 ORDINARY, TOXIC = 8192, 1024
 #: Words of a window, words from one to the next, compression level.
@@ -69,9 +69,13 @@ def _stems(word: bytes) -> set[bytes]:
     return {word[:n] for n in range(4, len(word) + 1)}
 
 
-def stem_counts(texts: list[list[bytes]]) -> Counter:
-    """In how many texts each stem occurs."""
-    return Counter(s for words in texts for s in set().union(*map(_stems, set(words))))
+def stem_counts(texts: list[bytes], among: set[bytes] | None = None) -> Counter:
+    """In how many texts each stem occurs: of ``among``, or twice at least."""
+    out: Counter = Counter()
+    for text in texts:
+        stems = set().union(*map(_stems, set(text.lower().split())))
+        out.update(stems if among is None else stems & among)
+    return out if among is not None else Counter({s: n for s, n in out.items() if n > 1})
 
 
 def typical_stems(toxic: Counter, n_toxic: int, ordinary: Counter, n_ordinary: int) -> set[bytes]:
@@ -87,9 +91,9 @@ def typical_stems(toxic: Counter, n_toxic: int, ordinary: Counter, n_ordinary: i
     return out
 
 
-def toxic_passages(toxic: list[list[bytes]], typical: set[bytes]) -> list[bytes]:
+def toxic_passages(toxic: list[bytes], typical: set[bytes]) -> list[bytes]:
     """Per toxic text, its words with a stem that is typical of toxic texts."""
-    runs = ([w for w in words if not typical.isdisjoint(_stems(w))] for words in toxic)
+    runs = ([w for w in text.lower().split() if not typical.isdisjoint(_stems(w))] for text in toxic)
     return [b" " + b" ".join(run) + b" " for run in runs if run]
 
 
@@ -161,30 +165,34 @@ def without_copies(texts: list[bytes]) -> list[bytes]:
     return out
 
 
-def _dictionaries(words: dict[int, list[list[bytes]]], counts: dict[int, Counter]) -> Model:
-    """A model without a curve, from the words and stem counts by label."""
-    ordinary = _dictionary(ORDINARY, [b" " + b" ".join(w[i:i + 40]) for w in words[0] for i in range(0, len(w), 40)])
-    passages = toxic_passages(words[1], typical_stems(counts[1], len(words[1]), counts[0], len(words[0])))
-    passages = passages or [b" " + b" ".join(w) + b" " for w in words[1]]
-    return Model(ordinary, _dictionary(TOXIC, [p for p in passages for _ in range(2)]), [], [], [])
+def _dictionaries(texts: dict[int, list[bytes]], counts: dict[int, Counter]) -> Model:
+    """A model without a curve, from the texts and stem counts by label."""
+    pieces = []
+    for text in texts[0]:
+        words = text.lower().split()
+        pieces += [b" " + b" ".join(words[i:i + 40]) for i in range(0, len(words), 40)]
+    passages = toxic_passages(texts[1], typical_stems(counts[1], len(texts[1]), counts[0], len(texts[0])))
+    passages = passages or [b" " + b" ".join(t.lower().split()) + b" " for t in texts[1]]
+    return Model(_dictionary(ORDINARY, pieces), _dictionary(TOXIC, [p for p in passages for _ in range(2)]), [], [], [])
 
 
 def train(rows: list[tuple[int, int, bytes]]) -> Model:
     """A model from (third, label, text) rows; there are thirds 0 and 2."""
-    words = {(third, y): [t.lower().split() for t in without_copies([t for u, label, t in rows if (u, label) == (third, y)])]
-             for third in (0, 2) for y in (0, 1)}
-    if not all(words.values()):
+    texts = {(third, y): without_copies([t for u, label, t in rows if (u, label) == (third, y)]) for third in (0, 2) for y in (0, 1)}
+    if not all(texts.values()):
         return Model(b"", b"", [], [], [], constant=(1 + sum(y for _, y, _ in rows)) / (2 + len(rows)))
-    counts = {key: stem_counts(some) for key, some in words.items()}
+    counts = {(third, 1): stem_counts(texts[third, 1]) for third in (0, 2)}
+    among = {*counts[0, 1], *counts[2, 1]}
+    counts |= {(third, 0): stem_counts(texts[third, 0], among) for third in (0, 2)}
     x, y = [], []
     for third in (0, 2):
-        other = _dictionaries(*({label: part[2 - third, label] for label in (0, 1)} for part in (words, counts)))
+        other = _dictionaries(*({label: part[2 - third, label] for label in (0, 1)} for part in (texts, counts)))
         other.open()
         # copies stay in the calibration, in the shares that labelled rows have
         held = [(label, t) for u, label, t in rows if u == third]
         x += [other.evidence(t) for _, t in held]
         y += [float(label) for label, _ in held]
-    model = _dictionaries(*({label: part[0, label] + part[2, label] for label in (0, 1)} for part in (words, counts)))
+    model = _dictionaries(*({label: part[0, label] + part[2, label] for label in (0, 1)} for part in (texts, counts)))
     x = np.array(x)
     mean, spread = x.mean(0), x.std(0) + 1e-9
     model.mean, model.spread = mean.tolist(), spread.tolist()
