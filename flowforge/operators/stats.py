@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import mb_to_gb, round_half_up, to_millions, zero_round
+from ..functions.columns import mb_to_gb, to_millions, zero_round
 from ..functions.schema import LOG_ALERT_PHRASES, SUCCESS_RATIO
 
 
@@ -61,8 +61,8 @@ def sample_summary(samples: DataFrame, key: str = "monitor_file",
     agg = samples.select(key, _finite(F.col(cpu)).alias("_c"), _finite(F.col(ram)).alias("_r")).groupBy(key).agg(
         F.max("_c").alias("max_cpu"), F.max("_r").alias("max_ram"), F.count(F.lit(1)).alias("n_samples"),
         *_moment_sums(F.col("_c"), "c"), *_moment_sums(F.col("_r"), "r"))
-    return agg.select(key, "max_cpu", round_half_up(_mean_var("c")[0], 2).alias("avg_cpu"),
-                      "max_ram", round_half_up(_mean_var("r")[0], 2).alias("avg_ram"), "n_samples")
+    return agg.select(key, "max_cpu", F.round(_mean_var("c")[0], 2).alias("avg_cpu"),
+                      "max_ram", F.round(_mean_var("r")[0], 2).alias("avg_ram"), "n_samples")
 
 
 def sample_stats(samples: DataFrame, key: str = "monitor_file",
@@ -143,11 +143,6 @@ def extractor_rollup(detail: DataFrame, weighted: bool = False) -> DataFrame:
         *[F.round(F.col(m), 4).alias(m) for m in METRIC_COLUMNS])
 
 
-def packet_totals(packets: DataFrame, key: str = "attack") -> DataFrame:
-    """A5: packets per attack (one row per packet header in ``packets``)."""
-    return packets.groupBy(key).agg(F.count(F.lit(1)).alias("total_packets"))
-
-
 def flow_counts(flows: DataFrame, keyword: str, file_col: str = "file_name",
                 key: str = "extractor") -> DataFrame:
     """Parsed flow rows per extractor over every file whose name

@@ -267,14 +267,14 @@ def test_readme_workflow(spark, tmp):
 
 
 def test_collapse_report_and_capture_helpers(spark, tmp):
-    from flowforge.operators import matching, stats
+    from flowforge.operators import matching
     from flowforge.sources import pcap
     from flowforge.sources.catalogue import catalogue
     capture(f"{tmp}/PCAP/01-12/Syn/a.pcap", "<", 4)
     capture(f"{tmp}/PCAP/03-11/Syn/b.pcap", "<", 2)
     capture(f"{tmp}/PCAP/03-11/DNS/c.pcap", "<", 1)
     pk = pcap.read_packets(spark, f"{tmp}/PCAP")
-    assert {r.attack: r.total_packets for r in stats.packet_totals(pk).collect()} == \
+    assert {r["attack"]: r["count"] for r in pk.groupBy("attack").count().collect()} == \
         {"01-12_Syn": 4, "03-11_Syn": 2, "03-11_DNS": 1}
     dirs = matching.capture_directories(
         catalogue(spark, f"{tmp}/PCAP", glob="*.pcap", exclude_prefixes=()))
