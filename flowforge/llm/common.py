@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +65,9 @@ class BoundedCache(dict):
         return value
 
 
+#: 64-bit hashes of recent words, one memo per Python worker for all operators.
+WORD_HASHES = BoundedCache(xxhash.xxh64_intdigest, limit=150_000)
+
 #: Tables built from a vocabulary, kept by Python workers between tasks.
 _KEPT: dict[tuple, object] = {}
 

@@ -31,11 +31,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowforge.llm.common import BoundedCache, columns, utf8, written
+from flowforge.llm.common import WORD_HASHES, columns, utf8, written
 from flowforge.llm.components import components
 
 KEEP, RUN = 48, 3
@@ -45,7 +44,6 @@ BLOCK = 256
 MARGIN = 0.4
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_WORDS = BoundedCache(xxhash.xxh64_intdigest)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -60,7 +58,7 @@ def shingles(text: bytes, words: int) -> np.ndarray:
     tokens = text.lower().split()
     if not tokens:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, tokens), np.uint64, len(tokens))
+    h = np.fromiter(map(WORD_HASHES.__getitem__, tokens), np.uint64, len(tokens))
     size = min(words, len(h))
     n = len(h) - size + 1
     x = np.full(n, size, np.uint64)

@@ -67,8 +67,8 @@ class WordEncoder:
         self.letters = {b: c for c, b in letter_bytes().items()}
         self.find = regex.compile(WORDS).findall
         self.merge = self.library.model.tokenize
-        self.words = BoundedCache(self._word, limit=200_000)
-        self.chunks = BoundedCache(self._chunk, limit=400_000)
+        self.words = BoundedCache(self._word, limit=100_000)
+        self.chunks = BoundedCache(self._chunk, limit=200_000)
 
     def _merged(self, letters: str) -> bytes:
         ids = [t.id for t in self.merge(letters)]

@@ -39,11 +39,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowforge.llm.common import BoundedCache, columns, utf8, written
+from flowforge.llm.common import WORD_HASHES, columns, utf8, written
 
 WINDOW, GRAM = 50, 12
 #: Contexts of one prefix, and of one batch of prefixes, that a task holds.
@@ -51,7 +50,6 @@ SUBTREE = 8192
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_WORDS = BoundedCache(xxhash.xxh64_intdigest)
 _POWERS: list[np.ndarray] = []
 
 
@@ -69,7 +67,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(WORD_HASHES.__getitem__, words), np.uint64, len(words))
 
 
 def _leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
