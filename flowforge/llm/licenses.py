@@ -1,8 +1,8 @@
 """License scan: canonical digest lookup.
 
-A text is normalised (letter case, punctuation, copyright lines, equivalent
-spellings), and the digest of the *entire* result is hash-joined to the digests
-of known licenses.  Two kinds of text are looked up: the whole document, and
+A text is normalised (letter case, punctuation, copyright statements, equivalent
+spellings, also across line breaks), and the digest of the *entire* result is
+hash-joined to the digests of known licenses.  Two kinds of text are looked up: the whole document, and
 each of its lines, which finds one-line notices at any place of a long text.
 
 Everything is a DataFrame expression.  The table of known licenses is a
@@ -14,6 +14,8 @@ notice counts each line.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,46 +70,90 @@ Permission is granted to anyone to use this software for any purpose, including
 3. This notice may not be removed or altered from any source distribution.""",
 }
 
-#: (license, text) rows looked up by default.
+#: (license, text) rows of the oracle SQL.
 KNOWN = tuple([*NOTICES.items(), *TEXTS.items()])
 
+# FIXED VALUES: title lines that stand above the texts.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT", "Expat License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)", "ISC"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD Zero Clause License (0BSD)", "0BSD", "Zero-Clause BSD (0BSD)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD-2-Clause License", "BSD-2-Clause", "Simplified BSD License", "BSD License", "The BSD License",
+                     'BSD 2-Clause "Simplified" License', "FreeBSD License", "The 2-Clause BSD License", "Two-Clause BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "zlib", "zlib/libpng License", "The zlib/libpng License", "zlib License (Zlib)"),
+}
+
+
+def titled(texts: dict[str, str], titles: dict[str, tuple]) -> list[tuple[str, str]]:
+    """Each text without a title and below each of its titles, with numbered and with marked points."""
+    out = []
+    for name, text in texts.items():
+        heads = titles.get(name, ())
+        body = text.split("\n", 1)[1] if text.split("\n", 1)[0] in heads else text
+        for form in dict.fromkeys((body, re.sub(r"(?m)^[0-9]\. ", "* ", body))):
+            out += [(name, form), *((name, head + "\n\n" + form) for head in heads)]
+    return out
+
+
+#: (license, text) rows looked up by default.
+REGISTRY = tuple(dict.fromkeys([*KNOWN, *titled(TEXTS, TITLES)]))
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|all rights reserved)[^\n]*$"
+#: Words after 'copyright' that go on with a sentence instead of naming a holder.
+BODY_WORDS = ("notices?|holders?|owners?|licen[sc]es?|licensing|laws?|acts?|and|or|in|of|to|is|as|on|for|the following|this|that|a|an|shall|may|can|does|under|if|with|which|has|applies|interests?|statements?|protections?|rights?|"
+              "treat(?:y|ies)|disclaimers?|infringements?|claims?|management|permissions?|ownership|material|works?|status|terms?|conditions?|information")
+#: A line that is a copyright statement: the sign, a year (or its blank) or a holder after 'copyright', the sign and a year, or the reservation.
+COPYRIGHT_LINE = (r"(?m)^[^A-Za-z0-9\n]*?(?:(?i:copyright)[^A-Za-z0-9\n]*(?:\((?i:c)\)|\u00a9|(?:19|20)[0-9]{2}\b|(?i:by)\b|[\[<{(](?i:year|yyyy|date)s?[\]>})])[^\n]*"
+                  r"|(?:Copyright[:\t ]+(?!(?i:" + BODY_WORDS + r")\b)[A-Za-z]|COPYRIGHT[:\t ]+(?!(?i:" + BODY_WORDS + r")\b)[A-Z])[^\n]*"
+                  r"|(?:\((?i:c)\)|\u00a9)[^A-Za-z0-9\n]*(?:19|20)[0-9]{2}\b[^\n]*"
+                  r"|\u00a9[^\n]*|(?i:all rights reserved)(?:[^A-Za-z0-9\n]*| by [^\n]*))$")
 
 
-def normal_lines(text: Column) -> Column:
-    """The normalised, non-empty lines of ``text`` as an array."""
-    t = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    t = F.regexp_replace(t, COPYRIGHT_LINE, "")
-    t = F.regexp_replace(t, r"[^a-z0-9\n]+", " ")
+def _plain(text: Column) -> Column:
+    """Lower-case letters, digits, spaces and line breaks, without copyright statements."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT_LINE, "")
+    return F.regexp_replace(F.translate(t, UPPER, LOWER), r"[^a-z0-9\n]+", " ")
+
+
+def _spelled(t: Column) -> Column:
     for old, new in SPELLINGS:
         t = F.replace(t, F.lit(old), F.lit(new))
-    return F.filter(F.transform(F.split(t, "\n"), lambda s: F.trim(s)), lambda s: s != "")
+    return t
+
+
+def normal_lines(text: Column) -> Column:
+    """The normalised, non-empty lines of ``text`` as an array."""
+    return F.filter(F.transform(F.split(_spelled(_plain(text)), "\n"), lambda s: F.trim(s)), lambda s: s != "")
+
+
+def normal_text(text: Column) -> Column:
+    """The normalised text as one line: spellings of two words are found across line breaks."""
+    return _spelled(F.trim(F.regexp_replace(_plain(text), r"[ \n]+", " ")))
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
+def known_digests(spark: SparkSession, known=REGISTRY) -> DataFrame:
     """(digest, license): one row per distinct normalised known text."""
     rows = known if isinstance(known, DataFrame) else spark.createDataFrame(list(known), "license string, text string")
-    return (rows.select("license", F.array_join(normal_lines(F.col("text")), " ").alias("t")).filter("t <> ''")
+    return (rows.select("license", normal_text(F.col("text")).alias("t")).filter("t <> ''")
             .groupBy(F.sha2("t", 256).alias("digest")).agg(F.min("license").alias("license")))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known=KNOWN) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known=REGISTRY) -> DataFrame:
     """One row per document: doc_id, text_digest (of the whole normalised text),
     whole_license, notice_lines (how many lines are known texts), licenses
     (sorted names, joined by commas; null if none)."""
     digests = known_digests(docs.sparkSession, known)
     small = not isinstance(known, DataFrame) or known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     side = F.broadcast(digests) if small else digests
-    lines = docs.select(F.col(id_col).alias("doc_id"), normal_lines(F.col(text_col)).alias("lines"))
-    whole = F.array_join("lines", " ")
-    base = lines.select("doc_id", F.sha2(whole, 256).alias("text_digest"), F.size("lines").alias("n_lines"))
-    units = lines.select("doc_id", F.explode("lines").alias("line")).select("doc_id", F.sha2("line", 256).alias("digest"))
+    base = (docs.select(F.col(id_col).alias("doc_id"), normal_text(F.col(text_col)).alias("whole"))
+            .select("doc_id", F.sha2("whole", 256).alias("text_digest"), (F.col("whole") != "").alias("any")))
+    units = (docs.select(F.col(id_col).alias("doc_id"), F.explode(normal_lines(F.col(text_col))).alias("line"))
+             .select("doc_id", F.sha2("line", 256).alias("digest")))
     notices = (units.join(side, "digest").groupBy("doc_id")
                .agg(F.count("*").alias("hits"), F.array_sort(F.collect_set("license")).alias("found")))
     entire = side.select(F.col("digest").alias("text_digest"), F.col("license").alias("whole_license"))
     entire = F.broadcast(entire) if small else entire
-    rows = base.join(entire, "text_digest", "left").withColumn("whole_license", F.when(F.col("n_lines") > 0, F.col("whole_license")))
+    rows = base.join(entire, "text_digest", "left").withColumn("whole_license", F.when(F.col("any"), F.col("whole_license")))
     both = rows.join(notices.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
     every = F.array_sort(F.array_distinct(F.concat(
         F.coalesce("found", F.array().cast("array<string>")),
@@ -117,7 +163,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known=
 
 
 def sql() -> str:
-    """DuckDB SQL for ``scan`` with the default table."""
+    """DuckDB SQL for ``scan`` with the table ``KNOWN``, for texts without other licenses."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in KNOWN)
 

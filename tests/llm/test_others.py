@@ -129,6 +129,32 @@ def test_licenses(spark):
     assert {r.doc_id for r in licenses.scan(clashing(spark, awkward_rows()), known=own).collect() if r.whole_license == "X"} == {10, 11}
 
 
+def test_license_texts_in_any_wrapping_and_under_any_title(spark):
+    import textwrap
+    rows, want = [], []
+    for name, text in licenses.TEXTS.items():
+        first, rest = text.split("\n", 1)
+        body = rest if first in licenses.TITLES[name] else text
+        for width in (70, 72, 75, 78, 80, 100_000):
+            wrapped = "\n\n".join(textwrap.fill(p, width) for p in body.strip().split("\n\n"))
+            for head in ("", *(h + "\n\n" for h in licenses.TITLES[name])):
+                rows.append((len(rows), head + "Copyright (c) 2020, Some Body\nAll rights reserved.\n\n" + wrapped))
+                want.append(name)
+    rows += [(len(rows), licenses.TEXTS["MIT"].replace("sublicense", "sub\nlicence").replace("NONINFRINGEMENT", "NON-\nINFRINGEMENT"))]
+    got = {r.doc_id: r.whole_license for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == [*want, "MIT"]
+
+
+def test_only_copyright_statements_are_removed(spark):
+    gone = ["Copyright (c) 2020 A", "COPYRIGHT (C) A", "Copyright 2019-2020 A", "copyright 1999 a", "Copyright \u00a9 A", "\u00a9 2020 A", "(c) 2020 A", " * Copyright The A Authors",
+            "Copyright ACME Inc.", "All rights reserved.", "Copyright [yyyy] [name of copyright owner]", "Copyright (C) <year>  <name>", "copyright by A", "Copyright npm, Inc."]
+    kept = ["copyright notice and this permission notice appear in all copies.", "COPYRIGHT HOLDERS BE LIABLE", "copyright owner or entity", "Copyright License. Subject to",
+            "(c) You must retain", "Copyright Holder means", "All rights reserved to nobody and more words", "copyrighted works"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(gone + kept)], "i int, x string")
+    got = {r.i: r.t for r in df.select("i", licenses.normal_text(F.col("x")).alias("t")).collect()}
+    assert [(gone + kept)[i] for i in sorted(got) if (got[i] == "") != (i < len(gone))] == []
+
+
 def test_oracles_on_the_smallest_tables(spark):
     from flowforge.llm import queries
     con = duckdb.connect()
