@@ -19,6 +19,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowforge.llm.license_registry import DIGESTS, sentences
+
 #: A registry of more rows is joined by shuffling instead.
 BROADCAST_ROWS = 100_000
 
@@ -80,6 +82,8 @@ TITLES = {
     "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD Zero Clause License (0BSD)", "0BSD", "Zero-Clause BSD (0BSD)"),
     "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD-2-Clause License", "BSD-2-Clause", "Simplified BSD License", "BSD License", "The BSD License",
                      'BSD 2-Clause "Simplified" License', "FreeBSD License", "The 2-Clause BSD License", "Two-Clause BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD-3-Clause License", "BSD-3-Clause", "New BSD License", "Modified BSD License", "BSD License",
+                     "The BSD License", 'BSD 3-Clause "New" or "Revised" License', "The 3-Clause BSD License", "Three-Clause BSD License"),
     "Zlib": ("zlib License", "The zlib License", "zlib", "zlib/libpng License", "The zlib/libpng License", "zlib License (Zlib)"),
 }
 
@@ -95,8 +99,14 @@ def titled(texts: dict[str, str], titles: dict[str, tuple]) -> list[tuple[str, s
     return out
 
 
-#: (license, text) rows looked up by default.
-REGISTRY = tuple(dict.fromkeys([*KNOWN, *titled(TEXTS, TITLES)]))
+# FIXED VALUES: the third point of the longer BSD licence, before its disclaimer.
+THIRD = tuple(f"3. Neither the name of {owner} nor the names of {whose} contributors may be used to endorse or promote products derived from this software "
+              "without specific prior written permission.\n\nTHIS SOFTWARE"
+              for owner, whose in (("the copyright holder", "its"), ("the copyright holders", "its"), ("the copyright holder", "other"), ("the author", "its"), ("the author", "other")))
+
+#: (license, text) rows looked up by default, besides ``license_registry.DIGESTS``.
+REGISTRY = tuple(dict.fromkeys([*KNOWN, *titled(TEXTS, TITLES), *sentences(),
+                                *(row for third in THIRD for row in titled({"BSD-3-Clause": TEXTS["BSD-2-Clause"].replace("THIS SOFTWARE", third, 1)}, TITLES))]))
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words after 'copyright' that go on with a sentence instead of naming a holder.
@@ -132,10 +142,13 @@ def normal_text(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known=REGISTRY) -> DataFrame:
-    """(digest, license): one row per distinct normalised known text."""
+    """(digest, license): one row per distinct normalised known text; the default
+    registry has digests of long texts too."""
     rows = known if isinstance(known, DataFrame) else spark.createDataFrame(list(known), "license string, text string")
-    return (rows.select("license", normal_text(F.col("text")).alias("t")).filter("t <> ''")
-            .groupBy(F.sha2("t", 256).alias("digest")).agg(F.min("license").alias("license")))
+    digests = rows.select("license", normal_text(F.col("text")).alias("t")).filter("t <> ''").select("license", F.sha2("t", 256).alias("digest"))
+    if known is REGISTRY:
+        digests = digests.union(spark.createDataFrame(list(DIGESTS), "license string, digest string"))
+    return digests.groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known=REGISTRY) -> DataFrame:

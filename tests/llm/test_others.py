@@ -155,6 +155,24 @@ def test_only_copyright_statements_are_removed(spark):
     assert [(gone + kept)[i] for i in sorted(got) if (got[i] == "") != (i < len(gone))] == []
 
 
+def test_default_registry_has_the_common_licenses(spark):
+    import os
+    lines = {"Licensed under the MIT License": "MIT", "SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0-or-later",
+             "This project is licensed under the MIT License - see the LICENSE file for details": "MIT", "# Released under the 3-clause BSD licence.": "BSD-3-Clause",
+             'Licensed under the Apache License, Version 2.0 (the "License");': "Apache-2.0", "Distributed under the terms of the Mozilla Public License 2.0": "MPL-2.0",
+             "Licensed under the Nobody License": None}
+    rows = [(i, "prose\n" + line + "\nprose") for i, line in enumerate(lines)]
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == list(lines.values())
+    want = {"Apache-2.0", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "CC0-1.0", "BSL-1.0"}
+    assert want <= {r.license for r in licenses.known_digests(spark).collect()}
+    system = "/usr/share/common-licenses"  # whole texts, where the system has them
+    names = [n for n in ("Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "LGPL-3", "MPL-2.0", "CC0-1.0") if os.path.exists(f"{system}/{n}")]
+    docs = [(i, open(f"{system}/{n}", encoding="utf-8").read()) for i, n in enumerate(names)]
+    got = {r.doc_id: r.whole_license for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[i].startswith(n) for i, n in enumerate(names))
+
+
 def test_oracles_on_the_smallest_tables(spark):
     from flowforge.llm import queries
     con = duckdb.connect()
