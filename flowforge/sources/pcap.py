@@ -7,8 +7,9 @@ emits Arrow batches.  Both byte orders
 are accepted; any other magic (pcapng, nanosecond variant, junk) yields no
 packets and a ``bad_magic`` status.  A last record cut short still counts.
 
-Two modes: ``packets`` (one row per record header) and ``files`` (one row
-per file: packet count and status; an I/O error drops that file's count).
+Two modes: ``packets`` (one row per record header; an I/O error fails the
+task) and ``files`` (one row per file: packet count and status; an I/O error
+drops that file's count).
 """
 
 from __future__ import annotations
@@ -128,10 +129,8 @@ class _Reader(DataSourceReader):
                 order, n, status = None, 0, "error"
             yield (path, order, n, status)
             return
-        try:
-            order, recs = walk_records(path)
-        except OSError:
-            return
+        # an OSError fails the task, which Spark retries: no capture is left out silently
+        _, recs = walk_records(path)
         cols = [[] for _ in range(6)]
         for rec in recs:
             for i, v in enumerate(rec):

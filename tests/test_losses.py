@@ -10,10 +10,13 @@ from flowforge.functions.schema import MASTER_HEADER
 from flowforge.plans import jobs
 from flowforge.session import ensure_checkpoint_dir
 from flowforge.sinks import writers
+from flowforge.sources import pcap
 from flowforge.sources.catalogue import catalogue, read_first_line
 from flowforge.sources.flows import header_groups, positional_groups, read_header_flows
 from flowforge.sources.runs import read_runs, read_samples
 
+from .fixtures import capture
+
 
 def put(root, rel, text):
     path = os.path.join(root, rel)
@@ -61,6 +64,17 @@ def test_unreadable_files_and_endless_headers_are_errors(tmp):
         read_first_line("file:" + put(tmp, "long.csv", "x," * 1000), max_bytes=100)
 
 
+def test_an_unreadable_capture_is_an_error(spark, tmp):
+    capture(f"{tmp}/PCAP/01-12/Syn/a.pcap", "<", 3)
+    reader = pcap.CapturePackets({"path": f"{tmp}/PCAP"}).reader(None)
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 3
+    gone = pcap._FilePartition(f"{tmp}/PCAP/01-12/Syn/gone.pcap")
+    with pytest.raises(OSError):
+        list(reader.read(gone))
+    files = pcap.CaptureFiles({"path": f"{tmp}/PCAP"}).reader(None)
+    assert [row[3] for row in files.read(gone)] == ["error"]
+
+
 def test_paths_with_spaces_and_deep_days(spark, tmp):
     root = os.path.join(tmp, "data set+1")
     put(root, "CIC_RAW/x/y/z/w/03-11/Syn Flood/a.csv", "src_ip,x\n1.1.1.1,2\n")
