@@ -116,6 +116,14 @@ def test_templates_reject_what_merges_with_blocked_branches(spark):
     assert all(got[u] == ("block" if "/es/" in u or "/fr/" in u else "allow") for u in urls)
 
 
+def test_templates_carry_labels_to_pages_without_a_rule(spark):
+    """A rule's prefix that ends inside a number labels part of one template."""
+    urls = [f"http://shop.net/p/{n}" for n in range(10, 60)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in url_templates.judge(pages, rules=(("net", "/p/1", "block"),)).collect()}
+    assert all(r.verdict == "block" for r in got.values()) and sum(r.rule is None for r in got.values()) == 40
+
+
 def test_licenses(spark):
     mit = licenses.TEXTS["MIT"]
     rows = [(0, mit), (1, "Copyright (c) 2020 Somebody\n" + mit.upper().replace(",", " ;")), (2, mit.replace("sublicense", "sub-licence")),
