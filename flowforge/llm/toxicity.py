@@ -15,8 +15,10 @@ that did not train those dictionaries, turns them into a score of 0 to 1.
   learning.  The other two thirds take turns: each is measured with dictionaries
   trained on the other, which calibrates the curve; the final dictionaries are
   trained on both.  At most ``ROWS`` rows of each class and third, by hash of the
-  id, each of at most ``ROW_BYTES``: a bounded sample, the only thing that reaches
+  id, each of at most ``ROW_BYTES``: a bounded sample, the only texts that reach
   the driver.  Copies and near copies in it count once.
+* Longer labelled texts, at most ``ROWS`` of each class and third, take part in the
+  calibration: tasks measure them, and only their evidence reaches the driver.
 
 Every whole text is scored, all windows of it, in one pass without a shuffle.
 
@@ -41,7 +43,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowforge.llm.common import utf8
+from flowforge.llm.common import utf8, written
 
 #: Bounds of the labelled sample.
 ROWS, ROW_BYTES = 2500, 1 << 14
@@ -176,22 +178,27 @@ def _dictionaries(texts: dict[int, list[bytes]], counts: dict[int, Counter]) ->
     return Model(_dictionary(ORDINARY, pieces), _dictionary(TOXIC, [p for p in passages for _ in range(2)]), [], [], [])
 
 
-def train(rows: list[tuple[int, int, bytes]]) -> Model:
-    """A model from (third, label, text) rows; there are thirds 0 and 2."""
+def train(rows: list[tuple[int, int, bytes]], measure_long=None) -> Model:
+    """A model from (third, label, text) rows; there are thirds 0 and 2.
+    ``measure_long`` takes the model to measure each third with and returns
+    (label, evidence) of longer texts."""
     texts = {(third, y): without_copies([t for u, label, t in rows if (u, label) == (third, y)]) for third in (0, 2) for y in (0, 1)}
     if not all(texts.values()):
         return Model(b"", b"", [], [], [], constant=(1 + sum(y for _, y, _ in rows)) / (2 + len(rows)))
     counts = {(third, 1): stem_counts(texts[third, 1]) for third in (0, 2)}
     among = {*counts[0, 1], *counts[2, 1]}
     counts |= {(third, 0): stem_counts(texts[third, 0], among) for third in (0, 2)}
-    x, y = [], []
+    x, y, others = [], [], {}
     for third in (0, 2):
-        other = _dictionaries(*({label: part[2 - third, label] for label in (0, 1)} for part in (texts, counts)))
+        other = others[third] = _dictionaries(*({label: part[2 - third, label] for label in (0, 1)} for part in (texts, counts)))
         other.open()
         # copies stay in the calibration, in the shares that labelled rows have
         held = [(label, t) for u, label, t in rows if u == third]
         x += [other.evidence(t) for _, t in held]
         y += [float(label) for label, _ in held]
+    for label, evidence in measure_long(others) if measure_long else ():
+        x.append(evidence)
+        y.append(float(label))
     model = _dictionaries(*({label: part[0, label] + part[2, label] for label in (0, 1)} for part in (texts, counts)))
     x = np.array(x)
     mean, spread = x.mean(0), x.std(0) + 1e-9
@@ -204,15 +211,41 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A model from the labelled rows outside the held-out third."""
     known = (labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
              .agg(F.max(label_col).cast("int").alias("label")).withColumn("use", fold(F.col("id"))))
-    picked = None
-    for use in (0, 2):
-        for label in (0, 1):
-            part = known.filter((F.col("use") == use) & (F.col("label") == label)).orderBy(F.xxhash64("id"), "id").limit(ROWS)
-            picked = part if picked is None else picked.union(part)
     text = utf8(F.col(text_col))
-    rows = (docs.select(F.col(id_col).alias("id"), text.alias("text")).filter(F.octet_length("text") <= ROW_BYTES)
-            .join(F.broadcast(picked), "id").orderBy("use", "label", "id").limit(8 * ROWS).select("use", "label", "text").collect())
-    return train([(r.use, r.label, bytes(r.text)) for r in rows])
+    texts = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+    # only documents that exist, by their length, take part in the choice
+    sizes = (texts.select("id", F.octet_length("text").alias("bytes")).join(known.filter(F.col("use") != 1), "id").groupBy("id", "label", "use")
+             .agg((F.min("bytes") > ROW_BYTES).alias("long")))
+    sizes = written(sizes, "toxicity-sizes")
+    picked = {}
+    for long in (False, True):
+        for use in (0, 2):
+            for label in (0, 1):
+                part = (sizes.filter((F.col("use") == use) & (F.col("label") == label) & (F.col("long") == long)).drop("long")
+                        .orderBy(F.xxhash64("id"), "id").limit(ROWS))
+                picked[long] = picked[long].union(part) if long in picked else part
+    rows = (texts.filter(F.octet_length("text") <= ROW_BYTES).join(F.broadcast(picked[False]), "id")
+            .orderBy("use", "label", "id").limit(8 * ROWS).select("use", "label", "text").collect())
+    over = texts.filter(F.octet_length("text") > ROW_BYTES).join(F.broadcast(picked[True]), "id").select("id", "use", "label", "text")
+
+    def measure_long(others: dict[int, Model]) -> list[tuple[int, list[float]]]:
+        models = {third: Model(m.ordinary, m.toxic, [], [], []) for third, m in others.items()}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for model in models.values():
+                model.open()
+            for batch in batches:
+                for at in range(batch.num_rows):
+                    part = batch.slice(at, 1)
+                    evidence = models[part.column(1)[0].as_py()].evidence(part.column(3)[0].as_py())
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.int64()), part.column(2).cast(pa.int32()),
+                                                      pa.array([evidence], pa.list_(pa.float64()))], names=["id", "use", "label", "evidence"])
+
+        shape = over.select("id", F.col("use").cast("long"), F.col("label").cast("int"), F.array(F.lit(0.0)).alias("evidence")).schema
+        found = over.mapInArrow(run, shape).orderBy("use", "label", "id").limit(8 * ROWS).collect()
+        return [(r.label, list(r.evidence)) for r in found]
+
+    return train([(r.use, r.label, bytes(r.text)) for r in rows], measure_long)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

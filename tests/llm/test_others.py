@@ -39,6 +39,19 @@ def test_toxicity_learns_nothing_from_held_out_labels(spark, labelled):
     assert toxicity.fit(docs, labels) == toxicity.fit(docs, flipped)
 
 
+def test_toxicity_passes_over_absent_labels_and_measures_long_texts(spark, monkeypatch):
+    rows = [(i, prose(i, 60) + (" vile rotten scum" if i % 3 == 0 else "")) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)] + [(i, i % 2) for i in range(1000, 3000)], "doc_id long, toxic int")
+    own = labels.filter("doc_id < 300")
+    monkeypatch.setattr(toxicity, "ROWS", 20)
+    assert toxicity.fit(docs, labels) == toxicity.fit(docs, own)  # labels of absent documents use up no quota
+    long = spark.createDataFrame([(i, prose(i, 6000) + " vile rotten scum") for i in range(5000, 5012)], "doc_id long, text string")
+    more = spark.createDataFrame([(i, 1) for i in range(5000, 5012)], "doc_id long, toxic int")
+    short, both = toxicity.fit(docs, own), toxicity.fit(docs.union(long), own.union(more))
+    assert (short.ordinary, short.toxic) == (both.ordinary, both.toxic) and short.weights != both.weights
+
+
 def test_toxicity_fold_is_crc32_of_the_id_as_text(spark):
     got = spark.range(50).select("id", toxicity.fold(F.col("id")).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 3 for r in got)
