@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowforge.llm import bpe_codec, content_sort, licenses, near_dups, packing, substring_dedup, token_counts, topk, toxicity, url_templates
+from flowforge.llm import bpe_codec, content_sort, licenses, near_dups, packing, substring_dedup, token_counts, topk, toxicity, url_templates, whitening
 from flowforge.llm.common import prepare
 from flowforge.session import table
 
@@ -78,6 +78,11 @@ def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_cholesky_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
 OP2_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS n FROM documents)
 SELECT doc_id, first_value(doc_id) OVER (PARTITION BY n ORDER BY length(t) DESC, doc_id) AS keep_id,
@@ -127,6 +132,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bottom_k_near_dups": op8_bottom_k_near_dups,
         "op9_path_templates": op9_path_templates,
         "op10_license_digests": op10_license_digests,
+        "op11_cholesky_whitening": op11_cholesky_whitening,
     }
 
 

@@ -1,0 +1,98 @@
+"""Whitening against numpy's eigendecomposition and exact fractions."""
+
+from __future__ import annotations
+
+import math
+import random
+
+import numpy as np
+import pytest
+
+from flowforge.llm import whitening
+
+SCHEMA = "vec_id long, embedding array<float>, label int, n string, component string, whitened string, i string"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, v, None, "z", "z", "z", "z") for i, v in rows], SCHEMA)
+
+
+def brute(rows, components=32):
+    """(n, deviations in row order, eigenvalues, trace, x, mean) by plain means."""
+    used = [(i, v) for i, v in rows if v and all(c is not None and math.isfinite(c) for c in v)]
+    x = [[math.floor(64 * float(np.float32(c))) + 1_000_000 for c in v] for _, v in used]
+    n, d = len(x), len(x[0])
+    sums = [sum(r[k] for r in x) for k in range(d)]
+    deviation = [sum((n * r[k] - sums[k]) ** 2 for k in range(d)) for r in x]
+    z = np.array([[(n * r[k] - sums[k]) / n for k in range(d)] for r in x])
+    cov = z.T @ z / n
+    values, vectors = np.linalg.eigh(cov)
+    order = np.argsort(-values)
+    return [i for i, _ in used], n, deviation, values[order][:components], vectors[:, order][:, :components], np.trace(cov), z
+
+
+def check(spark, rows, rank=None):
+    got = whitening.whitened_components(frame(spark, rows)).collect()
+    ids, n, deviation, values, vectors, trace, z = brute(rows)
+    k = min(32, rank if rank is not None else len(values))
+    assert len(got) == len(ids) * k
+    assert {(r.vec_id, r.n, r.deviation) for r in got} == {(i, n, d) for i, d in zip(ids, deviation, strict=True)}
+    table = {(r.vec_id, r.component): r for r in got}
+    for c in range(k):
+        mine = np.array([table[i, c + 1].whitened for i in ids])
+        want = z @ vectors[:, c] / math.sqrt(values[c])
+        assert min(np.abs(mine - want).max(), np.abs(mine + want).max()) < 1e-6
+        assert abs(table[ids[0], c + 1].explained - values[c] / trace) < 1e-10
+    assert {r.identity_error for r in got} == {got[0].identity_error} and got[0].identity_error < 1e-9
+    return got
+
+
+def test_whitening_equals_eigendecomposition(spark):
+    r = random.Random(1)
+    mix = np.random.default_rng(2).normal(size=(40, 40)) * np.linspace(0.2, 3, 40)
+    rows = [(i, [float(c) for c in np.array([r.gauss(0, 1) for _ in range(40)]) @ mix]) for i in range(300)]
+    rows += [(1000, None), (1001, []), (1002, [1.0] * 39 + [None]), (1003, [math.nan] * 40), (1004, [math.inf] + [0.0] * 39)]
+    check(spark, rows)
+
+
+def test_dependent_dimensions_give_fewer_components(spark):
+    r = random.Random(3)
+    rows = [(i, [a := r.randrange(-50, 50) / 8, b := r.randrange(-9, 9) / 8, a + b, 2 * a, 0.5]) for i in range(80)]
+    check(spark, rows, rank=2)
+
+
+def test_few_and_equal_rows(spark):
+    assert whitening.whitened_components(frame(spark, [])).collect() == []
+    assert whitening.whitened_components(frame(spark, [(1, None), (2, [None])])).collect() == []
+    assert whitening.whitened_components(frame(spark, [(1, [1.0, 2.0])])).collect() == []
+    got = whitening.whitened_components(frame(spark, [(1, [0.0, 1.0]), (1, [0.0, 1.0]), (None, [2.0, 1.0])])).collect()
+    assert sorted((r.vec_id is None, r.component, r.n, r.deviation) for r in got) == [(False, 1, 3, 128 ** 2)] * 2 + [(True, 1, 3, 256 ** 2)]
+
+
+def test_the_fit_does_not_depend_on_partitions(spark):
+    r = random.Random(5)
+    table = frame(spark, [(i, [r.gauss(0, 1) for _ in range(6)]) for i in range(200)])
+    models = [whitening.fit(table.repartition(k)) for k in (1, 3, 8)]
+    assert len({m.components.tobytes() for m in models}) == len({m.variances.tobytes() for m in models}) == 1
+
+
+def test_large_entries_stay_exact(spark):
+    rows = [(i, [float(2 ** 40 + 64 * i), float(i)]) for i in range(5)]
+    model = whitening.fit(frame(spark, rows))
+    assert model.sums[0] == sum(64 * int(np.float32(2 ** 40 + 64 * i)) + 1_000_000 for i in range(5))
+    y = np.array([[2 ** 40, 3], [-5, 2 ** 41]])
+    assert whitening.products(y).tolist() == [[2 ** 80 + 25, 3 * 2 ** 40 - 5 * 2 ** 41], [3 * 2 ** 40 - 5 * 2 ** 41, 9 + 2 ** 82]]
+    far = whitening.whitened_components(frame(spark, [(i, [1e13 * i]) for i in range(4)])).collect()
+    assert {r.deviation for r in far} == {None}
+    with pytest.raises(Exception, match="different lengths"):
+        whitening.fit(frame(spark, [(1, [1.0]), (2, [1.0, 2.0])]))
+
+
+def test_jacobi_on_a_wide_spread_of_variances():
+    rng = np.random.default_rng(4)
+    q = np.linalg.qr(rng.normal(size=(30, 30)))[0]
+    v = (q * 10.0 ** np.linspace(3, -6, 30)) @ q.T
+    values, vectors = whitening.one_sided_jacobi(whitening.pivoted_cholesky((v + v.T) / 2))
+    assert np.allclose(values, np.linalg.eigvalsh(v)[::-1][:len(values)], rtol=1e-6)
+    assert np.abs(vectors.T @ vectors - np.eye(len(values))).max() < 1e-12
+    assert sorted((a, b) for p, q in whitening.rounds(7) for a, b in zip(p, q, strict=True)) == [(a, b) for a in range(7) for b in range(a + 1, 7)]
