@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowforge.llm import bpe_codec, content_sort, licenses, near_dups, packing, substring_dedup, token_counts, topk, toxicity, url_templates, whitening
+from flowforge.llm import alignment, bpe_codec, content_sort, licenses, near_dups, packing, substring_dedup, token_counts, topk, toxicity, url_templates, whitening
 from flowforge.llm.common import prepare
 from flowforge.session import table
 
@@ -83,6 +83,11 @@ def op11_cholesky_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
 
 
+def op12_pointer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return alignment.alignment_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 OP2_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS n FROM documents)
 SELECT doc_id, first_value(doc_id) OVER (PARTITION BY n ORDER BY length(t) DESC, doc_id) AS keep_id,
@@ -133,6 +138,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_path_templates": op9_path_templates,
         "op10_license_digests": op10_license_digests,
         "op11_cholesky_whitening": op11_cholesky_whitening,
+        "op12_pointer_alignment": op12_pointer_alignment,
     }
 
 
