@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowforge.llm import alignment, bpe_codec, content_sort, licenses, near_dups, packing, substring_dedup, token_counts, topk, toxicity, url_templates, whitening
+from flowforge.llm import alignment, bpe_codec, content_sort, licenses, near_dups, packing, substring_dedup, suffix_dedup, token_counts, topk, toxicity, url_templates, whitening
 from flowforge.llm.common import prepare
 from flowforge.session import table
 
@@ -88,6 +88,11 @@ def op12_pointer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op13_two_stage_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS n FROM documents)
 SELECT doc_id, first_value(doc_id) OVER (PARTITION BY n ORDER BY length(t) DESC, doc_id) AS keep_id,
@@ -124,6 +129,22 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, w.doc_id = compon
 FROM w LEFT JOIN n ON w.doc_id = n.doc_id JOIN m ON w.doc_id = m.doc_id
 """
 
+OP13_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 99)) AS p FROM d),
+h AS (SELECT doc_id, p, md5_number(substr(x, 2 * p + 1, 200)) AS h FROM p),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS k FROM h) WHERE k > 1),
+b AS (SELECT doc_id, p, sum(n) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM
+      (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS n FROM r)),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM b GROUP BY doc_id, run),
+c AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM s),
+k AS (SELECT doc_id, sum(b - a) AS n, count(*) AS runs, string_agg(substr(x, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS x
+      FROM c JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, len(d.x) // 2 AS n_bytes, coalesce(k.n, 0)::BIGINT AS n_removed, coalesce(k.runs, 0) AS n_spans,
+       sha256(unhex(coalesce(k.x, d.x))) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -139,9 +160,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_license_digests": op10_license_digests,
         "op11_cholesky_whitening": op11_cholesky_whitening,
         "op12_pointer_alignment": op12_pointer_alignment,
+        "op13_two_stage_suffixes": op13_two_stage_suffixes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_content_sort": OP2_SQL, "op4_norm_sorted_search": topk.SQL, "op7_suffix_subtrees": OP7_SQL,
-            "op8_bottom_k_near_dups": OP8_SQL, "op9_path_templates": url_templates.sql(), "op10_license_digests": licenses.sql()}
+            "op8_bottom_k_near_dups": OP8_SQL, "op9_path_templates": url_templates.sql(), "op10_license_digests": licenses.sql(), "op13_two_stage_suffixes": OP13_SQL}
