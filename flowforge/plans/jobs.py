@@ -35,10 +35,12 @@ ROW_META = ["source_file", "extractor", "day", "attack", "file_name"]
 
 # --- B1 capture inventory ------------------------------------------------------
 
-def capture_inventory(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+def capture_inventory(spark: SparkSession, root: str,
+                      split_bytes: int = pcap.SPLIT_BYTES) -> tuple[DataFrame, DataFrame]:
     """B1: per-file packet counts (with status) and packets per attack
-    (P5 name of the capture directory).  Unreadable files count 0."""
-    files = pcap.read_capture_files(spark, root)
+    (P5 name of the capture directory).  Unreadable files count 0.  Files
+    beyond ``split_bytes`` are read by several tasks."""
+    files = pcap.read_capture_files(spark, root, split_bytes=split_bytes)
     per_attack = (files.groupBy("attack")
                   .agg(F.sum(F.when(F.col("status") == "ok", F.col("packets"))
                              .otherwise(0)).cast("bigint").alias("total_packets"),
@@ -59,13 +61,14 @@ def run_logs(per_attack: DataFrame, timings: DataFrame) -> DataFrame:
                          F.coalesce("failed_files", F.lit(0)).alias("failed_files"))
 
 
-def packet_batches(spark: SparkSession, root: str, batch_rows: int = PACKET_BATCH) -> DataFrame:
+def packet_batches(spark: SparkSession, root: str, batch_rows: int = PACKET_BATCH,
+                   split_bytes: int = pcap.SPLIT_BYTES) -> DataFrame:
     """W5 on captures: a directory's packets merged in time order
     (ts, file, ordinal) and cut into consecutive batches of ``batch_rows``."""
     from ..operators.ranking import fixed_batches
-    # Parse the binary headers once: the numbering reads its input several
-    # times (size check, range bounds, checkpoint).
-    packets = cut_lineage(pcap.read_packets(spark, root))
+    # Parse the binary headers once: the numbering reads its input twice
+    # (range bounds, checkpoint of the ranged copy).
+    packets = cut_lineage(pcap.read_packets(spark, root, split_bytes=split_bytes))
     return fixed_batches(packets, ["ts_sec", "ts_frac", "file", "ordinal"], batch_rows,
                          group_cols=["directory"])
 
