@@ -12,7 +12,8 @@ from ..operators import matching, model, sampling
 from ..session import scratch_path, table
 from ..sources.catalogue import catalogue
 from ..sources.flows import read_header_flows, rejected_rows
-from . import jobs
+from ..sources.runs import read_detail
+from . import jobs, support
 from .standins import _EVENT_ATTACK_SQL, _EVENT_EXTRACTOR_SQL, _ROLLUP_SQL, detail_frame
 
 _TOOL_OF = {"F": "CICFlowMeter", "O": "NTLFlowLyzer", "P": "ALFlowLyzer"}
@@ -224,10 +225,89 @@ SELECT attack, tool, CAST(coalesce(n, 0) AS BIGINT) AS total_packets, time_secon
 FROM r LEFT JOIN t ON r.attack = t.a"""
 
 
+#: Orders for which each (status, priority) gets one more run.
+REPORT_RUN_ORDERS = 5000
+_REPORT_RUNS = f"""
+  SELECT o_orderkey, o_orderstatus AS status, o_custkey,
+         CASE o_orderpriority WHEN '1-URGENT' THEN '01-12_DrDoS_DNS' WHEN '2-HIGH' THEN '01-12_Syn' ELSE o_orderpriority END AS attack,
+         o_orderkey % (1 + CAST(floor((SELECT count(*) FROM orders) / {REPORT_RUN_ORDERS}) AS BIGINT)) AS bucket
+  FROM orders"""
+
+
+def _report_files(spark: SparkSession, sf: str) -> str:
+    """Logs and samples of runs (status, priority, bucket).  By bucket mod 4 a log
+    has no attack (0), samples have another order of columns (1) or lack one (2),
+    or the log breaks off (3); status P has no tool."""
+    runs = spark.sql(_REPORT_RUNS.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf, "orders"))
+    folder = F.concat(F.create_map(*[F.lit(x) for x in ("F", "CIC_RAW", "O", "NTL_RAW", "P", "AL_RAW")])[F.col("status")], F.lit("/01-12/"))
+    slug = F.concat_ws("_", "attack", F.col("bucket").cast("string"))
+    runs = runs.withColumns({"kind": F.col("bucket") % 4, "slug": slug, "at": F.concat(folder, slug, F.lit("/"))})
+    per_run = runs.groupBy("at", "slug", "status", "attack", "kind").agg(F.sum("o_custkey").alias("packets"), F.count("*").alias("n"))
+    log = F.to_json(F.struct(
+        F.when(F.col("kind") != 0, F.col("attack")).alias("attack"),
+        F.when(F.col("status") == "F", "CICFlowMeter").when(F.col("status") == "O", "NTLFlowLyzer").alias("tool"),
+        F.col("packets").alias("total_packets"), (F.col("n") / 4.0).alias("time_seconds"), (F.col("packets") / (F.col("n") / 4.0)).alias("pps"),
+        F.concat(F.lit("./"), "at", F.lit("monitor_"), "slug", F.lit(".csv")).alias("monitor_file")))
+    logs = per_run.select(F.concat("at", F.lit("benchmark_"), "slug", F.lit(".json")).alias("path"), F.lit(0).cast("bigint").alias("ord"),
+                          F.when(F.col("kind") == 3, F.substring(log, 1, 30)).otherwise(log).alias("line"))
+    path = F.concat("at", F.lit("monitor_"), "slug", F.lit(".csv")).alias("path")
+
+    def columns(stamp, cpu, ram):
+        return (F.when(F.col("kind") == 1, F.concat_ws(",", stamp, ram, cpu)).when(F.col("kind") == 2, F.concat_ws(",", stamp, cpu))
+                .otherwise(F.concat_ws(",", stamp, cpu, ram)).alias("line"))
+
+    heads = per_run.select(path, F.lit(-1).cast("bigint").alias("ord"), columns(F.lit("timestamp"), F.lit("cpu_percent"), F.lit("ram_mb")))
+    stamp = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    samples = (table(spark, sf, "lineitem").join(runs, F.col("l_orderkey") == F.col("o_orderkey"))
+               .select(path, stamp.alias("ord"), columns(stamp.cast("string"), F.col("l_quantity").cast("string"), F.col("l_extendedprice").cast("string"))))
+    return support.write_lines(logs.unionByName(heads).unionByName(samples), scratch_path(spark, "report"))
+
+
+def q_run_report(spark: SparkSession, sf: str) -> DataFrame:
+    """B8 (S5, S6, S8, P12, P13, J1, K3): the report and its subsets as written
+    and read again, with the number of inputs that were rejected."""
+    root = _report_files(spark, sf)
+    out = scratch_path(spark, "report-views")
+    views = jobs.run_report(spark, root, base_dir=root, out=out)
+    rejected = views.pop("rejected_inputs").agg(F.count_if(F.col("reason").startswith("not a run log")).alias("broken_logs"),
+                                                F.count_if(F.col("reason") == "no column ram_mb").alias("short_samples"))
+    back = None
+    for name, view in views.items():
+        if not view.isEmpty():  # an empty subset is not written
+            rows = read_detail(spark, f"{out}/{name}").withColumn("report", F.lit(name))
+            back = rows if back is None else back.unionByName(rows)
+    return back.join(F.broadcast(rejected))
+
+
+def _report_sql() -> str:
+    from .standins import _zr
+    return f"""
+WITH o AS ({_REPORT_RUNS}),
+x AS (SELECT o.*, bucket % 4 AS kind, attack || '_' || bucket AS slug FROM o),
+runs AS (SELECT status, attack, slug, kind, sum(o_custkey) AS packets, count(*) / 4.0::DOUBLE AS t FROM x GROUP BY ALL),
+c AS (SELECT status, slug, CAST(round(l_quantity * 100.0::DOUBLE) AS HUGEINT) AS c, CAST(round(l_extendedprice * 100.0::DOUBLE) AS HUGEINT) AS r, l_extendedprice AS ram
+      FROM lineitem JOIN x ON l_orderkey = o_orderkey WHERE kind <> 2),
+s AS (SELECT status, slug, max(ram) AS max_ram, count(*)::HUGEINT AS n, sum(c)::HUGEINT AS c1, sum(c * c)::HUGEINT AS c2, sum(r)::HUGEINT AS r1, sum(r * r)::HUGEINT AS r2
+      FROM c GROUP BY ALL),
+m AS (SELECT status, slug, max_ram, c1::DOUBLE / (n::DOUBLE * 100.0::DOUBLE) AS avg_cpu,
+             CASE WHEN n > 1 THEN (n * c2 - c1 * c1)::DOUBLE / (n * (n - 1))::DOUBLE / 10000.0::DOUBLE END AS var_cpu,
+             CASE WHEN n > 1 THEN (n * r2 - r1 * r1)::DOUBLE / (n * (n - 1))::DOUBLE / 10000.0::DOUBLE END AS var_ram FROM s),
+d AS (SELECT CASE status WHEN 'F' THEN 'CICFlowMeter' WHEN 'O' THEN 'NTLFlowLyzer' ELSE 'ALFlowLyzer' END AS extractor,
+             CASE WHEN kind = 0 THEN slug ELSE attack END AS attack, CAST(packets AS BIGINT) AS packets, {_zr('t')} AS time_s, {_zr('packets / t')} AS pps,
+             {_zr('avg_cpu')} AS avg_cpu, {_zr('sqrt(var_cpu)')} AS std_cpu, {_zr('var_cpu')} AS var_cpu, {_zr('max_ram')} AS max_ram,
+             {_zr('sqrt(var_ram)')} AS std_ram, {_zr('var_ram')} AS var_ram
+      FROM runs LEFT JOIN m USING (status, slug) WHERE kind <> 3),
+v AS (SELECT *, 'benchmark_detailed' AS report FROM d UNION ALL SELECT *, 'benchmark_dns_only' FROM d WHERE contains(attack, 'DNS')
+      UNION ALL SELECT *, 'benchmark_syn_only' FROM d WHERE contains(attack, 'Syn')
+      UNION ALL SELECT *, 'head_to_head_cic_ntl_syn' FROM d WHERE contains(attack, 'Syn') AND extractor IN ('CICFlowMeter', 'NTLFlowLyzer'))
+SELECT v.*, (SELECT count(*) FROM runs WHERE kind = 3) AS broken_logs, (SELECT count(*) FROM runs WHERE kind = 2) AS short_samples FROM v"""
+
+
 def queries() -> dict:
     return {"extractor_report": q_extractor_report, "f1_view": q_f1_view, "class_gate": q_class_gate,
             "capture_directories": q_capture_directories, "importance_report": q_importance_report,
             "prepare_training": q_prepare_training, "consolidate_fragments": q_consolidate_fragments,
+            "run_report": q_run_report,
             "tolerant_scan": q_tolerant_scan, "rejected_rows": q_rejected_rows, "training_sample": q_training_sample,
             "attacker_join": q_attacker_join, "run_log_rows": q_run_log_rows}
 
@@ -237,5 +317,6 @@ def oracle_sql() -> dict[str, str]:
     return {"extractor_report": _REPORT_SQL, "f1_view": _SCENARIO_SQL, "class_gate": _GATE_SQL,
             "capture_directories": _DIRECTORIES_SQL, "importance_report": _IMPORTANCE_SQL,
             "prepare_training": _PREPARE_SQL, "consolidate_fragments": _FRAGMENTS_SQL,
+            "run_report": _report_sql(),
             "tolerant_scan": _TOLERANT_SQL, "rejected_rows": _REJECTED_SQL, "training_sample": _SAMPLE_SQL,
             "attacker_join": _ATTACKER_SQL, "run_log_rows": _RUN_LOG_SQL}

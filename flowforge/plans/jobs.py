@@ -28,7 +28,7 @@ from ..sources import pcap
 from ..sources.catalogue import catalogue, file_path, parse_header, read_first_line
 from ..sources.flows import (attach_path_meta, header_groups, read_header_csv,
                              read_positional_flows)
-from ..sources.runs import read_runs, read_samples
+from ..sources.runs import REJECTS_SCHEMA, read_runs, read_samples, rejected_runs
 
 ROW_META = ["source_file", "extractor", "day", "attack", "file_name"]
 
@@ -329,9 +329,12 @@ def extractor_benchmark(spark: SparkSession, processed_root: str,
 def run_report(spark: SparkSession, interim_root: str, base_dir: str | None = None,
                samples_root: str | None = None, out: str | None = None) -> dict[str, DataFrame]:
     """Per-run detail (ordered by extractor, attack) and its DNS, Syn and
-    Syn head-to-head subsets.  Empty subsets are not written."""
+    Syn head-to-head subsets.  Empty subsets are not written.
+    ``rejected_inputs`` (path, reason) lists the logs and sample files that are in
+    none of them."""
     runs = read_runs(spark, interim_root, base_dir)
-    samples = read_samples(spark, samples_root or interim_root)
+    skipped: list[tuple[str, str]] = []
+    samples = read_samples(spark, samples_root or interim_root, skipped)
     st = stats.sample_stats(samples, key="monitor_key")
     detail = stats.run_detail(runs, st, run_key="monitor_key", stats_key="monitor_key")
     detail = detail.orderBy("extractor", "attack")
@@ -343,7 +346,10 @@ def run_report(spark: SparkSession, interim_root: str, base_dir: str | None = No
     if out:
         for name, v in views.items():
             writers.write_report(writers.detail_table(v), f"{out}/{name}")
-    return views
+    rejected = rejected_runs(spark, interim_root).unionByName(spark.createDataFrame(skipped, REJECTS_SCHEMA))
+    if out:
+        writers.write_report(rejected.orderBy("path"), f"{out}/rejected_inputs")
+    return views | {"rejected_inputs": rejected}
 
 
 def extractor_report(detail: DataFrame) -> dict[str, DataFrame]:

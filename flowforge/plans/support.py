@@ -1,5 +1,5 @@
-"""Captures that the registered queries write from the driver tables, so that
-the capture reader has files to read."""
+"""Files that the registered queries write from the driver tables, so that the
+readers of captures, logs and samples have something to read."""
 
 from __future__ import annotations
 
@@ -52,3 +52,30 @@ def write_captures(rows: DataFrame, root: str, order: Sequence) -> str:
     (rows.repartition("directory", "file").sortWithinPartitions("directory", "file", *order)
      .mapInPandas(lambda it: _written(it, root), "path string, records long").count())  # the files exist from here on
     return root
+
+
+def _lines_written(batches: Iterator[pd.DataFrame], root: str) -> Iterator[pd.DataFrame]:
+    """Task side: rows arrive sorted by (path, ord); each file is written whole."""
+    name, out, done = None, None, []
+    for pdf in batches:
+        for path, rows in pdf.groupby("path", sort=False):
+            if path != name:
+                if out is not None:
+                    out.close()
+                fs, local = _fs_and_path(f"{root}/{path}")
+                fs.create_dir(local.rsplit("/", 1)[0], recursive=True)
+                name, out = path, fs.open_output_stream(local)
+                done.append(path)
+            out.write("".join(line + "\n" for line in rows["line"]).encode())
+    if out is not None:
+        out.close()
+    yield pd.DataFrame({"path": done}, columns=["path"])
+
+
+def write_lines(rows: DataFrame, root: str) -> str:
+    """Text files ``root/path`` of ``rows`` (path, ord, line)."""
+    ship_package(rows.sparkSession)
+    root = root[5:] if root.startswith("file:") else root
+    (rows.repartition("path").sortWithinPartitions("path", "ord")
+     .mapInPandas(lambda it: _lines_written(it, root), "path string").count())  # the files exist from here on
+    return root

@@ -1,23 +1,73 @@
 """Run logs, resource samples and report re-reads.
 
-All three are explicit-schema scans of many small files; the key that ties a
-run to its samples is the fully qualified path of the sample file.
+CSV inputs are read by the names in their own headers (one scan per distinct
+header, S4), whatever the order of the columns; a file that lacks a needed column
+is reported or an error, never bound by position.  A run log that is no JSON
+object of the expected types is kept out of the runs and listed with its path and
+reason.  The key that ties a run to its samples is the fully qualified path of the
+sample file.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import attack_from_log_name, infer_tool
-from ..functions.schema import METRICS_SCHEMA, RUN_LOG_SCHEMA, SAMPLE_SCHEMA
+from ..functions.schema import DETAIL_COLUMNS, METRICS_SCHEMA, RUN_LOG_SCHEMA, SAMPLE_SCHEMA
 from ..session import qualify
-from .catalogue import file_path
+from .catalogue import catalogue, file_path
+from .flows import header_groups, read_header_csv
+
+_BROKEN = "_broken"
+REJECTS_SCHEMA = "path string, reason string"
+
+
+def read_named_csv(spark: SparkSession, root: str, schema: T.StructType, glob: str = "*.csv",
+                   skipped: list[tuple[str, str]] | None = None) -> DataFrame:
+    """The columns of ``schema`` from every CSV under ``root``, found by name in
+    each file's header, plus ``source_file``; cells that don't parse are null.
+    A file without one of them goes to ``skipped`` with the reason; without that
+    list it is an error."""
+    out = None
+    for raw, paths in header_groups(catalogue(spark, root, glob=glob, exclude_prefixes=())):
+        names = [c.strip() for c in raw]
+        absent = [f.name for f in schema if f.name not in names]
+        if absent:
+            reason = "no column " + ", ".join(absent)
+            if skipped is None:
+                raise ValueError(f"{paths[0]} and {len(paths) - 1} more: {reason}")
+            skipped.extend((p, reason) for p in sorted(paths))
+            continue
+        df = read_header_csv(spark, paths, raw, names=[f"_{i}" for i in range(len(raw))])
+        df = df.select(*[F.col(f"_{names.index(f.name)}").try_cast(f.dataType).alias(f.name) for f in schema], "source_file")
+        out = df if out is None else out.unionByName(df)
+    if out is None:
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("source_file", T.StringType())]))
+    return out
+
+
+def _logs(spark: SparkSession, root: str, multi_line: bool, glob: str) -> DataFrame:
+    schema = T.StructType([*RUN_LOG_SCHEMA.fields, T.StructField(_BROKEN, T.StringType())])
+    logs = (spark.read.schema(schema)
+            .option("columnNameOfCorruptRecord", _BROKEN)
+            .option("multiLine", "true" if multi_line else "false")
+            .option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", glob)
+            .json(root))
+    return logs.select("*", file_path().alias("log_path"))
+
+
+def _read_with_attack(condition: Column) -> Column:
+    # a data column is asked for too: Spark refuses scans of the raw text alone
+    return condition & (F.col("attack").isNull() | (F.length("attack") >= 0))
 
 
 def read_runs(spark: SparkSession, root: str, base_dir: str | None = None,
               multi_line: bool = True, glob: str = "benchmark_*.json") -> DataFrame:
-    """S5 + P12 + P13: every ``benchmark_*.json`` under ``root``.
+    """S5 + P12 + P13: every ``benchmark_*.json`` under ``root`` that is a JSON
+    object of the expected types (see ``rejected_runs`` for the others).
 
     Missing keys are null, then defaulted: tool from the log path, attack
     from the log's file name.  ``monitor_key`` is the sample file's
@@ -27,12 +77,7 @@ def read_runs(spark: SparkSession, root: str, base_dir: str | None = None,
     JSON lines (as the run-log sink writes them).
     """
     base = qualify(spark, base_dir or ".")
-    logs = (spark.read.schema(RUN_LOG_SCHEMA)
-            .option("multiLine", "true" if multi_line else "false")
-            .option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", glob)
-            .json(root))
-    logs = logs.select("*", file_path().alias("log_path"))
+    logs = _logs(spark, root, multi_line, glob).filter(_read_with_attack(F.col(_BROKEN).isNull()))
     mf = F.col("monitor_file")
     absolute = mf.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:") | mf.startswith("/")
     local_abs = F.concat(F.lit(base.split(":", 1)[0] + ":"), mf)
@@ -48,32 +93,42 @@ def read_runs(spark: SparkSession, root: str, base_dir: str | None = None,
         key.alias("monitor_key"), "log_path")
 
 
-def read_samples(spark: SparkSession, root: str) -> DataFrame:
-    """Every ``monitor_*.csv`` under ``root`` in one scan, keyed by the
+def rejected_runs(spark: SparkSession, root: str, multi_line: bool = True,
+                  glob: str = "benchmark_*.json") -> DataFrame:
+    """``path, reason`` of run logs that ``read_runs`` keeps out: text that is no
+    JSON object of the expected types (one row per record), and files of white
+    space only."""
+    logs = _logs(spark, root, multi_line, glob)
+    broken = logs.filter(_read_with_attack(F.col(_BROKEN).isNotNull())).select(
+        F.col("log_path").alias("path"),
+        F.concat(F.lit("not a run log: "), F.substring(F.regexp_replace(_BROKEN, r"\s+", " "), 1, 60)).alias("reason"))
+    seen = logs.select(F.col("log_path").alias("path"), "attack").select("path").distinct()
+    blank = (catalogue(spark, root, glob=glob, exclude_prefixes=()).select("path").join(seen, "path", "left_anti")
+             .withColumn("reason", F.lit("no JSON object")))
+    return broken.unionByName(blank)
+
+
+def read_samples(spark: SparkSession, root: str, skipped: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Every ``monitor_*.csv`` under ``root``, columns by name, keyed by the
     file's qualified path.  A header-only or missing file has no rows."""
-    s = (spark.read.schema(SAMPLE_SCHEMA).option("header", "true")
-         .option("mode", "PERMISSIVE")
-         .option("recursiveFileLookup", "true")
-         .option("pathGlobFilter", "monitor_*.csv")
-         .csv(root))
-    return s.select("*", file_path().alias("monitor_key"))
+    samples = read_named_csv(spark, root, SAMPLE_SCHEMA, "monitor_*.csv", skipped)
+    return samples.withColumnRenamed("source_file", "monitor_key")
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """The metrics table written by the model benchmark."""
-    return spark.read.schema(METRICS_SCHEMA).option("header", "true").csv(path)
+    return read_named_csv(spark, path, METRICS_SCHEMA).drop("source_file")
+
+
+# The detail table's columns under the names that the jobs use.
+_DETAIL_NAMES = ["extractor", "attack", "packets", "time_s", "pps", "avg_cpu", "std_cpu", "var_cpu",
+                 "max_ram", "std_ram", "var_ram"]
+_DETAIL_TYPES = {"extractor": T.StringType(), "attack": T.StringType(), "packets": T.LongType()}
 
 
 def read_detail(spark: SparkSession, path: str) -> DataFrame:
     """The per-run detail table written by the report job."""
-    schema = ("Extractor string, Attack string, Packets bigint, `Time (s)` double, "
-              "`Throughput (PPS)` double, `Avg CPU (%)` double, `Std CPU` double, "
-              "`Var CPU` double, `Max RAM (MB)` double, `Std RAM` double, `Var RAM` double")
-    d = spark.read.schema(schema).option("header", "true").csv(path)
-    return d.select(
-        F.col("Extractor").alias("extractor"), F.col("Attack").alias("attack"),
-        F.col("Packets").alias("packets"), F.col("`Time (s)`").alias("time_s"),
-        F.col("`Throughput (PPS)`").alias("pps"), F.col("`Avg CPU (%)`").alias("avg_cpu"),
-        F.col("`Std CPU`").alias("std_cpu"), F.col("`Var CPU`").alias("var_cpu"),
-        F.col("`Max RAM (MB)`").alias("max_ram"), F.col("`Std RAM`").alias("std_ram"),
-        F.col("`Var RAM`").alias("var_ram"))
+    schema = T.StructType([T.StructField(c, _DETAIL_TYPES.get(n, T.DoubleType()))
+                           for c, n in zip(DETAIL_COLUMNS, _DETAIL_NAMES, strict=True)])
+    d = read_named_csv(spark, path, schema)
+    return d.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(DETAIL_COLUMNS, _DETAIL_NAMES, strict=True)])
