@@ -8,9 +8,12 @@ absent -- local runs and tests -- do we create a private folder.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -97,10 +100,55 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(key)
 
 
+#: Scratch folders made in each open scope, the innermost last.
+_SCOPES: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder under the shared checkpoint folder."""
+    """A fresh, unique folder under the shared checkpoint folder.  Made within a
+    ``scratch_scope``, it is deleted when that ends."""
     base = ensure_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/scratch/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/scratch/{name}-{uuid.uuid4().hex[:12]}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this library's own on any Hadoop file system."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Owns the scratch folders made within: what needs them must be written or
+    read before the scope ends.  Shuffle files of finished steps go too; Spark
+    keeps them until the driver has collected its garbage."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            remove_folder(spark, path)
+        release_shuffles(spark)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def written_in_scope(spark: SparkSession, name: str, make) -> DataFrame:
+    """The rows of ``make()`` written as Parquet under the shared folder; scratch
+    folders that making them took are deleted."""
+    path = scratch_path(spark, name)
+    with scratch_scope(spark):
+        df = make()
+        schema = df.schema
+        df.write.parquet(path)
+        del df
+    return spark.read.schema(schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

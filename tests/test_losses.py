@@ -138,3 +138,28 @@ def test_no_machine_local_folder_on_a_cluster():
 
     with pytest.raises(ValueError):
         ensure_checkpoint_dir(Session())
+
+
+def test_scratch_folders_go_with_their_scope(spark):
+    from flowforge.session import scratch_path, scratch_scope, written_in_scope
+
+    base = os.path.join(ensure_checkpoint_dir(spark).removeprefix("file:"), "scratch")
+
+    def folders():
+        return set(os.listdir(base)) if os.path.isdir(base) else set()
+
+    before = folders()
+
+    def make():
+        spark.range(5).write.parquet(scratch_path(spark, "inner"))
+        with scratch_scope(spark):
+            spark.range(5).write.parquet(scratch_path(spark, "innermost"))
+        assert {f.rsplit("-", 1)[0] for f in folders() - before} == {"inner"}
+        return spark.range(7)
+
+    out = written_in_scope(spark, "kept", make)
+    assert out.count() == 7 and {f.rsplit("-", 1)[0] for f in folders() - before} == {"kept"}
+    with pytest.raises(ZeroDivisionError), scratch_scope(spark):
+        spark.range(5).write.parquet(scratch_path(spark, "failed"))
+        raise ZeroDivisionError
+    assert {f.rsplit("-", 1)[0] for f in folders() - before} == {"kept"}
