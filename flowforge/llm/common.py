@@ -37,6 +37,22 @@ def utf8(column: Column) -> Column:
     return F.coalesce(column.cast("binary"), F.lit(b""))
 
 
+def hashed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text (UTF-8), h (the text's hash) of all rows with an id."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(F.col(text_col)).alias("text")).filter("doc_id is not null")
+    return rows.withColumn("h", F.xxhash64("text"))
+
+
+def chosen_texts(rows: DataFrame, name: str) -> DataFrame:
+    """doc_id, low: of ids with several texts the least hash, whose text counts."""
+    return written(rows.groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low < high").select("doc_id", "low"), name)
+
+
+def one_text_per_id(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """doc_id, text: ``rows`` without other texts of an id than the chosen one."""
+    return rows.join(chosen, "doc_id", "left").filter("low is null or low = h").select("doc_id", "text")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -41,7 +41,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowforge.llm.common import columns, utf8, written
+from flowforge.llm.common import chosen_texts, columns, hashed_texts, one_text_per_id, utf8, written
+from flowforge.session import release_shuffles, written_in_scope
 
 WINDOW, GRAM = 100, 24
 #: Contexts of one gram that a task sorts, and bytes of the groups it sorts at once.
@@ -273,32 +274,22 @@ def _groups(window: int, size: int):
     return run
 
 
-def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text, of an id with several texts only the one of least hash."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(F.col(text_col)).alias("text")).filter("doc_id is not null")
-    return rows.withColumn("h", F.xxhash64("text"))
-
-
-def _chosen(rows: DataFrame) -> DataFrame:
-    """The hash of the text that counts, of ids that have several."""
-    return written(rows.groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low < high").select("doc_id", "low"), "suffix-ids")
-
-
-def _whole(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    return rows.join(chosen, "doc_id", "left").filter("low is null or low = h").select("doc_id", "text")
-
-
 def repeated_byte_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM,
                         group: int = GROUP, batch: int = BATCH) -> DataFrame:
     """doc, h (hash of the document's text), spans (array of (first byte, end byte)):
     of every document with repeated bytes, spans that cover them (they may overlap)."""
-    rows = _documents(docs, id_col, text_col)
-    chosen = _chosen(rows)
-    base = _whole(rows, chosen)
+    return written_in_scope(docs.sparkSession, "suffix-spans", lambda: _spans(docs, id_col, text_col, window, gram, group, batch))
+
+
+def _spans(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int, group: int, batch: int) -> DataFrame:
+    rows = hashed_texts(docs, id_col, text_col)
+    chosen = chosen_texts(rows, "suffix-ids")
+    base = one_text_per_id(rows, chosen)
     records = base.mapInArrow(_records(window, gram), "g long, c long, doc long, loc long")
     # sides of a join are written first: above an aggregate's exchange a hot gram can't be split
     shared = written(records.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"), "suffix-grams")
     records = written(records.join(shared, "g"), "suffix-records")
+    release_shuffles(docs.sparkSession)  # of steps as large as the input each
 
     contexts = written(records.groupBy("g", "c").agg(F.min(F.struct("doc", "loc")).alias("m")).select("g", "c", "m.doc", "m.loc"), "suffix-contexts")
     forks = written(contexts.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1"), "suffix-forks")
@@ -308,8 +299,9 @@ def repeated_byte_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         wanted = some.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("g", "c", "loc")).alias("wanted"))
         return base.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_contexts(window, split), schema)
 
-    runs = (cut(copies.filter(F.col("n") <= group), False, "g long, c long, doc long, start long, bytes binary")
-            .repartition("g").sortWithinPartitions("g").mapInArrow(_groups(window, batch), "g long, c long, first long, last long"))
+    runs = written(cut(copies.filter(F.col("n") <= group), False, "g long, c long, doc long, start long, bytes binary")
+                   .repartition("g").sortWithinPartitions("g").mapInArrow(_groups(window, batch), "g long, c long, first long, last long"), "suffix-runs")
+    release_shuffles(docs.sparkSession)
     large = copies.filter(F.col("n") > group)
     if large.limit(1).count():
         split = written(cut(large, True, "g long, c long, doc long, start long, at long, h1 long, h2 long"), "suffix-windows")
@@ -322,7 +314,7 @@ def repeated_byte_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     whole = known.filter("doc > m or loc > m_loc").select("doc", _first("loc").alias("a"), (_last("loc") + window).alias("b"))
     part = contexts.join(runs, ["g", "c"]).select("doc", (_first("loc") + F.col("first")).alias("a"), (_first("loc") + F.col("last") + window).alias("b"))
     spans = whole.union(part).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return written(spans.join(chosen, F.col("doc") == F.col("doc_id"), "left").select("doc", "low", "spans"), "suffix-spans")
+    return spans.join(chosen, F.col("doc") == F.col("doc_id"), "left").select("doc", "low", "spans")
 
 
 def keep_mask(n: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:
