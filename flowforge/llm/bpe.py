@@ -27,19 +27,12 @@ def letter_bytes() -> dict[str, int]:
     return out
 
 
-def recent_characters() -> regex.Pattern:
+def recent_characters() -> frozenset[str]:
     """Letters and numbers of Unicode versions newer than Python's.  Libraries
     disagree about their class, so a text with one is split by ``tokenizers``."""
-    known = regex.compile(r"[\p{L}\p{N}]+")
-    spans: list[list[int]] = []
-    for m in known.finditer("".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)):
-        for c in m.group():
-            if unicodedata.category(c) == "Cn":
-                if spans and spans[-1][1] == ord(c) - 1:
-                    spans[-1][1] += 1
-                else:
-                    spans.append([ord(c), ord(c)])
-    return regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) + "]" if spans else "(?!)")
+    known = regex.compile(r"[\p{L}\p{N}]")
+    every = "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    return frozenset(c for c in known.findall(every) if unicodedata.category(c) == "Cn")
 
 
 class Vocabulary:
@@ -67,14 +60,14 @@ class Vocabulary:
             raise ValueError("added tokens with options are not supported")
         self._special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self._find = regex.compile(PATTERN).findall
-        self._recent = recent_characters().search
+        self.recent = recent_characters()
         self._library = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
 
     def _pre_tokens(self, text: str) -> list[str]:
         try:
             text.encode("latin-1")  # much faster than the search
         except UnicodeEncodeError:
-            if self._recent(text):
+            if not self.recent.isdisjoint(set(text)):
                 return [text[a:b] for _, (a, b) in self._library(text)]
         return self._find(text)
 

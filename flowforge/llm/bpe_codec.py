@@ -36,6 +36,49 @@ from flowforge.llm.common import BoundedCache, columns, kept, utf8, vocabulary_f
 #: Ids decoded at once.
 SLICE = 1 << 20
 _NEVER = 1 << 60
+#: No byte, so in no token.
+BETWEEN = "\u2603"
+
+
+class RecentWords(dict):
+    """A memo of words in two generations of up to ``limit``: when one is full, the
+    words that it and the one before hold stay at hand, and only those not used
+    since are forgotten.  ``make`` gives the values of several words at once."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit, self.before = make, limit, {}
+
+    def of(self, words: list[str]) -> list[bytes]:
+        found = list(map(self.get, words))
+        if None not in found:
+            return found
+        unseen = {w for w, v in zip(words, found, strict=True) if v is None}
+        if len(self) + len(unseen) > self.limit:
+            self.before = dict(self)
+            self.clear()
+        known = {w: v for w in unseen if (v := self.before.get(w)) is not None}
+        self.update(known)
+        new = list(unseen - known.keys())
+        self.update(zip(new, self.make(new), strict=True))
+        return [self[w] if v is None else v for w, v in zip(words, found, strict=True)]
+
+
+class OffsetTable:
+    """Strings by number, all in one buffer, with the place of each."""
+
+    def __init__(self, strings: list[bytes]):
+        self.lengths = np.array([len(s) for s in strings], np.int64)
+        self.offsets = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+        self.buffer = np.frombuffer(b"".join(strings), np.uint8)
+
+    def parts(self, ids: np.ndarray) -> Iterator[bytes]:
+        """The strings of ``ids``, joined, in parts of bounded size."""
+        for at in range(0, len(ids), SLICE):
+            part = ids[at:at + SLICE]
+            n = self.lengths[part]
+            ends = np.cumsum(n)
+            yield self.buffer[np.repeat(self.offsets[part] - ends + n, n) + np.arange(ends[-1])].tobytes()
 
 
 class Codec:
@@ -53,15 +96,15 @@ class Codec:
             self.shorter[i] = self.automaton.get(word[:size]) if size else -1
         self._parts = {merged: (rank, a, b) for (a, b), (rank, merged) in v.merges.items()}
         self.compatible = BoundedCache(self._compatible, limit=1_000_000)
-        self.words = BoundedCache(self._word, limit=300_000)
+        self.words = RecentWords(self._words, limit=250_000)
         n = 1 + max([*v.bytes_of, *v.specials.values()])
         strings = [v.bytes_of.get(i, b"") for i in range(n)]
         for text, i in v.specials.items():
             strings[i] = text.encode()
         self.sizes = [len(s) for s in strings]
-        self.lengths = np.array([len(s) for s in strings], np.int64)
-        self.offsets = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
-        self.buffer = np.frombuffer(b"".join(strings), np.uint8)
+        self.four = [i.to_bytes(4, "little") for i in range(n)]
+        self.decimal = OffsetTable([b"%d," % i for i in range(n)])
+        self.strings = OffsetTable(strings)
 
     def _ends(self, token: int, side: int) -> list[tuple[int, int]]:
         """(token, rank of the merge that uses it up) down one side."""
@@ -83,65 +126,73 @@ class Codec:
         return True
 
     def encode_word(self, word: bytes) -> list[int]:
-        """Ids of one pre-token.  Mostly the longest matches, left to right,
-        are compatible as they come; else the search with backtracking."""
-        text = word.decode("latin-1")
-        ids = [i for _, i in self.automaton.iter_long(text)]
-        allowed = self.compatible
-        for pair in zip(ids, ids[1:], strict=False):
-            if not allowed[pair]:
-                return self._backtrack(text)
-        return ids
+        """Ids of one pre-token."""
+        return self.encode_words([word])[0] if word else []
+
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of pre-tokens.  One pass of the automaton over all of them, with a
+        letter between that no token has, gives the longest matches, left to right.
+        Mostly they are compatible as they come; else the search with backtracking
+        goes on from the first that isn't."""
+        texts = [w.decode("latin-1") for w in words]
+        matches = self.automaton.iter_long(BETWEEN.join(texts))
+        allowed, out, start = self.compatible, [], 0
+        for text in texts:
+            last, start = start + len(text) - 1, start + len(text) + 1
+            end, before = next(matches)
+            ids, fits = [before], True
+            while end < last:
+                end, token = next(matches)
+                if fits and not allowed[before, token]:
+                    fits, odd = False, token
+                if fits:
+                    ids.append(token)
+                    before = token
+            out.append(ids if fits else self._search(text, ids, odd))
+        return out
 
     def _backtrack(self, text: str) -> list[int]:
-        longest, shorter, lengths, allowed = self.automaton.iter_long, self.shorter, self.sizes, self.compatible
+        return self._search(text, [], next(self.automaton.iter_long(text))[1])
+
+    def _search(self, text: str, ids: list[int], token: int) -> list[int]:
+        """``ids`` are the longest matches so far, each compatible with the one
+        before; ``token`` is the longest match behind them."""
+        longest, lengths, shorter, allowed = self.automaton.iter_long, self.sizes, self.shorter, self.compatible
         hopeless = set()
-        ids: list[int] = []
-        n, at = len(text), 0
-        token = next(longest(text))[1]
+        n, at, before = len(text), sum(map(lengths.__getitem__, ids)), ids[-1] if ids else -1
         while True:
             # the longest token here that may follow and doesn't lead to a hopeless place
-            while token >= 0 and (at + lengths[token] in hopeless or ids and not allowed[ids[-1], token]):
+            while token >= 0 and (hopeless and at + lengths[token] in hopeless or before >= 0 and not allowed[before, token]):
                 token = shorter[token]
             if token >= 0:
                 ids.append(token)
                 at += lengths[token]
                 if at == n:
                     return ids
-                token = next(longest(text, at))[1]
+                before, token = token, next(longest(text, at))[1]
             else:
                 hopeless.add(at)
                 token = ids.pop()
                 at -= lengths[token]
-                token = shorter[token]
+                before, token = ids[-1] if ids else -1, shorter[token]
 
-    def _word(self, word: str) -> tuple[bytes, bytes]:
-        ids = self.encode_word(word.encode())
-        return np.array(ids, "<u4").tobytes(), ",".join(map(str, ids)).encode()
+    def _words(self, words: list[str]) -> list[bytes]:
+        four = self.four.__getitem__
+        return [b"".join(map(four, ids)) for ids in self.encode_words([w.encode() for w in words])]
 
     def encode(self, text: str) -> tuple[np.ndarray, bytes]:
         """Ids, and the same as decimals joined by commas."""
-        ids, decimals, get = [], [], self.words.__getitem__
+        ids: list[bytes] = []
         for words, special in self.vocabulary.segments(text):
-            if words:
-                a, b = zip(*map(get, words), strict=True)
-                ids.extend(a)
-                decimals.extend(b)
+            ids += self.words.of(words)
             if special is not None:
-                ids.append(np.array([special], "<u4").tobytes())
-                decimals.append(b"%d" % special)
-        return np.frombuffer(b"".join(ids), "<u4"), b",".join(decimals)
+                ids.append(self.four[special])
+        found = np.frombuffer(b"".join(ids), "<u4")
+        return found, b"".join(self.decimal.parts(found))[:-1]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the tokens, gathered through the offset table."""
-        out = []
-        for at in range(0, len(ids), SLICE):
-            part = ids[at:at + SLICE]
-            n = self.lengths[part]
-            ends = np.cumsum(n)
-            where = np.repeat(self.offsets[part] - ends + n, n) + np.arange(ends[-1])
-            out.append(self.buffer[where].tobytes())
-        return b"".join(out)
+        return b"".join(self.strings.parts(ids))
 
     def decode_text(self, ids: np.ndarray) -> str:
         return self.decode(ids).decode("utf-8", "replace")
