@@ -303,11 +303,65 @@ v AS (SELECT *, 'benchmark_detailed' AS report FROM d UNION ALL SELECT *, 'bench
 SELECT v.*, (SELECT count(*) FROM runs WHERE kind = 3) AS broken_logs, (SELECT count(*) FROM runs WHERE kind = 2) AS short_samples FROM v"""
 
 
+_LONG = "l_quantity > 40"
+
+
+def _ragged_files(spark: SparkSession, sf: str) -> str:
+    """Flow files of each style with rows of one field too many, a header file
+    without a source address (line number 7) and a headerless file that is too wide
+    (line number 6)."""
+    li = table(spark, sf, "lineitem")
+    source, extra = F.col("l_suppkey").cast("string"), F.when(F.expr(_LONG), ",extra").otherwise("")
+    order = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    at = F.concat(F.lit("/01-12/Syn/f"), F.col("l_linenumber").cast("string"), F.lit(".csv"))
+    plain = F.concat(F.concat_ws(",", source, "l_orderkey"), extra)
+    rows = [li.select(F.concat(F.lit(style), at).alias("path"), order.alias("ord"), plain.alias("line")) for style in ("A", "C")]
+    names = li.select("l_linenumber").distinct()
+    rows += [names.select(F.concat(F.lit(style), at).alias("path"), F.lit(-1).cast("bigint").alias("ord"),
+                          F.when(F.col("l_linenumber") == 7, "a,b").otherwise("Src IP,f").alias("line")) for style in ("A", "C")]
+    wide = F.concat_ws(",", F.lit("id"), F.lit("t"), source, F.lit("1"),
+                       F.when(F.col("l_linenumber") == 6, F.repeat(F.lit("0,"), F.lit(300))).otherwise("0,0,0,0,0,0,0,0"), F.lit("Label"))
+    first = names.select(F.lit("id,t,0,1,0,0,0,0,0,0,0,0,Label").alias("line"), "l_linenumber").filter("l_linenumber <> 6")
+    rows += [li.select(F.concat(F.lit("B"), at).alias("path"), order.alias("ord"), F.concat(wide, extra).alias("line")),
+             first.select(F.concat(F.lit("B"), at).alias("path"), F.lit(-1).cast("bigint").alias("ord"), "line")]
+    every = rows[0]
+    for r in rows[1:]:
+        every = every.unionByName(r)
+    return support.write_lines(every, scratch_path(spark, "ragged"))
+
+
+def q_label_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """What each labelling job wrote, rejected and skipped, the
+    rejected rows counted while it wrote."""
+    root = _ragged_files(spark, sf)
+    rows = []
+    for style in ("A", "B", "C"):
+        out = scratch_path(spark, f"labelled-{style}")
+        if style == "B":
+            result = jobs.label_positional_flows(spark, f"{root}/B", ["1", "2", "3"], out=out)
+        else:
+            result = jobs.label_header_flows(spark, f"{root}/{style}", ["1", "2", "3"], style=style, out=out)
+        counts, back = result.row_counts(), spark.read.parquet(out)
+        rows.append((style, counts["rows"], counts["rejected"], back.count(), back.filter("label <> 'BENIGN'").count(), len(result.skipped)))
+    return spark.createDataFrame(rows, "style string, read bigint, rejected bigint, written bigint, attacks bigint, skipped_files bigint")
+
+
+_LABEL_REJECTS_SQL = f"""
+WITH s AS (SELECT unnest(['A', 'B', 'C']) AS style),
+l AS (SELECT style, l_suppkey, {_LONG} AS long FROM lineitem, s WHERE l_linenumber <> CASE style WHEN 'B' THEN 6 ELSE 7 END),
+f AS (SELECT count(DISTINCT l_linenumber) AS n, count(DISTINCT CASE WHEN l_linenumber = 6 THEN 1 END) AS six,
+             count(DISTINCT CASE WHEN l_linenumber = 7 THEN 1 END) AS seven FROM lineitem),
+c AS (SELECT style, count(*) AS n, count(CASE WHEN long THEN 1 END) AS rejected, count(CASE WHEN NOT long AND l_suppkey IN (1, 2, 3) THEN 1 END) AS attacks FROM l GROUP BY style)
+SELECT style, c.n + CASE style WHEN 'B' THEN f.n - six ELSE 0 END AS read, rejected, read - rejected AS written, attacks,
+       CASE style WHEN 'B' THEN six ELSE seven END AS skipped_files
+FROM c, f"""
+
+
 def queries() -> dict:
     return {"extractor_report": q_extractor_report, "f1_view": q_f1_view, "class_gate": q_class_gate,
             "capture_directories": q_capture_directories, "importance_report": q_importance_report,
             "prepare_training": q_prepare_training, "consolidate_fragments": q_consolidate_fragments,
-            "run_report": q_run_report,
+            "run_report": q_run_report, "label_rejects": q_label_rejects,
             "tolerant_scan": q_tolerant_scan, "rejected_rows": q_rejected_rows, "training_sample": q_training_sample,
             "attacker_join": q_attacker_join, "run_log_rows": q_run_log_rows}
 
@@ -317,6 +371,6 @@ def oracle_sql() -> dict[str, str]:
     return {"extractor_report": _REPORT_SQL, "f1_view": _SCENARIO_SQL, "class_gate": _GATE_SQL,
             "capture_directories": _DIRECTORIES_SQL, "importance_report": _IMPORTANCE_SQL,
             "prepare_training": _PREPARE_SQL, "consolidate_fragments": _FRAGMENTS_SQL,
-            "run_report": _report_sql(),
+            "run_report": _report_sql(), "label_rejects": _LABEL_REJECTS_SQL,
             "tolerant_scan": _TOLERANT_SQL, "rejected_rows": _REJECTED_SQL, "training_sample": _SAMPLE_SQL,
             "attacker_join": _ATTACKER_SQL, "run_log_rows": _RUN_LOG_SQL}

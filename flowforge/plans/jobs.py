@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clean
 from ..functions.columns import (align, binary_target, canonical_dns, feature_columns,
-                                 label_column, q, scenario_name, source_ip_column,
+                                 label_column, normalise_names, q, scenario_name, source_ip_column,
                                  topology_label)
 from ..functions.schema import (ATTACK_KEYWORDS, B_SOURCE_POSITION, C_META_COLUMNS,
                                 DEFAULT_ATTACKER, EXTRACTORS, F1_VIEW_TARGETS,
@@ -98,6 +98,14 @@ def consolidate_fragments(spark: SparkSession, root: str, out: str | None = None
 class LabelResult:
     flows: DataFrame | None
     skipped: list[tuple[str, str]]  # (path, reason)
+    observed: list[Observation] = field(default_factory=list)  # one per scan
+
+    def row_counts(self) -> dict[str, int]:
+        """``rows`` read and ``rejected`` (more fields than their file's header or
+        width), counted while the flows were written or first read; waits for that.
+        No second scan."""
+        found = [o.get for o in self.observed]
+        return {k: sum(f[k] for f in found) for k in ("rows", "rejected")}
 
 
 def _attackers(attackers: str | Sequence[str]) -> list[str]:
@@ -119,13 +127,14 @@ def label_header_flows(spark: SparkSession, root: str,
     att = _attackers(attackers)
     base = qualify(spark, root)
     cat = catalogue(spark, root)
-    out_df, skipped = None, []
+    out_df, skipped, observed = None, [], []
     for raw, paths in header_groups(cat):
-        df = read_header_csv(spark, paths, list(raw))
-        src = source_ip_column(df.columns)
-        if src is None:
+        if source_ip_column(normalise_names(raw)) is None:
             skipped.extend((p, "no source-address column") for p in paths)
             continue
+        observed.append(Observation())
+        df = read_header_csv(spark, paths, list(raw), observation=observed[-1])
+        src = source_ip_column(df.columns)
         df = attach_path_meta(df, base)
         attack = F.col("attack")
         if style == "C":
@@ -145,7 +154,7 @@ def label_header_flows(spark: SparkSession, root: str,
         out_df = df if out_df is None else out_df.unionByName(df, allowMissingColumns=True)
     if out and out_df is not None:
         writers.write_labelled(out_df.drop("file_name"), out)
-    return LabelResult(out_df, skipped)
+    return LabelResult(out_df, skipped, observed)
 
 
 def label_positional_flows(spark: SparkSession, root: str,
@@ -154,7 +163,8 @@ def label_positional_flows(spark: SparkSession, root: str,
     """Headerless CSVs bound to the positional header; the source
     address is position 2; the extractor's dummy label is dropped."""
     skipped: list[tuple[str, str]] = []
-    flows = read_positional_flows(spark, catalogue(spark, root), skipped=skipped)
+    observed: list[Observation] = []
+    flows = read_positional_flows(spark, catalogue(spark, root), skipped=skipped, observed=observed)
     if flows is None:
         return LabelResult(None, skipped)
     flows = attach_path_meta(flows, qualify(spark, root))
@@ -163,7 +173,7 @@ def label_positional_flows(spark: SparkSession, root: str,
                                                      F.col("attack")))
     if out:
         writers.write_labelled(flows.drop("file_name"), out)
-    return LabelResult(flows, skipped)
+    return LabelResult(flows, skipped, observed)
 
 
 # --- B6 training-set preparation ------------------------------------------------------
@@ -181,11 +191,12 @@ def prepare_training_set(flows: DataFrame, max_train_rows: int | None = None,
                          exclude: Sequence[str] = ROW_META, seed: str = "",
                          dictionary: DataFrame | None = None,
                          kinds: dict[str, str] | None = None,
-                         float32: bool = True, materialize: bool = True) -> Prepared | None:
+                         float32: bool = True, materialize: bool = True, keyed: bool = True) -> Prepared | None:
     """P9 label, P8 pruning, T4, T2 kinds, T7 codes, T6, T5, P10 target;
     M1 sampling to ``max_train_rows`` (never for rows that are scored).  None
-    when no label column.  ``_rowkey`` is unique per row, so equal rows are
-    sampled and split like any others.
+    when no label column.  ``_rowkey`` is unique per row and follows from the
+    rows alone, so samples, splits and forests do not depend on how the files
+    were cut into partitions; rows that are only scored need none (``keyed``).
 
     A test set passes the training set's ``kinds`` and ``dictionary`` so
     that both are typed and encoded alike (columns unseen in training are
@@ -198,7 +209,8 @@ def prepare_training_set(flows: DataFrame, max_train_rows: int | None = None,
         return None
     feats = feature_columns(cols)
     df = flows.select(*[F.col(q(c)) for c in feats], F.col(q(target_col)).alias("_label"))
-    df = df.withColumn("_rowkey", F.monotonically_increasing_id())
+    if keyed or max_train_rows:
+        df = sampling.numbered_copies(df)
     if max_train_rows:
         rate = sampling.training_rate(df.count(), max_train_rows)
         df = sampling.hash_sample(df, rate, [F.col("_rowkey")], seed)
@@ -220,7 +232,7 @@ def prepare_training_set(flows: DataFrame, max_train_rows: int | None = None,
         if float32 and c in numeric:
             v = f"CAST(CAST({q(c)} AS FLOAT) AS DOUBLE)"
         exprs.append(f"{clean.finite_or_zero_sql(v)} AS {q(c)}")
-    df = df.selectExpr(*exprs, "_label", "_rowkey")
+    df = df.selectExpr(*exprs, "_label", *[c for c in df.columns if c == "_rowkey"])
     df = df.withColumn("target", binary_target(F.col("_label"))).drop("_label")
     if materialize:
         df = cut_lineage(df)
@@ -292,7 +304,7 @@ def extractor_benchmark(spark: SparkSession, processed_root: str,
             test_raw = _read_one(spark, p["test_path"], fmt, by_dir)
             # the test set is read once (predict + score): no materialisation
             shared = {} if per_dataset else {"dictionary": prep.dictionary, "kinds": prep.kinds}
-            tprep = prepare_training_set(test_raw, materialize=False, **shared) if test_raw else None
+            tprep = prepare_training_set(test_raw, materialize=False, keyed=False, **shared) if test_raw else None
             if tprep is None:
                 skipped.append((*scen, "invalid test data"))
                 continue

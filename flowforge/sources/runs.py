@@ -59,9 +59,10 @@ def _logs(spark: SparkSession, root: str, multi_line: bool, glob: str) -> DataFr
     return logs.select("*", file_path().alias("log_path"))
 
 
-def _read_with_attack(condition: Column) -> Column:
-    # a data column is asked for too: Spark refuses scans of the raw text alone
-    return condition & (F.col("attack").isNull() | (F.length("attack") >= 0))
+def _judged(condition: Column) -> Column:
+    # asks for every column, whatever is selected later: Spark judges a record
+    # against the columns it parses
+    return condition & (F.length(F.to_json(F.struct(*[f.name for f in RUN_LOG_SCHEMA]))) > 0)
 
 
 def read_runs(spark: SparkSession, root: str, base_dir: str | None = None,
@@ -77,7 +78,7 @@ def read_runs(spark: SparkSession, root: str, base_dir: str | None = None,
     JSON lines (as the run-log sink writes them).
     """
     base = qualify(spark, base_dir or ".")
-    logs = _logs(spark, root, multi_line, glob).filter(_read_with_attack(F.col(_BROKEN).isNull()))
+    logs = _logs(spark, root, multi_line, glob).filter(_judged(F.col(_BROKEN).isNull()))
     mf = F.col("monitor_file")
     absolute = mf.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:") | mf.startswith("/")
     local_abs = F.concat(F.lit(base.split(":", 1)[0] + ":"), mf)
@@ -99,7 +100,7 @@ def rejected_runs(spark: SparkSession, root: str, multi_line: bool = True,
     JSON object of the expected types (one row per record), and files of white
     space only."""
     logs = _logs(spark, root, multi_line, glob)
-    broken = logs.filter(_read_with_attack(F.col(_BROKEN).isNotNull())).select(
+    broken = logs.filter(_judged(F.col(_BROKEN).isNotNull())).select(
         F.col("log_path").alias("path"),
         F.concat(F.lit("not a run log: "), F.substring(F.regexp_replace(_BROKEN, r"\s+", " "), 1, 60)).alias("reason"))
     seen = logs.select(F.col("log_path").alias("path"), "attack").select("path").distinct()
