@@ -25,11 +25,15 @@ built whole:
    where the smallest document per node is an aggregate combined before the
    shuffle.
 
-Words are compared by 64-bit hashes, contexts and windows by sequences of them.
+Words are compared by 64-bit hashes, grams by 64 bits, contexts by 128 (gram and
+context together), windows of step 5 by 128; windows within a subtree by the
+sequence of their words' hashes.
 
 Defined results: null and empty texts have no words.  Rows without an id lose
 nothing.  Ids identify documents: rows that repeat an id and text are treated
-alike, and never count as repeats of each other.
+alike, and never count as repeats of each other.  If an id has several texts, the
+one with the least hash is the document; the other rows lose nothing and repeat
+nothing.
 """
 
 from __future__ import annotations
@@ -42,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowforge.llm.common import WORD_HASHES, columns, utf8, written
+from flowforge.llm.common import WORD_HASHES, chosen_texts, columns, hashed_texts, one_text_per_id, utf8, written
 
 WINDOW, GRAM = 50, 12
 #: Contexts of one prefix, and of one batch of prefixes, that a task holds.
@@ -216,16 +220,19 @@ def _subtrees(window: int, limit: int):
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
                    gram: int = GRAM, limit: int = SUBTREE) -> DataFrame:
-    """doc, spans (array of (first word, end word)): of every document with
-    repeated words, spans that cover them (they may overlap)."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(F.col(text_col)).alias("text")).filter("doc_id is not null")
+    """doc, low (the hash of its text, null if the id has one text only), spans
+    (array of (first word, end word)): of every document with repeated words, spans
+    that cover them (they may overlap)."""
+    texts = hashed_texts(docs, id_col, text_col)
+    chosen = chosen_texts(texts, "repeat-ids")
+    base = one_text_per_id(texts, chosen)
     rows = base.mapInArrow(_anchor_rows(window, gram), "g long, c long, doc long, loc long")
     # written by itself: a join with an aggregate above its own exchange can't be split at a hot gram
     shared = written(rows.groupBy("g").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("g"), "repeat-grams")
     rows = written(rows.join(shared, "g"), "repeat-anchors")
 
     contexts = written(rows.groupBy("g", "c").agg(F.min("doc").alias("m"), F.min_by("loc", "doc").alias("at")), "repeat-contexts")
-    forks = contexts.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1")
+    forks = written(contexts.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1"), "repeat-fork-sizes")
     copies = written(contexts.join(forks, "g"), "repeat-forks")
 
     def cut(some: DataFrame, hot: bool, schema: str) -> DataFrame:
@@ -245,7 +252,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     part = (known.filter("doc = m").join(runs, ["g", "c"])
             .select("doc", (_first("loc") + F.col("first")).alias("a"), (_first("loc") + F.col("last") + window).alias("b")))
     spans = whole.union(part).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return written(spans, "repeat-spans")
+    return written(spans.join(chosen, F.col("doc") == F.col("doc_id"), "left").select("doc", "low", "spans"), "repeat-spans")
 
 
 def keep_mask(n: int, spans: list) -> np.ndarray:
@@ -257,8 +264,9 @@ def keep_mask(n: int, spans: list) -> np.ndarray:
     return np.cumsum(depth)[:n] == 0
 
 
-def _with_spans(docs: DataFrame, id_col: str, spans: DataFrame) -> DataFrame:
-    return docs.join(spans, F.col(id_col) == F.col("doc"), "left").drop("doc")
+def _with_spans(docs: DataFrame, id_col: str, text_col: str, spans: DataFrame) -> DataFrame:
+    own = F.col("low").isNull() | (F.col("low") == F.xxhash64(utf8(F.col(text_col))))
+    return docs.join(spans, (F.col(id_col) == F.col("doc")) & own, "left").drop("doc", "low")
 
 
 def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -276,7 +284,7 @@ def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     spans = repeated_spans(docs, id_col, text_col, **options)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(F.col(text_col)).alias("text"))
-    return _with_spans(rows, "doc_id", spans).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_spans(rows, "doc_id", "text", spans).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -303,5 +311,5 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     spans = repeated_spans(docs, id_col, text_col, **options)
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(names)])
-    joined = _with_spans(plain, f"c{id_at}", spans).select(*plain.columns, "spans")
+    joined = _with_spans(plain, f"c{id_at}", f"c{text_at}", spans).select(*plain.columns, "spans")
     return joined.mapInArrow(run, plain.schema).toDF(*names)
