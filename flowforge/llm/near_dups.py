@@ -14,14 +14,23 @@
 4. Pairs are filtered by set size (exact) and by the estimate from the sketch of
    the union, far below the threshold; what is left is verified on whole sets.
 5. Components of the verified links.  Members of long lists that are not in the
-   component of their star's centre are then compared, block by block, with all
-   members around that centre: a block holds about ``BLOCK`` sets on either side
-   and counts all intersections at once, returning only verified links.  So no
-   link between lists' members is lost, and no task holds a whole group.
+   component of their star's centre are then compared with the members around that
+   centre that are in another component.  Up to ``GROUP`` members: block by block,
+   a block holds about ``BLOCK`` sets on either side and counts all intersections
+   at once, returning only verified links.
+6. Around a centre with more members, prefixes of whole sets decide which pairs can
+   be linked at all: with the group's shingles ordered by how rare they are in the
+   group, two sets above the threshold share one of the first
+   ``n - ceil(threshold * n) + 1`` of either.  A passage that all members share is
+   in no prefix, so documents that share just that give no pairs.  Members of one
+   prefix shingle are first paired with the smallest of them, which settles groups
+   of copies; what is still apart is paired in full and verified on whole sets.
+   So no link between lists' members is lost, and no task holds a whole group.
 
 Defined results: null and empty texts have the empty set, linked with nothing;
 null ids are kept and linked with nothing of their own; rows that repeat an id
-and a text are one class, and all are kept with it.
+and a text are one class, and all are kept with it; an id with several texts is one
+document that is linked by any of them.
 """
 
 from __future__ import annotations
@@ -39,7 +48,7 @@ from flowforge.llm.components import components
 
 KEEP, RUN = 48, 3
 LIST = 8
-BLOCK = 256
+BLOCK, GROUP = 256, 1024
 #: The estimate may lie so far below the threshold before a pair is dropped.
 MARGIN = 0.4
 
@@ -192,18 +201,22 @@ def _labelled(rows: DataFrame, labels: DataFrame, column: str, name: str) -> Dat
     return rows.join(found, column, "left").withColumn(name, F.coalesce("_l", column)).drop("_l")
 
 
-def _unsettled(long_lists: DataFrame, labels: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame | None:
-    """Verified links around centres between members of different components."""
+def _apart(long_lists: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members around each centre (center, rep, label, apart: not in the centre's
+    component), and the size of the groups with members apart (m, u of them)."""
     groups = long_lists.select("center", "rep").distinct()
-    groups = written(_labelled(_labelled(groups, labels, "rep", "label"), labels, "center", "center_label"), "near-groups")
-    apart = F.col("label") != F.col("center_label")
-    sizes = (groups.groupBy("center").agg(F.count("*").alias("m"), F.sum(apart.cast("long")).alias("u")).filter("u > 0")
-             .withColumn("cl", F.ceil(F.col("u") / BLOCK).cast("long")).withColumn("cr", F.ceil(F.col("m") / BLOCK).cast("long")))
-    if not sizes.limit(1).count():
-        return None
-    rows = groups.join(sizes, "center")
+    groups = _labelled(_labelled(groups, labels, "rep", "label"), labels, "center", "center_label")
+    groups = written(groups.withColumn("apart", F.col("label") != F.col("center_label")).drop("center_label"), "near-groups")
+    sizes = groups.groupBy("center").agg(F.count("*").alias("m"), F.sum(F.col("apart").cast("long")).alias("u")).filter("u > 0")
+    return groups, written(sizes, "near-group-sizes")
+
+
+def _blocks(rows: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Verified links between members of different components, block by block;
+    ``rows`` are the members of whole groups with m and u."""
+    rows = rows.withColumn("cl", F.ceil(F.col("u") / BLOCK).cast("long")).withColumn("cr", F.ceil(F.col("m") / BLOCK).cast("long"))
     spread = F.xxhash64("rep")
-    left = (rows.filter(apart).withColumn("i", F.pmod(spread, F.col("cl")))
+    left = (rows.filter("apart").withColumn("i", F.pmod(spread, F.col("cl")))
             .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cr") - 1))))
     right = rows.withColumn("j", F.pmod(spread, F.col("cr"))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cl") - 1)))
     names = ["center", "i", "j", "rep", "label", "text"]
@@ -213,6 +226,73 @@ def _unsettled(long_lists: DataFrame, labels: DataFrame, texts: DataFrame, words
             .applyInArrow(_compare(words, num, den), "a long, b long"))
 
 
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for centers, reps, apart, texts in columns(batches, "center", "rep", "apart", "text", rows=256):
+            sets = [shingles(t, words).view(np.int64) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(centers, pa.int64()), pa.array(reps, pa.int64()), pa.array(apart, pa.bool_()),
+                                              pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
+                                             names=["center", "rep", "apart", "n", "set"])
+    return run
+
+
+def prefixes(members: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """center, shingle, rep, apart, n: the members' prefixes, shingles ordered by
+    how many members of the group have them; shingles that only one has can be in
+    no other prefix and go."""
+    sets = members.select("center", "rep", "apart").join(texts.withColumnRenamed("id", "rep"), "rep").select("center", "rep", "apart", "text") \
+        .mapInArrow(_sets(words), "center long, rep long, apart boolean, n long, set array<long>")
+    each = written(sets.select("center", "rep", "apart", "n", F.explode("set").alias("shingle")), "near-members")
+    held = written(each.groupBy("center", "shingle").agg(F.count("*").alias("held")), "near-held")
+    ordered = (each.join(held, ["center", "shingle"]).groupBy("center", "rep", "apart", "n")
+               .agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("all")))
+    # of sets of n, the part that a linked partner must meet: n - ceil(n * num / den) + 1
+    size = F.col("n") - F.floor((F.col("n") * num + (den - 1)) / den) + 1
+    first = ordered.select("center", "rep", "apart", "n", F.explode(F.slice("all", F.lit(1), size.cast("int"))).alias("x"))
+    return first.filter("x.held > 1").select("center", F.col("x.shingle").alias("shingle"), "rep", "apart", "n")
+
+
+def _pairs(postings: DataFrame, labels: DataFrame, num: int, den: int, stars: bool) -> DataFrame:
+    """Pairs (a, b) of members of one prefix shingle in different components, one
+    of them apart from the centre; with ``stars`` only those with the smallest."""
+    rows = _labelled(postings, labels, "rep", "label")
+    if stars:
+        least = postings.groupBy("center", "shingle").agg(F.min(F.struct("rep", "n")).alias("x"))
+        other = _labelled(least.select("center", "shingle", F.col("x.rep").alias("b"), F.col("x.n").alias("nb")), labels, "b", "label_b")
+        rows = rows.select("center", "shingle", F.col("rep").alias("a"), F.col("n").alias("na"), "label")
+    else:
+        other = rows.select("center", "shingle", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("label_b"))
+        rows = rows.filter("apart").select("center", "shingle", F.col("rep").alias("a"), F.col("n").alias("na"), "label")
+    pairs = rows.join(written(other, "near-prefix-sides"), ["center", "shingle"]).filter(
+        (F.col("label") != F.col("label_b")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _unsettled(long_lists: DataFrame, links: DataFrame, labels: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Labels with all links around centres between different components."""
+    groups, sizes = _apart(long_lists, labels)
+    if not sizes.limit(1).count():
+        return labels
+    rows = groups.join(sizes, "center")
+    links = written(links.union(_blocks(rows.filter(F.col("m") <= GROUP), texts, words, num, den)), "near-links")
+    labels = written(components(links), "near-labels")
+    large = rows.filter(F.col("m") > GROUP)
+    if not large.limit(1).count():
+        return labels
+    postings = written(prefixes(large, texts, words, num, den), "near-prefixes")
+    for stars in (True, False):
+        links = written(links.union(verified(_pairs(postings, labels, num, den, stars), texts, words, num, den)), "near-links")
+        labels = written(components(links), "near-labels")
+    return labels
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are linked."""
+    both = (pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
+            .join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b"))
+    return both.select("a", "b", "x", "y").mapInArrow(_verify(words, num, den), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, num: int = 85, den: int = 100,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.  Documents
@@ -239,14 +319,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, num: int = 85, den: int = 1
 
     wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).union(long_lists.select("rep")).distinct()
     texts = written(base.join(wanted, "doc_id").withColumnRenamed("doc_id", "id"), "near-texts")
-    both = (likely.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
-            .join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b"))
-    links = written(both.select("a", "b", "x", "y").mapInArrow(_verify(words, num, den), "a long, b long"), "near-links")
+    links = written(verified(likely, texts, words, num, den), "near-links")
 
-    labels = written(components(links), "near-labels")
-    more = _unsettled(long_lists, labels, texts, words, num, den)
-    if more is not None:
-        labels = written(components(links.union(more)), "near-labels")
+    labels = _unsettled(long_lists, links, written(components(links), "near-labels"), texts, words, num, den)
 
     home = _labelled(classes.select("digest", "rep"), labels, "rep", "component").select("digest", "component")
     out = sets.join(home, "digest", "left").select(

@@ -119,6 +119,53 @@ def test_drop_repeats_changes_only_what_it_cuts(spark):
             assert r.text == (left if gone else dict(distinct(awkward_rows()))[r.doc_id]), r.doc_id
 
 
+def test_an_id_with_several_texts(spark):
+    long, other = prose(1, 90), prose(2, 90)
+    rows = [(5, long), (5, "short a"), (5, other), (9, "x " + long[10:]), (10, other), (11, long)]
+    got = substring_dedup.removal_digests(frame(spark, rows)).collect()
+    assert len(got) == 6 and all(r.n_removed == 0 for r in got if r.doc_id == 5)
+    assert {r.doc_id: r.n_removed > 0 for r in got if r.doc_id == 11} == {11: True}  # 9 has most of it
+    assert substring_dedup.drop_repeats(frame(spark, rows)).count() == 6
+    near = near_dups.near_duplicates(frame(spark, rows)).collect()
+    assert {r.component_id for r in near if r.doc_id in (5, 10, 11)} == {5}
+
+
+def half_shared(n):
+    """Documents that share half of their text, and two pairs of near copies."""
+    common = prose(1, 75)
+    rows = [(i, common + " " + " ".join(f"d{i}w{k}" for k in range(75))) for i in range(n)]
+    return rows + [(n + i, rows[i][1] + " more") for i in (3, n // 2)]
+
+
+def test_shared_templates_give_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "GROUP", 64)
+    pairs = []
+    plain = near_dups._pairs
+    monkeypatch.setattr(near_dups, "_pairs", lambda *a: (out := plain(*a), pairs.append(out.count()))[0])
+    counts = []
+    for n in (500, 2000):
+        pairs.clear()
+        got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(frame(spark, half_shared(n))).collect()}
+        assert got == {i: i for i in range(n)} | {n + 3: 3, n + n // 2: n // 2}
+        counts.append(sum(pairs))
+    assert len(pairs) == 2 and counts[1] <= 8 * max(1, counts[0]) and counts[1] < 2000
+
+
+def test_large_groups_by_prefixes_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "GROUP", 20)
+    rnd = random.Random(5)
+    base = prose(9, 120).split()
+    rows = []
+    for i in range(260):
+        w = list(base)
+        for _ in range(rnd.choice([0, 1, 3, 6, 9, 12])):
+            w[rnd.randrange(len(w))] = f"e{rnd.randrange(40)}"
+        rows.append((1000 - i, " ".join(w[rnd.choice([0, 0, 4]):])))
+    for words, num in ((3, 85), (5, 80), (1, 90)):
+        got = near_dups.near_duplicates(frame(spark, rows), words, num, 100).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_near(rows, words, num, 100)
+
+
 def test_empty_tables(spark):
     empty = frame(spark, [])
     assert content_sort.exact_groups(empty).count() == content_sort.drop_exact_copies(empty).count() == 0
