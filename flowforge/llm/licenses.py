@@ -5,15 +5,18 @@ spellings, also across line breaks), and the digest of the *entire* result is
 hash-joined to the digests of known licenses.  Two kinds of text are looked up: the whole document, and
 each of its lines, which finds one-line notices at any place of a long text.
 
-Everything is a DataFrame expression.  The table of known licenses is a
-parameter; it is broadcast only while it has at most ``BROADCAST_ROWS`` rows.
+Everything is a DataFrame expression, and each text is normalised once.  The table
+of known licenses is a parameter.  Up to ``BROADCAST_ROWS`` digests are broadcast
+for the whole texts and held as a hash set for the lines, which are then counted
+within their row; a larger table is joined by shuffling.
 
 Defined results: null or empty texts match nothing; a document that repeats a
-notice counts each line.
+notice counts each line.  Repeated ids and null ids are rows of their own.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,8 +24,8 @@ from pyspark.sql import functions as F
 
 from flowforge.llm.license_registry import DIGESTS, sentences
 
-#: A registry of more rows is joined by shuffling instead.
-BROADCAST_ROWS = 100_000
+#: A registry of more digests is joined by shuffling instead.
+BROADCAST_ROWS = 20_000
 
 # FIXED VALUES: equivalent spellings (from, to), applied after punctuation is gone.
 SPELLINGS = (
@@ -72,7 +75,7 @@ Permission is granted to anyone to use this software for any purpose, including
 3. This notice may not be removed or altered from any source distribution.""",
 }
 
-#: (license, text) rows of the oracle SQL.
+#: (license, text) rows of whole short texts and of the notices above.
 KNOWN = tuple([*NOTICES.items(), *TEXTS.items()])
 
 # FIXED VALUES: title lines that stand above the texts.
@@ -120,9 +123,13 @@ COPYRIGHT_LINE = (r"(?m)^[^A-Za-z0-9\n]*?(?:(?i:copyright)[^A-Za-z0-9\n]*(?:\((?
 
 
 def _plain(text: Column) -> Column:
-    """Lower-case letters, digits, spaces and line breaks, without copyright statements."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT_LINE, "")
-    return F.regexp_replace(F.translate(t, UPPER, LOWER), r"[^a-z0-9\n]+", " ")
+    """Lower-case letters, digits, spaces and line breaks, without copyright
+    statements (looked for only in texts that hold a word or sign of one)."""
+    t = F.coalesce(text, F.lit(""))
+    low = F.translate(t, UPPER, LOWER)
+    hint = F.contains(low, F.lit("copyright")) | F.contains(low, F.lit("(c)")) | F.contains(low, F.lit("\u00a9")) | F.contains(low, F.lit("reserved"))
+    low = F.when(hint, F.translate(F.regexp_replace(t, COPYRIGHT_LINE, ""), UPPER, LOWER)).otherwise(low)
+    return F.regexp_replace(low, r"[^a-z0-9\n]+", " ")
 
 
 def _spelled(t: Column) -> Column:
@@ -131,14 +138,22 @@ def _spelled(t: Column) -> Column:
     return t
 
 
+def _lines(plain: Column) -> Column:
+    return F.filter(F.transform(F.split(_spelled(plain), "\n"), lambda s: F.trim(s)), lambda s: s != "")
+
+
+def _one_line(plain: Column) -> Column:
+    return _spelled(F.trim(F.regexp_replace(plain, r"[ \n]+", " ")))
+
+
 def normal_lines(text: Column) -> Column:
     """The normalised, non-empty lines of ``text`` as an array."""
-    return F.filter(F.transform(F.split(_spelled(_plain(text)), "\n"), lambda s: F.trim(s)), lambda s: s != "")
+    return _lines(_plain(text))
 
 
 def normal_text(text: Column) -> Column:
     """The normalised text as one line: spellings of two words are found across line breaks."""
-    return _spelled(F.trim(F.regexp_replace(_plain(text), r"[ \n]+", " ")))
+    return _one_line(_plain(text))
 
 
 def known_digests(spark: SparkSession, known=REGISTRY) -> DataFrame:
@@ -151,51 +166,87 @@ def known_digests(spark: SparkSession, known=REGISTRY) -> DataFrame:
     return digests.groupBy("digest").agg(F.min("license").alias("license"))
 
 
+def _line_hits(rows: DataFrame, digests: DataFrame) -> DataFrame:
+    """``rows`` with found: the licenses of their lines, an entry for each line; the
+    digests are a hash set and a table within the expression."""
+    known = {r["digest"]: r["license"] for r in digests.collect()}
+    if not known:
+        return rows.withColumn("found", F.array().cast("array<string>")).drop("lines")
+    members = ", ".join(f"'{d}'" for d in known)  # hexadecimal digits
+    names = F.from_json(F.lit(json.dumps(known)), "map<string,string>")
+    hits = F.expr(f"filter(transform(lines, x -> sha2(x, 256)), d -> d IN ({members}))")
+    return rows.withColumn("hits", hits).withColumn("found", F.transform("hits", lambda d: F.element_at(names, d))).drop("hits", "lines")
+
+
+def _line_hits_by_join(rows: DataFrame, digests: DataFrame) -> DataFrame:
+    """The same for any number of digests: lines are exploded and joined.  Equal
+    rows share a key, so each line number counts once."""
+    keyed = rows.withColumn("key", F.sha2(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull().cast("string"), "lines"), 256))
+    units = keyed.select("key", F.posexplode("lines").alias("at", "line")).select("key", "at", F.sha2("line", 256).alias("digest"))
+    found = units.join(digests, "digest").select("key", "at", "license").distinct().groupBy("key").agg(F.collect_list("license").alias("found"))
+    joined = keyed.drop("lines").join(found, "key", "left")
+    return joined.withColumn("found", F.coalesce("found", F.array().cast("array<string>"))).drop("key")
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known=REGISTRY) -> DataFrame:
     """One row per document: doc_id, text_digest (of the whole normalised text),
     whole_license, notice_lines (how many lines are known texts), licenses
     (sorted names, joined by commas; null if none)."""
     digests = known_digests(docs.sparkSession, known)
-    small = not isinstance(known, DataFrame) or known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    side = F.broadcast(digests) if small else digests
-    base = (docs.select(F.col(id_col).alias("doc_id"), normal_text(F.col(text_col)).alias("whole"))
-            .select("doc_id", F.sha2("whole", 256).alias("text_digest"), (F.col("whole") != "").alias("any")))
-    units = (docs.select(F.col(id_col).alias("doc_id"), F.explode(normal_lines(F.col(text_col))).alias("line"))
-             .select("doc_id", F.sha2("line", 256).alias("digest")))
-    notices = (units.join(side, "digest").groupBy("doc_id")
-               .agg(F.count("*").alias("hits"), F.array_sort(F.collect_set("license")).alias("found")))
-    entire = side.select(F.col("digest").alias("text_digest"), F.col("license").alias("whole_license"))
-    entire = F.broadcast(entire) if small else entire
-    rows = base.join(entire, "text_digest", "left").withColumn("whole_license", F.when(F.col("any"), F.col("whole_license")))
-    both = rows.join(notices.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
-    every = F.array_sort(F.array_distinct(F.concat(
-        F.coalesce("found", F.array().cast("array<string>")),
-        F.when(F.col("whole_license").isNotNull(), F.array("whole_license")).otherwise(F.array().cast("array<string>")))))
-    return both.select("doc_id", "text_digest", "whole_license", F.coalesce("hits", F.lit(0)).alias("notice_lines"),
+    small = not isinstance(known, DataFrame) or digests.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    plain = docs.select(F.col(id_col).alias("doc_id"), _plain(F.col(text_col)).alias("plain"))
+    rows = plain.select("doc_id", _one_line(F.col("plain")).alias("whole"), _lines(F.col("plain")).alias("lines"))
+    rows = rows.select("doc_id", F.sha2("whole", 256).alias("text_digest"), (F.col("whole") != "").alias("any"), "lines")
+    entire = digests.select(F.col("digest").alias("text_digest"), F.col("license").alias("whole_license"))
+    rows = (_line_hits if small else _line_hits_by_join)(rows, digests)
+    rows = rows.join(F.broadcast(entire) if small else entire, "text_digest", "left")
+    whole = F.when(F.col("any"), F.col("whole_license"))
+    every = F.array_sort(F.array_distinct(F.concat("found", F.when(whole.isNotNull(), F.array(whole)).otherwise(F.array().cast("array<string>")))))
+    return rows.select("doc_id", "text_digest", whole.alias("whole_license"), F.size("found").cast("long").alias("notice_lines"),
                        F.when(F.size(every) > 0, F.array_join(every, ",")).alias("licenses"))
 
 
-def sql() -> str:
-    """DuckDB SQL for ``scan`` with the table ``KNOWN``, for texts without other licenses."""
+def is_statement_sql(line: str) -> str:
+    """DuckDB condition: whether a line is a copyright statement."""
+    body = BODY_WORDS.replace("(?:", "(")
+    start = "^[^A-Za-z0-9]*"
+
+    def like(pattern: str) -> str:
+        return f"regexp_matches({line}, '{start}{pattern}')"
+
+    gap, goes_on = r"[:\t ]+", rf"(?i:{body})\b"
+    holder = [f"({like(word + gap + letter)} AND NOT {like(word + gap + goes_on)})"
+              for word, letter in (("Copyright", "[A-Za-z]"), ("COPYRIGHT", "[A-Z]"))]
+    return "(" + " OR ".join([
+        like(r"(?i:copyright)[^A-Za-z0-9]*(\((?i:c)\)|\x{a9}|(19|20)[0-9]{2}\b|(?i:by)\b|[\[<{(](?i:year|yyyy|date)s?[\]>})])"),
+        *holder, like(r"(\((?i:c)\)|\x{a9})[^A-Za-z0-9]*(19|20)[0-9]{2}\b"), like(r"\x{a9}"),
+        like(r"(?i:all rights reserved)([^A-Za-z0-9]*| by .*)$")]) + ")"
+
+
+def sql(source: str = "documents") -> str:
+    """DuckDB SQL for ``scan`` of the rows (doc_id, text) of ``source``."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    known = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in KNOWN)
+    known = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in REGISTRY)
+    digests = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in DIGESTS)
 
-    def lines(text: str) -> str:
-        t = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-        t = rf"regexp_replace({t}, '(?m)^[^a-z0-9\n]*(copyright|\(c\)|all rights reserved)[^\n]*$', '', 'g')"
-        t = rf"regexp_replace({t}, '[^a-z0-9\n]+', ' ', 'g')"
+    def spelled(t: str) -> str:
         for old, new in SPELLINGS:
             t = f"replace({t}, '{old}', '{new}')"
-        return f"list_filter(list_transform(string_split({t}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+        return t
 
+    plain = (f"regexp_replace(translate(array_to_string(list_transform(string_split(coalesce(t, ''), chr(10)), "
+             f"lambda x: CASE WHEN {is_statement_sql('x')} THEN '' ELSE x END), chr(10)), '{UPPER}', '{LOWER}'), '[^a-z0-9\n]+', ' ', 'g')")
+    whole = spelled("trim(regexp_replace(p, '[ \n]+', ' ', 'g'))")
+    lines = f"list_filter(list_transform(string_split({spelled('p')}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
     return f"""
-WITH known AS (SELECT sha256(array_to_string({lines('t')}, ' ')) AS digest, min(l) AS license FROM (VALUES {known}) AS k(l, t) GROUP BY 1),
-d AS (SELECT doc_id, {lines('text')} AS lines FROM documents),
-u AS (SELECT doc_id, sha256(line) AS digest FROM (SELECT doc_id, unnest(lines) AS line FROM d)),
-n AS (SELECT doc_id, count(*) AS hits, list(DISTINCT license) AS found FROM u JOIN known USING (digest) GROUP BY doc_id),
-w AS (SELECT doc_id, coalesce(sha256(array_to_string(lines, ' ')), sha256('')) AS text_digest, len(lines) AS n_lines FROM d),
-j AS (SELECT w.doc_id, text_digest, CASE WHEN n_lines > 0 THEN license END AS whole_license, hits, found
-      FROM w LEFT JOIN known ON w.text_digest = known.digest LEFT JOIN n ON w.doc_id = n.doc_id),
+WITH k AS (SELECT l, {plain} AS p FROM (VALUES {known}) AS k(l, t)),
+known AS (SELECT digest, min(l) AS license FROM (SELECT l, sha256({whole}) AS digest FROM k WHERE {whole} <> '' UNION ALL SELECT * FROM (VALUES {digests}) AS g(l, digest)) GROUP BY digest),
+p AS (SELECT row_number() OVER () AS r, doc_id, {plain} AS p FROM (SELECT doc_id, text AS t FROM {source})),
+d AS (SELECT r, doc_id, {whole} AS whole, {lines} AS lines FROM p),
+u AS (SELECT r, sha256(line) AS digest FROM (SELECT r, unnest(lines) AS line FROM d)),
+n AS (SELECT r, count(*) AS hits, list(DISTINCT license) AS found FROM u JOIN known USING (digest) GROUP BY r),
+j AS (SELECT d.doc_id, sha256(whole) AS text_digest, CASE WHEN whole <> '' THEN license END AS whole_license, hits, found
+      FROM d LEFT JOIN known ON sha256(whole) = known.digest LEFT JOIN n ON d.r = n.r),
 e AS (SELECT *, list_sort(list_distinct(list_concat(coalesce(found, []), CASE WHEN whole_license IS NULL THEN [] ELSE [whole_license] END))) AS every FROM j)
 SELECT doc_id, text_digest, whole_license, coalesce(hits, 0) AS notice_lines,
        CASE WHEN len(every) > 0 THEN array_to_string(every, ',') END AS licenses FROM e

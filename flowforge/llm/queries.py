@@ -78,6 +78,23 @@ def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+#: Lines appended to every document, by doc_id modulo their number.
+LICENSE_LINES = ("SPDX-License-Identifier: GPL-3.0-or-later", "copyright notice and more", "Copyright (c) 2020 Somebody", "Released under the 3-clause BSD licence.",
+                 "sub\nlicense", "All rights reserved.", "Licensed under the MIT License", "\u00a9 2021 A", "Copyright ACME Inc.", "COPYRIGHT HOLDERS BE LIABLE")
+
+
+def license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 10 on whole documents with notices, tags, copyright statements and
+    lines that only look like them added."""
+    prepare(spark)
+    more = F.element_at(F.array(*map(F.lit, LICENSE_LINES)), (F.col("doc_id") % len(LICENSE_LINES) + 1).cast("int"))
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", "text", more).alias("text")))
+
+
+_LICENSE_SOURCE = ("(SELECT doc_id, concat_ws(chr(10), text, replace(([" + ", ".join("'" + x.replace("\n", "|") + "'" for x in LICENSE_LINES)
+                   + f"])[doc_id % {len(LICENSE_LINES)} + 1], '|', chr(10))) AS text FROM documents)")
+
+
 def op11_cholesky_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
@@ -158,6 +175,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bottom_k_near_dups": op8_bottom_k_near_dups,
         "op9_path_templates": op9_path_templates,
         "op10_license_digests": op10_license_digests,
+        "license_notices": license_notices,
         "op11_cholesky_whitening": op11_cholesky_whitening,
         "op12_pointer_alignment": op12_pointer_alignment,
         "op13_two_stage_suffixes": op13_two_stage_suffixes,
@@ -166,4 +184,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_content_sort": OP2_SQL, "op4_norm_sorted_search": topk.SQL, "op7_suffix_subtrees": OP7_SQL,
-            "op8_bottom_k_near_dups": OP8_SQL, "op9_path_templates": url_templates.sql(), "op10_license_digests": licenses.sql(), "op13_two_stage_suffixes": OP13_SQL}
+            "op8_bottom_k_near_dups": OP8_SQL, "op9_path_templates": url_templates.sql(), "op10_license_digests": licenses.sql(), "license_notices": licenses.sql(_LICENSE_SOURCE), "op13_two_stage_suffixes": OP13_SQL}

@@ -150,6 +150,20 @@ def test_licenses(spark):
     assert {r.doc_id for r in licenses.scan(clashing(spark, awkward_rows()), known=own).collect() if r.whole_license == "X"} == {10, 11}
 
 
+def test_license_lines_count_within_their_row(spark):
+    line = "Released under the MIT License."
+    rows = [(1, "a\n" + line), (1, "a\n" + line), (1, line + "\n" + line + "\nb"), (None, line), (None, "c\n" + line), (2, "none")]
+    docs = clashing(spark, rows)
+    want = sorted([("1", 1), ("1", 1), ("1", 2), ("None", 1), ("None", 1), ("2", 0)])
+    assert sorted((str(r.doc_id), r.notice_lines) for r in licenses.scan(docs).collect()) == want
+    known = spark.createDataFrame([("MIT", line)] + [(f"L{i}", f"text {i}") for i in range(30)], "license string, text string")
+    try:
+        licenses.BROADCAST_ROWS, limit = 5, licenses.BROADCAST_ROWS
+        assert sorted((str(r.doc_id), r.notice_lines) for r in licenses.scan(docs, known=known).collect()) == want
+    finally:
+        licenses.BROADCAST_ROWS = limit
+
+
 def test_license_texts_in_any_wrapping_and_under_any_title(spark):
     import textwrap
     rows, want = [], []
