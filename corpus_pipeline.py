@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowforge.llm import content_sort, near_dups, packing, substring_dedup, toxicity
-from flowforge.llm.common import prepare, written
+from flowforge.llm.common import prepare
 from flowforge.llm.queries import tokenizer_path
-from flowforge.session import table
+from flowforge.session import remove_folder, scratch_path, scratch_scope, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,8 +66,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage wrote is deleted when the next one is written."""
     prepare(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = scratch_path(spark, f"pipeline-{name}")
+        with scratch_scope(spark):
+            result = stage(spark, docs, sf_dir)
+            schema = result.schema
+            result.write.parquet(path)
+        docs = spark.read.schema(schema).parquet(path)
+        if before:
+            remove_folder(spark, before)
+        before = path
     return docs

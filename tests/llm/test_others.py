@@ -263,3 +263,14 @@ def test_pipeline_stages_take_awkward_tables(spark):
             assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString(), name
             assert (out.count() > 0) == bool(rows)
         p.STAGES[-1][1](spark, docs, SF).count()
+
+
+def test_the_pipeline_leaves_only_its_result(spark):
+    import os
+    import corpus_pipeline as p
+    from flowforge.session import ensure_checkpoint_dir
+    base = os.path.join(ensure_checkpoint_dir(spark).removeprefix("file:"), "scratch")
+    before = set(os.listdir(base)) if os.path.isdir(base) else set()
+    out = p.run(spark, SMALL)
+    assert out.count() > 0
+    assert [f.rsplit("-", 1)[0] for f in set(os.listdir(base)) - before] == ["pipeline-packing"]
