@@ -121,6 +121,22 @@ def test_class_weights_and_gate(spark):
     assert sampling.class_count_map(df, "y") == {0: 7, 1: 3}
 
 
+def test_encoding_by_tables_and_by_join_agree(spark, monkeypatch):
+    rows = [(x, y) for x in ("b", "a", None, "nan", "é", "", "7") for y in ("p", None, None, None)] + [(None, None)] * 20
+    df = spark.createDataFrame(rows, "x string, `y.z` string")
+    fit = df.filter("x is null or x <> 'é'")
+    found = []
+    for limit in (64, 4, 0):
+        monkeypatch.setattr(encoding, "MAP_ENTRIES", limit)
+        out = encoding.encode_categoricals(df, ["x", "y.z"], fit_on=fit)
+        assert out.columns == ["x", "y.z"]
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == {64: 0, 4: 1, 0: 2}[limit]
+        found.append(sorted(map(tuple, out.collect())))
+    assert found[0] == found[1] == found[2]
+    assert {r[0] for r in found[0]} == {0, 1, 2, 3, 4, 5} and {r[1] for r in found[0]} == {0, 1}  # 5: unseen
+
+
 def test_encoding_is_a_code_point_bijection(spark):
     vals = ["b", "_", "a", None, "é", "B", "a"]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id int, c string")
