@@ -81,6 +81,11 @@ def _hits(grid: DataFrame, catalogue: DataFrame, name_col: str, path_col: str, *
         "attack", "extractor", "_c_path", *more)
 
 
+def matches(grid: DataFrame, catalogue: DataFrame, name_col: str = "file_name", path_col: str = "path") -> DataFrame:
+    """``extractor, attack, n``: how many files match each scenario."""
+    return _hits(grid, catalogue, name_col, path_col).groupBy("extractor", "attack").agg(F.countDistinct("_c_path").alias("n"))
+
+
 def pair_train_test(grid: DataFrame, catalogue: DataFrame,
                     day_col: str = "day", name_col: str = "file_name",
                     path_col: str = "path", train_day: str = TRAIN_DAY,

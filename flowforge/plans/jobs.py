@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -258,6 +260,47 @@ def _read_one(spark: SparkSession, path: str, fmt: str = "csv",
     return read_header_csv(spark, [path], raw) if raw else None
 
 
+#: Scenarios that are fitted at the same time.
+SCENARIOS_AT_ONCE = 4
+
+
+def _scenario(spark: SparkSession, p, fmt: str, by_dir: bool, max_train_rows: int | None,
+              per_dataset: bool) -> tuple[tuple | None, tuple | None, tuple | None]:
+    """(metrics row, ranking row, skipped row) of one scenario."""
+    scen = (p["extractor"], p["attack"])
+    train_raw = _read_one(spark, p["train_path"], fmt, by_dir)
+    bound = max_train_rows if p["strategy"] == "Real" else None
+    prep = prepare_training_set(train_raw, bound) if train_raw else None
+    counts = sampling.class_count_map(prep.data, "target") if prep else {}
+    if len(counts) < 2:
+        return None, None, (*scen, "invalid training data or fewer than 2 classes")
+    if p["strategy"] == "Real":
+        rows = prep.data
+        test_raw = _read_one(spark, p["test_path"], fmt, by_dir)
+        # the test set is read once (predict + score): no materialisation
+        shared = {} if per_dataset else {"dictionary": prep.dictionary, "kinds": prep.kinds}
+        tprep = prepare_training_set(test_raw, materialize=False, keyed=False, **shared) if test_raw else None
+        if tprep is None:
+            return None, None, (*scen, "invalid test data")
+        test = align(tprep.data, prep.features + ["target"])
+    else:
+        if min(counts.values()) < 2:
+            # a stratified split cannot place a one-member class on both sides
+            return None, None, (*scen, "a class has a single member")
+        split = sampling.stratified_split(prep.data, "target", "_rowkey")
+        rows = split.filter(~F.col("is_test"))
+        rows = sampling.hash_sample(rows, sampling.training_rate(sum(counts.values()), max_train_rows),
+                                    ["_rowkey"], seed="fit")
+        test = split.filter(F.col("is_test"))
+    train = model.laid_out(sampling.class_weights(rows, "target"), sum(counts.values()), "_rowkey")
+    forest = model.fit_forest(model.assemble(train, prep.features))
+    preds = model.predict(forest, model.assemble(test, prep.features))
+    s = scoring.weighted_scores(scoring.confusion(preds)).first()
+    top = model.top_features(model.importances(spark, forest, prep.features)).first()
+    return ((p["extractor"], p["attack"], s["f1_score"], s["precision"], s["recall"], p["strategy"]),
+            (p["extractor"], p["attack"], p["strategy"], top["top_features"]), None)
+
+
 def extractor_benchmark(spark: SparkSession, processed_root: str,
                         attacks: Sequence[str] = ATTACK_KEYWORDS,
                         extractors: Sequence[str] = EXTRACTORS,
@@ -278,7 +321,8 @@ def extractor_benchmark(spark: SparkSession, processed_root: str,
     are all scored.  ``per_dataset`` types and encodes the test set by itself,
     as the original does; by default the training set's dictionary holds.
 
-    Returns (metrics, feature rankings, skipped scenarios)."""
+    Returns (metrics, feature rankings, skipped: scenarios that gave no result, and
+    how many further inputs matched a scenario but were not read)."""
     cat = catalogue(spark, processed_root, glob="*.parquet" if fmt == "parquet" else "*.csv",
                     exclude_contains=("semlabel",))
     by_dir = match_on == "attack"
@@ -289,44 +333,22 @@ def extractor_benchmark(spark: SparkSession, processed_root: str,
                        "extractor", "day", "length"))
     grid = matching.scenario_grid(spark, attacks, extractors)
     pairs = matching.pair_train_test(grid, cat).orderBy("a_ord", "e_ord").collect()  # <= 36 scenario rows
-    metrics, rankings, skipped = [], [], []
+    found = {(r["extractor"], r["attack"]): r["n"] for r in matching.matches(grid, cat).collect()}  # <= 36 rows
+    skipped = []
     for p in pairs:
-        scen = (p["extractor"], p["attack"])
-        train_raw = _read_one(spark, p["train_path"], fmt, by_dir)
-        bound = max_train_rows if p["strategy"] == "Real" else None
-        prep = prepare_training_set(train_raw, bound) if train_raw else None
-        counts = sampling.class_count_map(prep.data, "target") if prep else {}
-        if len(counts) < 2:
-            skipped.append((*scen, "invalid training data or fewer than 2 classes"))
-            continue
-        if p["strategy"] == "Real":
-            rows = prep.data
-            test_raw = _read_one(spark, p["test_path"], fmt, by_dir)
-            # the test set is read once (predict + score): no materialisation
-            shared = {} if per_dataset else {"dictionary": prep.dictionary, "kinds": prep.kinds}
-            tprep = prepare_training_set(test_raw, materialize=False, keyed=False, **shared) if test_raw else None
-            if tprep is None:
-                skipped.append((*scen, "invalid test data"))
-                continue
-            test = align(tprep.data, prep.features + ["target"])
-        else:
-            if min(counts.values()) < 2:
-                # a stratified split cannot place a one-member class on both sides
-                skipped.append((*scen, "a class has a single member"))
-                continue
-            split = sampling.stratified_split(prep.data, "target", "_rowkey")
-            rows = split.filter(~F.col("is_test"))
-            rows = sampling.hash_sample(rows, sampling.training_rate(sum(counts.values()), max_train_rows),
-                                        ["_rowkey"], seed="fit")
-            test = split.filter(F.col("is_test"))
-        train = model.laid_out(sampling.class_weights(rows, "target"), sum(counts.values()), "_rowkey")
-        forest = model.fit_forest(model.assemble(train, prep.features))
-        preds = model.predict(forest, model.assemble(test, prep.features))
-        s = scoring.weighted_scores(scoring.confusion(preds)).first()
-        metrics.append((p["extractor"], p["attack"], s["f1_score"], s["precision"],
-                        s["recall"], p["strategy"]))
-        top = model.top_features(model.importances(spark, forest, prep.features)).first()
-        rankings.append((p["extractor"], p["attack"], p["strategy"], top["top_features"]))
+        more = found[p["extractor"], p["attack"]] - 1 - (p["strategy"] == "Real")
+        if more:
+            skipped.append((p["extractor"], p["attack"], f"{more} further matching inputs not read"))
+
+    def scenario(p) -> tuple:
+        return _scenario(spark, p, fmt, by_dir, max_train_rows, per_dataset)
+
+    # A scenario's steps are many small jobs: several scenarios share the cluster.
+    with ThreadPoolExecutor(max_workers=max(1, min(len(pairs), SCENARIOS_AT_ONCE))) as pool:
+        done = list(pool.map(inheritable_thread_target(spark)(scenario), pairs))
+    metrics = [m for m, _, _ in done if m]
+    rankings = [r for _, r, _ in done if r]
+    skipped += [s for _, _, s in done if s]
     mdf = spark.createDataFrame(metrics, "Extractor string, Attack string, `F1-Score` double, "
                                          "Precision double, Recall double, Strategy string")
     rdf = spark.createDataFrame(rankings, "Extractor string, Attack string, Strategy string, "
