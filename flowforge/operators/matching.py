@@ -114,13 +114,13 @@ def pair_train_test(grid: DataFrame, catalogue: DataFrame,
 
 def union_fragments(frames: Sequence[DataFrame], strict: bool = False) -> DataFrame:
     """Union by column name; columns missing from a fragment are
-    null.  ``strict`` raises when the fragments' columns differ."""
+    null.  ``strict`` raises when the fragments' columns or their order differ."""
     if not frames:
         raise ValueError("no fragments to union")
     if strict:
         first = list(frames[0].columns)
         for f in frames[1:]:
-            if sorted(f.columns) != sorted(first):
+            if list(f.columns) != first:
                 raise ValueError(f"fragment columns differ: {f.columns} vs {first}")
     out = frames[0]
     for f in frames[1:]:

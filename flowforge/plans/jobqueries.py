@@ -303,6 +303,26 @@ v AS (SELECT *, 'benchmark_detailed' AS report FROM d UNION ALL SELECT *, 'bench
 SELECT v.*, (SELECT count(*) FROM runs WHERE kind = 3) AS broken_logs, (SELECT count(*) FROM runs WHERE kind = 2) AS short_samples FROM v"""
 
 
+def q_fragment_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of consolidated fragments by rank of the fragment and place in it;
+    fragments with two column orders, and numbers that do not sort as names do."""
+    li = table(spark, sf, "lineitem")
+    turned = F.col("l_linenumber") % 2 == 0
+    path = F.concat(F.lit("CIC_RAW/01-12/Syn_"), "l_returnflag", F.lit("/frag_"), (F.col("l_linenumber") * 3).cast("string"), F.lit(".csv")).alias("path")
+    rows = li.select(path, (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"),
+                     F.when(turned, F.concat_ws(",", "l_orderkey", "l_linenumber")).otherwise(F.concat_ws(",", "l_linenumber", "l_orderkey")).alias("line"))
+    heads = li.select(path, F.lit(-1).cast("bigint").alias("ord"), F.when(turned, "okey,line").otherwise("line,okey").alias("line")).distinct()
+    root = support.write_lines(rows.unionByName(heads), scratch_path(spark, "ordered"))
+    merged = jobs.consolidate_fragments(spark, root, ordered=True)
+    return merged.select("attack", "file_name", F.col("_file_seq").alias("file_seq"), F.col("_row_seq").alias("row_seq"), "okey", "line")
+
+
+_FRAGMENT_ORDER_SQL = """
+WITH f AS (SELECT 'Syn_' || l_returnflag AS attack, 'frag_' || (l_linenumber * 3) || '.csv' AS file_name, l_orderkey * 8 + l_linenumber AS ord,
+                  CAST(l_orderkey AS VARCHAR) AS okey, CAST(l_linenumber AS VARCHAR) AS line FROM lineitem)
+SELECT attack, file_name, dense_rank() OVER (PARTITION BY attack ORDER BY file_name) AS file_seq,
+       row_number() OVER (PARTITION BY attack, file_name ORDER BY ord) AS row_seq, okey, line FROM f"""
+
 _LONG = "l_quantity > 40"
 
 
@@ -361,7 +381,7 @@ def queries() -> dict:
     return {"extractor_report": q_extractor_report, "f1_view": q_f1_view, "class_gate": q_class_gate,
             "capture_directories": q_capture_directories, "importance_report": q_importance_report,
             "prepare_training": q_prepare_training, "consolidate_fragments": q_consolidate_fragments,
-            "run_report": q_run_report, "label_rejects": q_label_rejects,
+            "run_report": q_run_report, "fragment_order": q_fragment_order, "label_rejects": q_label_rejects,
             "tolerant_scan": q_tolerant_scan, "rejected_rows": q_rejected_rows, "training_sample": q_training_sample,
             "attacker_join": q_attacker_join, "run_log_rows": q_run_log_rows}
 
@@ -371,6 +391,6 @@ def oracle_sql() -> dict[str, str]:
     return {"extractor_report": _REPORT_SQL, "f1_view": _SCENARIO_SQL, "class_gate": _GATE_SQL,
             "capture_directories": _DIRECTORIES_SQL, "importance_report": _IMPORTANCE_SQL,
             "prepare_training": _PREPARE_SQL, "consolidate_fragments": _FRAGMENTS_SQL,
-            "run_report": _report_sql(), "label_rejects": _LABEL_REJECTS_SQL,
+            "run_report": _report_sql(), "fragment_order": _FRAGMENT_ORDER_SQL, "label_rejects": _LABEL_REJECTS_SQL,
             "tolerant_scan": _TOLERANT_SQL, "rejected_rows": _REJECTED_SQL, "training_sample": _SAMPLE_SQL,
             "attacker_join": _ATTACKER_SQL, "run_log_rows": _RUN_LOG_SQL}

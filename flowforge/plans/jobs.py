@@ -13,7 +13,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean
@@ -23,7 +23,7 @@ from ..functions.columns import (align, binary_target, canonical_dns, feature_co
 from ..functions.schema import (ATTACK_KEYWORDS, B_SOURCE_POSITION, C_META_COLUMNS,
                                 DEFAULT_ATTACKER, EXTRACTORS, F1_VIEW_TARGETS,
                                 HEAD_TO_HEAD, MASTER_HEADER, NA_TOKENS, PACKET_BATCH)
-from ..operators import encoding, matching, model, sampling, scoring, stats
+from ..operators import encoding, matching, model, ranking, sampling, scoring, stats
 from ..session import cut_lineage, qualify
 from ..sinks import writers
 from ..sources import pcap
@@ -78,17 +78,28 @@ def packet_batches(spark: SparkSession, root: str, batch_rows: int = PACKET_BATC
 # --- B2 consolidation ------------------------------------------------------------
 
 def consolidate_fragments(spark: SparkSession, root: str, out: str | None = None,
-                          strict: bool = False) -> DataFrame | None:
+                          strict: bool = False, ordered: bool = False) -> DataFrame | None:
     """B2: every CSV fragment under ``root`` (side files excluded) as one
-    table per attack directory; columns matched by name (U1)."""
+    table per attack directory; columns matched by name (U1).
+
+    ``ordered`` adds ``_file_seq`` (the fragment's rank by path within its directory,
+    from 1; W6) and ``_row_seq`` (the row's place in its fragment, from 1): sorted by
+    both, an attack's rows are in the order of its fragments laid end to end,
+    however the files were split.  ``strict`` raises unless all fragments have the
+    same columns in the same order."""
     cat = catalogue(spark, root, exclude_prefixes=("monitor_", "benchmark_"))
     # an earlier result that lies beside its fragments is no fragment
     cat = cat.filter(F.lower("file_name") != F.lower(F.concat("attack", F.lit(".csv"))))
-    frames = [read_header_csv(spark, paths, list(raw)) for raw, paths in header_groups(cat)]
+    frames = [read_header_csv(spark, paths, list(raw), ordered=ordered) for raw, paths in header_groups(cat)]
     if not frames:
         return None
     merged = attach_path_meta(matching.union_fragments(frames, strict=strict),
                               qualify(spark, root))
+    if ordered:
+        rank = F.row_number().over(Window.partitionBy("parent_dir").orderBy("path"))  # one row per file
+        files = cat.select(F.col("path").alias("_path"), rank.alias("_file_seq"))
+        merged = ranking.exact_row_number(merged, ["_block", "_place"], ["source_file"], out="_row_seq").drop("_block", "_place")
+        merged = merged.join(files, F.col("source_file") == F.col("_path"), "left").drop("_path")
     if out:
         writers.write_consolidated(merged.drop("file_name", "day", "extractor"), out)
     return merged
