@@ -9,10 +9,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -271,10 +269,6 @@ def _read_one(spark: SparkSession, path: str, fmt: str = "csv",
     return read_header_csv(spark, [path], raw) if raw else None
 
 
-#: Scenarios that are fitted at the same time.
-SCENARIOS_AT_ONCE = 4
-
-
 def _scenario(spark: SparkSession, p, fmt: str, by_dir: bool, max_train_rows: int | None,
               per_dataset: bool) -> tuple[tuple | None, tuple | None, tuple | None]:
     """(metrics row, ranking row, skipped row) of one scenario."""
@@ -351,12 +345,7 @@ def extractor_benchmark(spark: SparkSession, processed_root: str,
         if more:
             skipped.append((p["extractor"], p["attack"], f"{more} further matching inputs not read"))
 
-    def scenario(p) -> tuple:
-        return _scenario(spark, p, fmt, by_dir, max_train_rows, per_dataset)
-
-    # A scenario's steps are many small jobs: several scenarios share the cluster.
-    with ThreadPoolExecutor(max_workers=max(1, min(len(pairs), SCENARIOS_AT_ONCE))) as pool:
-        done = list(pool.map(inheritable_thread_target(spark)(scenario), pairs))
+    done = [_scenario(spark, p, fmt, by_dir, max_train_rows, per_dataset) for p in pairs]
     metrics = [m for m, _, _ in done if m]
     rankings = [r for _, r, _ in done if r]
     skipped += [s for _, _, s in done if s]
