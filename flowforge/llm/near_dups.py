@@ -22,9 +22,10 @@
    be linked at all: with the group's shingles ordered by how rare they are in the
    group, two sets above the threshold share one of the first
    ``n - ceil(threshold * n) + 1`` of either.  A passage that all members share is
-   in no prefix, so documents that share just that give no pairs.  Members of one
-   prefix shingle are first paired with the smallest of them, which settles groups
-   of copies; what is still apart is paired in full and verified on whole sets.
+   in no prefix, so documents that share just that give no pairs.  Where prefixes
+   meet often, members of one prefix shingle are first paired with the smallest of
+   them, which settles groups of copies; what is still apart is paired in full and
+   verified on whole sets.
    So no link between lists' members is lost, and no task holds a whole group.
 
 Defined results: null and empty texts have the empty set, linked with nothing;
@@ -274,15 +275,24 @@ def _unsettled(long_lists: DataFrame, links: DataFrame, labels: DataFrame, texts
     if not sizes.limit(1).count():
         return labels
     rows = groups.join(sizes, "center")
-    links = written(links.union(_blocks(rows.filter(F.col("m") <= GROUP), texts, words, num, den)), "near-links")
-    labels = written(components(links), "near-labels")
-    large = rows.filter(F.col("m") > GROUP)
-    if not large.limit(1).count():
+
+    def joined(found: DataFrame) -> None:
+        nonlocal links, labels
+        found = written(found, "near-links")
+        if found.limit(1).count():
+            links = links.union(found)
+            labels = written(components(links), "near-labels")
+
+    if sizes.filter(F.col("m") <= GROUP).limit(1).count():
+        joined(_blocks(rows.filter(F.col("m") <= GROUP), texts, words, num, den))
+    if not sizes.filter(F.col("m") > GROUP).limit(1).count():
         return labels
-    postings = written(prefixes(large, texts, words, num, den), "near-prefixes")
-    for stars in (True, False):
-        links = written(links.union(verified(_pairs(postings, labels, num, den, stars), texts, words, num, den)), "near-links")
-        labels = written(components(links), "near-labels")
+    postings = written(prefixes(rows.filter(F.col("m") > GROUP), texts, words, num, den), "near-prefixes")
+    lists = postings.groupBy("center", "shingle").agg(F.count("*").alias("m"), F.sum(F.col("apart").cast("long")).alias("u"))
+    total = lists.agg(F.sum(F.col("m").cast("double") * F.col("u")).alias("pairs"), F.sum("m").alias("postings")).first()
+    if total["postings"] and total["pairs"] > LIST * total["postings"]:  # groups of copies: settle them by stars first
+        joined(verified(_pairs(postings, labels, num, den, True), texts, words, num, den))
+    joined(verified(_pairs(postings, labels, num, den, False), texts, words, num, den))
     return labels
 
 
