@@ -1,5 +1,6 @@
 """Schema rules, column expressions (P*) and cleaning (T*)."""
 
+import hashlib
 import math
 
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ def test_master_header_rule():
     assert len(MASTER_HEADER) == 272 and len(set(MASTER_HEADER)) == 272
     assert MASTER_HEADER[:7] == ["flow_id", "timestamp", "src_ip", "src_port", "dst_ip",
                                  "dst_port", "protocol"]
+    # all names in their order
+    assert hashlib.sha256("\n".join(MASTER_HEADER).encode()).hexdigest() == "689a0a1e8ed46a386534e0620816831a99812d580c053446d1a689e7641d99dc"
     families = {"delta_len": 81, "payload_bytes": 45, "header_bytes": 42,
                 "percentage_in": 40, "delta_time": 27, "flag_counts": 24, "iat": 15,
                 "bulk": 14, "_rate": 10, "subflow": 4, "active": 4, "idle": 4}
