@@ -19,7 +19,8 @@ The work per task is one pair of blocks; no task holds all queries or vectors.
 
 Defined results: vectors that are null or hold null or non-finite components,
 and rows without id, take no part.  Vectors of unequal length compare as if the
-shorter ended in zeros.  Rows that repeat both id and vector count once; a query
+shorter ended in zeros.  Scores beyond 64 bits stop at the largest or least
+64-bit number.  Rows that repeat both id and vector count once; a query
 never meets a row of its own id.
 """
 
