@@ -15,18 +15,17 @@
    the union, far below the threshold; what is left is verified on whole sets.
 5. Components of the verified links.  Members of long lists that are not in the
    component of their star's centre are then compared with the members around that
-   centre that are in another component.  Up to ``GROUP`` members: block by block,
-   a block holds about ``BLOCK`` sets on either side and counts all intersections
-   at once, returning only verified links.
-6. Around a centre with more members, prefixes of whole sets decide which pairs can
-   be linked at all: with the group's shingles ordered by how rare they are in the
-   group, two sets above the threshold share one of the first
-   ``n - ceil(threshold * n) + 1`` of either.  A passage that all members share is
-   in no prefix, so documents that share just that give no pairs.  Where prefixes
-   meet often, members of one prefix shingle are first paired with the smallest of
-   them, which settles groups of copies; what is still apart is paired in full and
-   verified on whole sets.
-   So no link between lists' members is lost, and no task holds a whole group.
+   centre that are in another component.  Around a centre with more than ``GROUP``
+   members, prefixes of whole sets decide which pairs can be linked at all: with the
+   group's shingles ordered by how rare they are in the group, two sets above the
+   threshold share one of the first ``n - ceil(threshold * n) + 1`` of either.  A
+   passage that all members share is in no prefix, so documents that share just that
+   give no pairs.
+6. Groups of up to ``GROUP`` members, and larger ones whose prefixes meet so often
+   that most members are near copies of each other, are compared block by block: a
+   block holds about ``BLOCK`` sets on either side and counts all intersections at
+   once, returning only verified links.  So no link between lists' members is lost,
+   and no task holds a whole group.
 
 Defined results: null and empty texts have the empty set, linked with nothing;
 null ids are kept and linked with nothing of their own; rows that repeat an id
@@ -253,17 +252,12 @@ def prefixes(members: DataFrame, texts: DataFrame, words: int, num: int, den: in
     return first.filter("x.held > 1").select("center", F.col("x.shingle").alias("shingle"), "rep", "apart", "n")
 
 
-def _pairs(postings: DataFrame, labels: DataFrame, num: int, den: int, stars: bool) -> DataFrame:
+def _pairs(postings: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of members of one prefix shingle in different components, one
-    of them apart from the centre; with ``stars`` only those with the smallest."""
+    of them apart from the centre."""
     rows = _labelled(postings, labels, "rep", "label")
-    if stars:
-        least = postings.groupBy("center", "shingle").agg(F.min(F.struct("rep", "n")).alias("x"))
-        other = _labelled(least.select("center", "shingle", F.col("x.rep").alias("b"), F.col("x.n").alias("nb")), labels, "b", "label_b")
-        rows = rows.select("center", "shingle", F.col("rep").alias("a"), F.col("n").alias("na"), "label")
-    else:
-        other = rows.select("center", "shingle", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("label_b"))
-        rows = rows.filter("apart").select("center", "shingle", F.col("rep").alias("a"), F.col("n").alias("na"), "label")
+    other = rows.select("center", "shingle", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("label_b"))
+    rows = rows.filter("apart").select("center", "shingle", F.col("rep").alias("a"), F.col("n").alias("na"), "label")
     pairs = rows.join(written(other, "near-prefix-sides"), ["center", "shingle"]).filter(
         (F.col("label") != F.col("label_b")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -274,26 +268,19 @@ def _unsettled(long_lists: DataFrame, links: DataFrame, labels: DataFrame, texts
     groups, sizes = _apart(long_lists, labels)
     if not sizes.limit(1).count():
         return labels
-    rows = groups.join(sizes, "center")
-
-    def joined(found: DataFrame) -> None:
-        nonlocal links, labels
-        found = written(found, "near-links")
-        if found.limit(1).count():
-            links = links.union(found)
-            labels = written(components(links), "near-labels")
-
-    if sizes.filter(F.col("m") <= GROUP).limit(1).count():
-        joined(_blocks(rows.filter(F.col("m") <= GROUP), texts, words, num, den))
-    if not sizes.filter(F.col("m") > GROUP).limit(1).count():
-        return labels
-    postings = written(prefixes(rows.filter(F.col("m") > GROUP), texts, words, num, den), "near-prefixes")
-    lists = postings.groupBy("center", "shingle").agg(F.count("*").alias("m"), F.sum(F.col("apart").cast("long")).alias("u"))
-    total = lists.agg(F.sum(F.col("m").cast("double") * F.col("u")).alias("pairs"), F.sum("m").alias("postings")).first()
-    if total["postings"] and total["pairs"] > LIST * total["postings"]:  # groups of copies: settle them by stars first
-        joined(verified(_pairs(postings, labels, num, den, True), texts, words, num, den))
-    joined(verified(_pairs(postings, labels, num, den, False), texts, words, num, den))
-    return labels
+    rows, found = groups.join(sizes, "center"), []
+    blocks = rows.filter(F.col("m") <= GROUP)
+    if sizes.filter(F.col("m") > GROUP).limit(1).count():
+        postings = written(prefixes(rows.filter(F.col("m") > GROUP), texts, words, num, den), "near-prefixes")
+        lists = postings.groupBy("center", "shingle").agg(F.count("*").alias("m"), F.sum(F.col("apart").cast("long")).alias("u"))
+        dense = lists.groupBy("center").agg(F.sum(F.col("m").cast("double") * F.col("u")).alias("pairs"), F.sum("m").alias("postings"))
+        dense = written(dense.filter(F.col("pairs") > LIST * F.col("postings")).select("center"), "near-dense")
+        blocks = blocks.unionByName(rows.filter(F.col("m") > GROUP).join(dense, "center", "left_semi"))
+        found.append(verified(_pairs(postings.join(dense, "center", "left_anti"), labels, num, den), texts, words, num, den))
+    found.append(_blocks(blocks, texts, words, num, den))
+    for more in found:
+        links = links.union(more)
+    return written(components(links), "near-labels")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
