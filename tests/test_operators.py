@@ -3,10 +3,10 @@
 import math
 import random
 
-from pyspark.sql import Window
+from pyspark.sql import Observation, Window
 from pyspark.sql import functions as F
 
-from flowforge.operators import encoding, matching, ranking, sampling, scoring, stats
+from flowforge.operators import encoding, matching, model, ranking, sampling, scoring, stats
 
 
 def _rows(n=700, groups=("a", "b", "c"), seed=7, skew=True):
@@ -286,3 +286,14 @@ def test_rollup_weighted_option(spark):
     assert plain.avg_cpu == 20.0                       # mean of the run means
     assert weighted.avg_cpu == 25.0                    # (10*1 + 30*3) / 4
     assert plain.pps == weighted.pps == 7.5 and plain.max_ram == 300.0
+
+
+def test_a_forest_scores_after_an_observation(spark):
+    seen = Observation()
+    spark.range(4).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 4}
+    rows = spark.range(40).select((F.col("id") % 2).cast("int").alias("target"), (F.col("id") % 2 + F.col("id") / 100).alias("x"))
+    train = model.assemble(rows, ["x"])
+    forest = model.fit_forest(train, weight=None, trees=2, depth=2)
+    pairs = scoring.confusion(model.predict(forest, train)).collect()
+    assert sum(r["n"] for r in pairs) == 40 and all(r["label"] == r["prediction"] for r in pairs)
