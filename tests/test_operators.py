@@ -6,6 +6,7 @@ import random
 from pyspark.sql import Observation, Window
 from pyspark.sql import functions as F
 
+from flowforge import session
 from flowforge.operators import encoding, matching, model, ranking, sampling, scoring, stats
 
 
@@ -297,3 +298,17 @@ def test_a_forest_scores_after_an_observation(spark):
     forest = model.fit_forest(train, weight=None, trees=2, depth=2)
     pairs = scoring.confusion(model.predict(forest, train)).collect()
     assert sum(r["n"] for r in pairs) == 40 and all(r["label"] == r["prediction"] for r in pairs)
+
+
+def test_rows_are_not_dealt_by_a_few_groups(spark):
+    df = spark.range(3000).select("id", (F.col("id") % 2).cast("string").alias("g"))
+    for out in (sampling.cap_rows(df, 50, ["id"], ["g"]), sampling.stratified_split(df, "g", "id"), sampling.class_weights(df, "g")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_many_groups_are_joined_as_well(spark, monkeypatch):
+    monkeypatch.setattr(session, "LOOKUP_ROWS", 3)
+    df = spark.range(400).select("id", F.when(F.col("id") % 10 > 0, F.col("id") % 10).alias("g"))
+    assert sorted(r["count"] for r in sampling.cap_rows(df, 5, ["id"], ["g"]).groupBy("g").count().collect()) == [5] * 10
+    assert {r.weight for r in sampling.class_weights(df, "g").collect()} == {1.0}
