@@ -109,3 +109,18 @@ def test_a_capture_that_fails_later_is_an_error(spark, tmp):
     assert {(r["status"], r["packets"]) for r in pcap.settle(gone)} == {("error", 0)}
     with pytest.raises(OSError):
         list(pcap._packet_batches(path + ".gone", 24, 100, 0))
+
+
+def test_small_ranges_share_a_task(spark, tmp, monkeypatch):
+    for k in range(40):
+        capture(f"{tmp}/01-12/Syn/{k}.pcap", "<" if k % 2 else ">", 5)
+    want = sum(len(records(path)) for path in pcap.list_files(tmp))
+    assert pcap._tasks(40, 5_000) == 40 and pcap._tasks(1, 0) == 1 and pcap._tasks(0, 0) == 1
+    assert pcap._tasks(100_000, 100_000 << 10) < 1000 < pcap._tasks(100_000, 100_000 << 26)
+    monkeypatch.setattr(pcap, "_FEW_TASKS", 3)
+    for split in (64, 1 << 20):
+        packets = pcap.read_packets(spark, tmp, split_bytes=split)
+        assert packets.rdd.getNumPartitions() == 3 and packets.count() == want
+        assert packets.select("file", "ordinal").distinct().count() == want
+        files = pcap.read_capture_files(spark, tmp, split_bytes=split)
+        assert files.filter("packets = 5 and status = 'ok'").count() == 40
