@@ -312,7 +312,7 @@ def q_fragment_order(spark: SparkSession, sf: str) -> DataFrame:
     rows = li.select(path, (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"),
                      F.when(turned, F.concat_ws(",", "l_orderkey", "l_linenumber")).otherwise(F.concat_ws(",", "l_linenumber", "l_orderkey")).alias("line"))
     heads = li.select(path, F.lit(-1).cast("bigint").alias("ord"), F.when(turned, "okey,line").otherwise("line,okey").alias("line")).distinct()
-    root = support.write_lines(rows.unionByName(heads), scratch_path(spark, "ordered"))
+    root = support.write_large_files(rows.unionByName(heads), scratch_path(spark, "ordered"))
     merged = jobs.consolidate_fragments(spark, root, ordered=True)
     return merged.select("attack", "file_name", F.col("_file_seq").alias("file_seq"), F.col("_row_seq").alias("row_seq"), "okey", "line")
 
@@ -347,7 +347,7 @@ def _ragged_files(spark: SparkSession, sf: str) -> str:
     every = rows[0]
     for r in rows[1:]:
         every = every.unionByName(r)
-    return support.write_lines(every, scratch_path(spark, "ragged"))
+    return support.write_large_files(every, scratch_path(spark, "ragged"))
 
 
 def q_label_rejects(spark: SparkSession, sf: str) -> DataFrame:

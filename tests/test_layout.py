@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowforge.operators import model, sampling, scoring
-from flowforge.plans import jobs
+from flowforge.plans import jobs, support
+from flowforge.sinks.writers import write_labelled
 from flowforge.sources.catalogue import catalogue
 from flowforge.sources.flows import rejected_rows
 from flowforge.sources.runs import read_detail, read_runs, read_samples, rejected_runs
@@ -96,3 +97,32 @@ def test_report_inputs_are_read_by_name(spark, tmp):
         ["Max RAM (MB)", "Attack", "Extractor", "Packets", "Time (s)", "Throughput (PPS)", "Avg CPU (%)", "Std CPU", "Var CPU", "Std RAM", "Var RAM"])])
     turned.write.option("header", "true").csv(f"{tmp}/turned")
     assert sorted(map(tuple, read_detail(spark, f"{tmp}/turned").collect())) == sorted(map(tuple, again.collect()))
+
+
+def test_large_files_are_written_in_pieces(spark, tmp, monkeypatch):
+    monkeypatch.setattr(support, "PIECE_ROWS", 50)
+    rows = spark.range(700).select(F.concat(F.lit("a/f"), (F.col("id") % 3).cast("string"), F.lit(".csv")).alias("path"),
+                                   (1000 - F.col("id")).alias("ord"), F.concat(F.lit("é"), F.col("id").cast("string")).alias("line"))
+    support.write_lines(rows, f"{tmp}/whole")
+    support.write_large_files(rows, f"{tmp}/pieces")
+    for k in range(3):
+        with open(f"{tmp}/whole/a/f{k}.csv", "rb") as want, open(f"{tmp}/pieces/a/f{k}.csv", "rb") as got:
+            assert want.read() == got.read()
+    assert not support.write_large_files(rows.limit(0), f"{tmp}/none").startswith("file:")
+
+
+def test_a_piece_holds_a_part_of_a_file(spark, tmp, monkeypatch):
+    monkeypatch.setattr(support, "PIECE_ROWS", 50)
+    sizes = []
+    monkeypatch.setattr(support, "cut_lineage", lambda df: sizes.append(df.count()) or df)
+    rows = spark.range(700).select(F.lit("f.csv").alias("path"), F.col("id").alias("ord"), F.lit("x").alias("line"))
+    support.write_large_files(rows, tmp)
+    assert sizes[0] > 5  # one piece per task, not one task per file
+
+
+def test_labelled_rows_are_written_unsorted(spark, tmp):
+    df = spark.range(100).select("id", (F.col("id") % 9).cast("string").alias("attack"))
+    spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", "0")
+    write_labelled(df, f"{tmp}/t")
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    assert spark.read.parquet(f"{tmp}/t").filter("id % 9 = attack").count() == 100
