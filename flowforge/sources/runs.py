@@ -25,13 +25,13 @@ REJECTS_SCHEMA = "path string, reason string"
 
 
 def read_named_csv(spark: SparkSession, root: str, schema: T.StructType, glob: str = "*.csv",
-                   skipped: list[tuple[str, str]] | None = None) -> DataFrame:
+                   skipped: list[tuple[str, str]] | None = None, files: DataFrame | None = None) -> DataFrame:
     """The columns of ``schema`` from every CSV under ``root``, found by name in
     each file's header, plus ``source_file``; cells that don't parse are null.
     A file without one of them goes to ``skipped`` with the reason; without that
-    list it is an error."""
+    list it is an error.  ``files``, a catalogue of just these, spares the listing."""
     out = None
-    for raw, paths in header_groups(catalogue(spark, root, glob=glob, exclude_prefixes=())):
+    for raw, paths in header_groups(catalogue(spark, root, glob=glob, exclude_prefixes=()) if files is None else files):
         names = [c.strip() for c in raw]
         absent = [f.name for f in schema if f.name not in names]
         if absent:
@@ -48,7 +48,8 @@ def read_named_csv(spark: SparkSession, root: str, schema: T.StructType, glob: s
     return out
 
 
-def _logs(spark: SparkSession, root: str, multi_line: bool, glob: str) -> DataFrame:
+def scan_logs(spark: SparkSession, root: str, multi_line: bool = True, glob: str = "benchmark_*.json") -> DataFrame:
+    """Every record of the run logs under ``root``, broken ones too."""
     schema = T.StructType([*RUN_LOG_SCHEMA.fields, T.StructField(_BROKEN, T.StringType())])
     logs = (spark.read.schema(schema)
             .option("columnNameOfCorruptRecord", _BROKEN)
@@ -66,7 +67,7 @@ def _judged(condition: Column) -> Column:
 
 
 def read_runs(spark: SparkSession, root: str, base_dir: str | None = None,
-              multi_line: bool = True, glob: str = "benchmark_*.json") -> DataFrame:
+              multi_line: bool = True, glob: str = "benchmark_*.json", logs: DataFrame | None = None) -> DataFrame:
     """S5 + P12 + P13: every ``benchmark_*.json`` under ``root`` that is a JSON
     object of the expected types (see ``rejected_runs`` for the others).
 
@@ -75,10 +76,12 @@ def read_runs(spark: SparkSession, root: str, base_dir: str | None = None,
     qualified path; relative ``monitor_file`` values are resolved against
     ``base_dir`` (default: the current directory, as the logs were written).
     ``multi_line`` reads one pretty-printed object per file; ``False`` reads
-    JSON lines (as the run-log sink writes them).
+    JSON lines (as the run-log sink writes them).  ``logs``, from ``scan_logs``
+    of the same folder, spares listing it again.
     """
     base = qualify(spark, base_dir or ".")
-    logs = _logs(spark, root, multi_line, glob).filter(_judged(F.col(_BROKEN).isNull()))
+    logs = scan_logs(spark, root, multi_line, glob) if logs is None else logs
+    logs = logs.filter(_judged(F.col(_BROKEN).isNull()))
     mf = F.col("monitor_file")
     absolute = mf.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:") | mf.startswith("/")
     local_abs = F.concat(F.lit(base.split(":", 1)[0] + ":"), mf)
@@ -95,24 +98,26 @@ def read_runs(spark: SparkSession, root: str, base_dir: str | None = None,
 
 
 def rejected_runs(spark: SparkSession, root: str, multi_line: bool = True,
-                  glob: str = "benchmark_*.json") -> DataFrame:
+                  glob: str = "benchmark_*.json", logs: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
     """``path, reason`` of run logs that ``read_runs`` keeps out: text that is no
     JSON object of the expected types (one row per record), and files of white
-    space only."""
-    logs = _logs(spark, root, multi_line, glob)
+    space only.  ``logs`` as in ``read_runs``, ``files`` a catalogue of just these."""
+    logs = scan_logs(spark, root, multi_line, glob) if logs is None else logs
     broken = logs.filter(_judged(F.col(_BROKEN).isNotNull())).select(
         F.col("log_path").alias("path"),
         F.concat(F.lit("not a run log: "), F.substring(F.regexp_replace(_BROKEN, r"\s+", " "), 1, 60)).alias("reason"))
     seen = logs.select(F.col("log_path").alias("path"), "attack").select("path").distinct()
-    blank = (catalogue(spark, root, glob=glob, exclude_prefixes=()).select("path").join(seen, "path", "left_anti")
+    files = catalogue(spark, root, glob=glob, exclude_prefixes=()) if files is None else files
+    blank = (files.select("path").join(seen, "path", "left_anti")
              .withColumn("reason", F.lit("no JSON object")))
     return broken.unionByName(blank)
 
 
-def read_samples(spark: SparkSession, root: str, skipped: list[tuple[str, str]] | None = None) -> DataFrame:
+def read_samples(spark: SparkSession, root: str, skipped: list[tuple[str, str]] | None = None,
+                 files: DataFrame | None = None) -> DataFrame:
     """Every ``monitor_*.csv`` under ``root``, columns by name, keyed by the
     file's qualified path.  A header-only or missing file has no rows."""
-    samples = read_named_csv(spark, root, SAMPLE_SCHEMA, "monitor_*.csv", skipped)
+    samples = read_named_csv(spark, root, SAMPLE_SCHEMA, "monitor_*.csv", skipped, files)
     return samples.withColumnRenamed("source_file", "monitor_key")
 
 

@@ -126,3 +126,12 @@ def test_labelled_rows_are_written_unsorted(spark, tmp):
     write_labelled(df, f"{tmp}/t")
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
     assert spark.read.parquet(f"{tmp}/t").filter("id % 9 = attack").count() == 100
+
+
+def test_the_report_reads_its_inputs_once(spark, tmp, monkeypatch):
+    d = f"{tmp}/in/CIC_RAW/01-12/Syn"
+    write(f"{d}/monitor_a.csv", "timestamp,cpu_percent,ram_mb\n1,10,600\n")
+    run_log(f"{d}/benchmark_a.json", attack="Syn", total_packets=10, time_seconds=2.0, pps=5.0, monitor_file=f"{d}/monitor_a.csv")
+    views = jobs.run_report(spark, f"{tmp}/in")
+    for view in views.values():  # written once: no view scans the samples or logs
+        assert "FileScan" not in view._jdf.queryExecution().executedPlan().toString()
