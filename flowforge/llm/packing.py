@@ -32,6 +32,7 @@ import heapq
 import math
 import struct
 import zlib
+from codecs import charmap_decode
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from flowforge.llm.bpe import letter_bytes
-from flowforge.llm.common import BoundedCache, columns, kept, shuffle_partitions, utf8, vocabulary_file
+from flowforge.llm.common import RecentCache, columns, kept, let_go, shuffle_partitions, utf8, vocabulary_file
 
 CAPACITY = 4096
 END = 2
@@ -53,53 +54,69 @@ DEAL, BLOCK = 1024, 2500
 
 # FIXED VALUES: pre-token pattern of the word vocabulary.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Bytes of the characters up to U+017F.
+LATIN = bytes(range(0xC6))
+#: A capital whose small letter is two characters, one of them beyond Latin.
+DOTTED_I = "\u0130".encode()
 
 
 class WordEncoder:
     """``ids(text)`` as little-endian 32-bit bytes, equal to the library's
-    ``encode(text, add_special_tokens=False)`` without truncation or padding."""
+    ``encode(text, add_special_tokens=False)`` without truncation or padding.
+
+    Texts up to U+017F are put in lower case as a whole: there case goes letter
+    by letter and nothing is composed, so a chunk is looked up as it is spelled
+    for the merges, and its capitalised forms need no entries of their own."""
 
     def __init__(self, spec: str):
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
-        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.letters = {b: c for c, b in letter_bytes().items()}
+        self.specials = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.letters = "".join(c for c, _ in sorted(letter_bytes().items(), key=lambda x: x[1]))
         self.find = regex.compile(WORDS).findall
         self.merge = self.library.model.tokenize
-        self.words = BoundedCache(self._word, limit=100_000)
-        self.chunks = BoundedCache(self._chunk, limit=200_000)
-
-    def _merged(self, letters: str) -> bytes:
-        ids = [t.id for t in self.merge(letters)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        self.packed = [struct.pack("<I", i) for i in range(max(self.library.get_vocab().values()) + 1)]
+        self.chunks = RecentCache(self._chunk, limit=500_000)
 
-    def _word(self, word: str) -> bytes:
-        return self._merged(word.encode().decode("latin-1").translate(self.letters))
+    def _merged(self, word: bytes) -> bytes:
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.merge(charmap_decode(word, "strict", self.letters)[0])])
 
     def _chunk(self, chunk: bytes) -> bytes:
-        if chunk.isalpha():  # ASCII letters only: one pre-token, spelled as it is
-            low = chunk.lower()
-            return self._merged(low.decode("ascii")) if low == chunk else self.chunks[low]
-        if chunk[:-1].isalpha() and chunk[-1:] in b".,;:!?":
-            return self.chunks[chunk[:-1]] + self.words[chunk[-1:].decode("ascii")]
-        text = chunk.decode()
-        if text.isascii():
-            text = text.lower()
-        elif max(text) <= "ſ":
-            text = "".join(map(str.lower, text))  # letter by letter, as the library does
-        else:  # beyond Latin, classes and case are the library's business
-            ids = self.library.encode(text, add_special_tokens=False).ids
+        if not _latin(chunk):  # classes and case are the library's business
+            ids = self.library.encode(chunk.decode(), add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
-        return b"".join(map(self.words.__getitem__, self.find(text)))
+        if (low := _lower(chunk)) != chunk:  # of a text with characters beyond Latin
+            return self.chunks[low]
+        text = chunk.decode()
+        if text.isalpha():  # one pre-token
+            return self._merged(chunk)
+        if text[-1] in ".,;:!?" and text[:-1].isalpha():
+            return self.chunks[chunk[:-1]] + self.chunks[chunk[-1:]]
+        words = self.find(text)
+        if words == [text]:
+            return self._merged(chunk)
+        return b"".join([self.chunks[w.encode()] for w in words])
 
     def ids(self, text: bytes) -> bytes:
-        if any(s.encode() in text for s in self.specials):
+        if any(s in text for s in self.specials):
             ids = self.library.encode(text.decode(), add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
+        if _latin(text):
+            text = _lower(text)
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
+def _latin(text: bytes) -> bool:
+    """Whether all characters are at most U+017F and lower to such ones."""
+    return text.isascii() or not text.translate(None, LATIN) and DOTTED_I not in text
+
+
+def _lower(text: bytes) -> bytes:
+    return text.lower() if text.isascii() else text.decode().lower().encode()
+
+
 def difference(lengths: list[int], bins: int) -> list[list[int]]:
     """Indices of ``lengths`` in ``bins`` near-equal bins.
 
@@ -186,6 +203,7 @@ def pack(parts: DataFrame, partitions: int, capacity: int = CAPACITY) -> DataFra
     """Adds sequence_id and offset to rows of ``pieces``.  A task holds one
     block of pieces at a time, however many it is dealt."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()  # the encoder and the chunks it remembers are not needed any more
         first = TaskContext.get().partitionId() << 36
         block: list[tuple] = []
 

@@ -65,6 +65,25 @@ def test_word_ids_equal_the_library(library):
         assert encoder.ids(t.encode()) == b"".join(i.to_bytes(4, "little") for i in ids), t
 
 
+def test_case_and_marks_equal_the_library(library):
+    encoder = packing.WordEncoder(open(WORDS).read())
+    for t in ["<|ENDOFTEXT|>\u0130 <|EndOfText|>", "\u0130STANBUL The THE, the", "ÀÉ ŸŒ ŉ'S ſ'S", "H\u0331 h\u0331 E\u0301 The \u03a3", "a\x85B\xa0C,. ?! '.S", "It'S ...'s 10,5"]:
+        ids = library[1].encode(t, add_special_tokens=False).ids
+        assert encoder.ids(t.encode()) == b"".join(i.to_bytes(4, "little") for i in ids), t
+
+
+def test_frequent_words_are_not_merged_again():
+    encoder, merged = packing.WordEncoder(open(WORDS).read()), []
+    merge = encoder.merge
+    encoder.merge = lambda word: merged.append(word) or merge(word)
+    encoder.chunks.limit = 8
+    for i in range(100):
+        rare = "".join(chr(97 + int(d)) for d in f"{i:03}")
+        encoder.ids(f"The x{rare} the, y{rare} THE".encode())
+    assert merged.count("the") == 1
+    assert len(encoder.chunks) <= 8 and len(encoder.chunks.older) <= 8
+
+
 def test_count_query(spark, library):
     got = token_counts.token_counts(clashing(spark, awkward_rows()), BYTES).collect()
     want = sorted((str(i), len((t or "").encode()), n := len(library[0].encode(t or "", add_special_tokens=False).ids), n > 512) for i, t in awkward_rows())
