@@ -1,5 +1,6 @@
 """Training rows, rejects and reports do not depend on how files are cut."""
 
+import gzip
 import os
 import random
 
@@ -7,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowforge.operators import model, sampling, scoring
-from flowforge.plans import jobs, support
+from flowforge.plans import jobqueries, jobs, support
+from flowforge.session import scratch_path
 from flowforge.sinks.writers import write_labelled
 from flowforge.sources.catalogue import catalogue
 from flowforge.sources.flows import rejected_rows
@@ -120,6 +122,55 @@ def test_a_piece_holds_a_part_of_a_file(spark, tmp, monkeypatch):
     assert sizes[0] > 5  # one piece per task, not one task per file
 
 
+def test_pieces_and_packed_files_are_compressed(spark, tmp, monkeypatch):
+    monkeypatch.setattr(support, "PIECE_ROWS", 200)
+    rows = spark.range(1000).select(F.when(F.col("id") % 2 == 0, "d/f.csv").otherwise("d/f.csv.gz").alias("path"), F.col("id").alias("ord"),
+                                    F.concat(F.col("id").cast("string"), F.repeat(F.lit(",0"), F.lit(300))).alias("line"))
+    want = [r["line"] + "\n" for r in rows.sort("ord").collect()]
+    sizes = []
+
+    def collected(df):
+        found = df.collect()
+        sizes.extend(os.path.getsize(r["piece"]) for r in found)
+        return spark.createDataFrame(found, df.schema)
+
+    monkeypatch.setattr(support, "cut_lineage", collected)
+    support.write_large_files(rows, tmp)
+    with open(f"{tmp}/d/f.csv", encoding="utf-8") as plain, gzip.open(f"{tmp}/d/f.csv.gz", "rt") as packed:
+        assert plain.readlines() == want[::2] and packed.readlines() == want[1::2]
+    size = sum(map(len, want))
+    assert len(sizes) > 5 and sum(sizes) < size / 20 and os.path.getsize(f"{tmp}/d/f.csv.gz") < size / 20
+
+
+def test_compressed_positional_files_are_labelled(spark, tmp):
+    lines = [f"{k},t,1.1.1.{k % 3},x" for k in range(9)]
+    write(f"{tmp}/B/01-12/Syn/a.csv", "\n".join(lines[:3]) + "\n")
+    with open(f"{tmp}/B/01-12/Syn/b.csv.gz", "wb") as f:  # of two members
+        f.write(b"".join(gzip.compress(("\n".join(x) + "\n").encode()) for x in (lines[3:6], lines[6:])))
+    result = jobs.label_positional_flows(spark, f"{tmp}/B", "1.1.1.1", out=f"{tmp}/out")
+    assert result.row_counts() == {"rows": 9, "rejected": 0}
+    assert spark.read.parquet(f"{tmp}/out").filter("label <> 'BENIGN'").count() == 3
+
+
+def test_label_rejects_holds_the_files_of_one_style(spark, tmp, monkeypatch):
+    lines = 2000
+    spark.range(lines).selectExpr("id as l_orderkey", "cast(id % 7 + 1 as int) as l_linenumber", "id % 5 as l_suppkey", "cast(id % 50 as double) as l_quantity") \
+        .write.parquet(f"{tmp}/lineitem.parquet")
+    folder, held = scratch_path(spark, "x").rpartition("/")[0].removeprefix("file:"), []
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+
+    def size():
+        new = [os.path.join(folder, x) for x in set(os.listdir(folder)) - before]
+        held.append((len(new), sum(os.path.getsize(os.path.join(top, f)) for x in new for top, _, files in os.walk(x) for f in files)))
+
+    for name in ("label_header_flows", "label_positional_flows"):
+        monkeypatch.setattr(jobs, name, lambda *a, f=getattr(jobs, name), **b: size() or f(*a, **b))
+    rows = jobqueries.q_label_rejects(spark, tmp).collect()
+    assert sorted(r["style"] for r in rows) == ["A", "B", "C"] and {r["skipped_files"] for r in rows} == {1}
+    assert [n for n, _ in held] == [1, 1, 1]  # nothing of the style before
+    assert max(n for _, n in held) < lines / 7 * 600  # the wide file, as plain text
+
+
 def test_labelled_rows_are_written_unsorted(spark, tmp):
     df = spark.range(100).select("id", (F.col("id") % 9).cast("string").alias("attack"))
     spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", "0")
