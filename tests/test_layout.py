@@ -122,6 +122,17 @@ def test_a_piece_holds_a_part_of_a_file(spark, tmp, monkeypatch):
     assert sizes[0] > 5  # one piece per task, not one task per file
 
 
+def test_kinds_of_all_rows_are_found_without_keys(spark, monkeypatch):
+    seen, kinds = [], jobs.clean.column_kinds
+    monkeypatch.setattr(jobs.clean, "column_kinds", lambda df, columns: seen.append(df) or kinds(df, columns))
+    rows = spark.createDataFrame([("1", "x", "Syn"), ("2", "NA", "BENIGN"), (None, "7", "Syn")] * 20, "a string, b string, label string")
+    prep = jobs.prepare_training_set(rows)
+    assert prep.kinds == {"a": "numeric", "b": "categorical"} and prep.data.select("_rowkey").distinct().count() == 60
+    assert "Exchange" not in seen[0]._jdf.queryExecution().executedPlan().toString()  # the pass shuffles no rows
+    jobs.prepare_training_set(rows, max_train_rows=30)
+    assert seen[1].count() < 60  # of sampled rows, those that are kept
+
+
 def test_pieces_and_packed_files_are_compressed(spark, tmp, monkeypatch):
     monkeypatch.setattr(support, "PIECE_ROWS", 200)
     rows = spark.range(1000).select(F.when(F.col("id") % 2 == 0, "d/f.csv").otherwise("d/f.csv.gz").alias("path"), F.col("id").alias("ord"),
